@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED, features: int
     return OrdinalModel(keep, *fit_ordinal(x, np.minimum(grade, GRADES - 1), GRADES))
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 400, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 400, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds that minimise the mean negative log-likelihood plus ridge * |w|^2 / 2, by accelerated
     gradient steps; thresholds are a first one and positive steps, so that they stay in order."""
     n, d = x.shape
