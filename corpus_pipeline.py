@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estima.llm import bpe, mixing, secret_scan, toxicity
+from estima.llm import bpe, jaccard, mixing, secret_scan, toxicity
 from estima.llm.common import stored, table
 from estima.llm.queries import tokenizer_path
 
@@ -18,8 +18,6 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest doc_id, of each group linked by five-word shingles with a Jaccard similarity of 0.8 or more."""
-    from estima.llm import jaccard
-
     return jaccard.keep_one(docs, width=5, percent=80)
 
 

@@ -80,4 +80,23 @@ SELECT doc_id, size, c.source_size, c.target,
 FROM sized d JOIN cuts c ON d.source IS NOT DISTINCT FROM c.source LEFT JOIN edges e ON d.source IS NOT DISTINCT FROM e.source
 """
 
-ORACLES = {"op5_secret_scan": _secret_sql(), "op8_source_mix": _MIX}
+_JACCARD = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i+2], ' '))) END AS s
+  FROM words
+),
+items AS (SELECT doc_id, unnest(s) AS x FROM sets),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sets p ON a = p.doc_id JOIN sets q ON b = q.doc_id WHERE 100 * n >= 90 * (len(p.s) + len(q.s) - n)
+),
+reach(doc_id, other) AS (SELECT a, b FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+least AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(other, doc_id)) AS component_id FROM sets LEFT JOIN least USING (doc_id)
+"""
+
+ORACLES = {"op9_ngram_jaccard": _JACCARD, "op5_secret_scan": _secret_sql(), "op8_source_mix": _MIX}
