@@ -17,6 +17,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from estima.llm.mtree import exact_top_k
+
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from estima.llm.toxicity import fit, grade_documents
 
@@ -45,6 +51,12 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from estima.llm.crosspolytope import approximate_neighbours
+
+    return approximate_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from estima.llm.mixing import mix_sources
 

@@ -99,4 +99,17 @@ least AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(other, doc_id)) AS component_id FROM sets LEFT JOIN least USING (doc_id)
 """
 
-ORACLES = {"op9_ngram_jaccard": _JACCARD, "op5_secret_scan": _secret_sql(), "op8_source_mix": _MIX}
+_TOP_K = """
+WITH clean AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.v, x.v)::BIGINT AS score
+  FROM clean q JOIN clean x ON q.vec_id <> x.vec_id AND len(q.v) = len(x.v) WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
+ORACLES = {"op2_exact_top_k": _TOP_K, "op9_ngram_jaccard": _JACCARD, "op5_secret_scan": _secret_sql(), "op8_source_mix": _MIX}
