@@ -17,6 +17,15 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of source/language/hundred/: the table has no paths, so these stand for a tree of directories."""
+    from estima.llm.licenses import scan_licenses
+
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 100), F.concat("doc_id", F.lit(".txt")))
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), path.alias("path"), "text")
+    return scan_licenses(files).withColumnRenamed("file", "doc_id")
+
+
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from estima.llm.mtree import exact_top_k
 
@@ -51,6 +60,12 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from estima.llm.html_text import render_pages
+
+    return render_pages(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from estima.llm.crosspolytope import approximate_neighbours
 

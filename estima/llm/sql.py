@@ -99,6 +99,81 @@ least AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(other, doc_id)) AS component_id FROM sets LEFT JOIN least USING (doc_id)
 """
 
+_TEMPLATES = """
+  ('Apache-2.0', 'Licensed under the Apache License, Version 2.0.'),
+  ('MIT', 'Released under the MIT License.'),
+  ('MIT', 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.'),
+  ('GPL-3.0', 'This work is licensed under the GNU General Public License, version 3.'),
+  ('GPL-2.0', 'This program is free software under the GNU General Public License, version 2.'),
+  ('LGPL-3.0', 'This library is licensed under the GNU Lesser General Public License, version 3.'),
+  ('AGPL-3.0', 'Licensed under the GNU Affero General Public License, version 3.'),
+  ('MPL-2.0', 'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.'),
+  ('BSD-3-Clause', 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.'),
+  ('ISC', 'Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted.'),
+  ('CC-BY-4.0', 'Licensed under CC BY 4.0.'),
+  ('CC-BY-SA-4.0', 'Licensed under CC BY-SA 4.0.'),
+  ('CC-BY-NC-4.0', 'Licensed under CC BY-NC 4.0.'),
+  ('CC0-1.0', 'Released into the public domain under CC0 1.0.'),
+  ('Proprietary', 'All rights reserved.')
+"""
+
+_LICENSES = rf"""
+WITH templates AS (SELECT row_number() OVER () AS template, license, text FROM (VALUES {_TEMPLATES}) t(license, text)),
+template_terms AS (
+  SELECT template, license, term, count(*) AS tf
+  FROM (SELECT template, license, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM templates) GROUP BY ALL
+),
+idfs AS (SELECT term, ln(16.0::DOUBLE / (1 + count(*))) + 1 AS idf FROM template_terms GROUP BY term),
+weights AS (
+  SELECT template, license, term, tf * idf / sqrt(sum((tf * idf) * (tf * idf)) OVER (PARTITION BY template)) AS weight
+  FROM template_terms JOIN idfs USING (term)
+),
+files AS (
+  SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', source, lang, doc_id // 100) AS directory,
+    concat_ws('/', source, lang, doc_id // 100, doc_id || '.txt') AS path
+  FROM documents
+),
+notices AS (
+  SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])[ 	
+]+([A-Z])', E'\1
+\2', 'g'), chr(10)),
+    lambda x: regexp_matches(x, '(?i)licen[cs]e|rights reserved|permission|redistribution|public domain|spdx')) AS lines, text
+  FROM files WHERE regexp_matches(text, '(?i)licen[cs]e|rights reserved|permission|redistribution|public domain|spdx')
+),
+shares AS (
+  SELECT doc_id, len(regexp_extract_all(text, '[^ 	-]+')) AS words,
+    coalesce(list_sum(list_transform(lines, lambda x: len(regexp_extract_all(x, '[^ 	-]+')))), 0) AS notice_words
+  FROM notices
+),
+units AS (SELECT DISTINCT doc_id, unnest(lines) AS line FROM notices),
+unit_terms AS (
+  SELECT doc_id, line, term, count(*) AS tf
+  FROM (SELECT doc_id, line, unnest(list_filter(string_split_regex(lower(line), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM units) GROUP BY ALL
+),
+weighted AS (SELECT doc_id, line, term, tf * coalesce(idf, ln(16.0::DOUBLE) + 1) AS w FROM unit_terms LEFT JOIN idfs USING (term)),
+lengths AS (SELECT doc_id, line, sqrt(sum(w * w)) AS length FROM weighted GROUP BY ALL),
+scored AS (
+  SELECT doc_id, license, round(sum(w * weight) / any_value(length), 6) AS score
+  FROM weighted JOIN weights USING (term) JOIN lengths USING (doc_id, line) GROUP BY doc_id, line, template, license
+),
+own AS (SELECT doc_id, license, score FROM scored WHERE score >= 0.75 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1),
+all_files AS (
+  SELECT f.doc_id, f.path, f.directory, o.license, o.score, coalesce(o.license IS NOT NULL AND notice_words >= 0.2 * words, false) AS is_licence_file
+  FROM files f LEFT JOIN own o USING (doc_id) LEFT JOIN shares USING (doc_id)
+),
+directories AS (
+  SELECT directory, license FROM all_files WHERE is_licence_file
+  QUALIFY row_number() OVER (PARTITION BY directory ORDER BY score DESC, license) = 1
+),
+above AS (
+  SELECT doc_id, d.directory, d.license FROM all_files f JOIN directories d
+    ON f.license IS NULL AND (f.directory = d.directory OR starts_with(f.directory, d.directory || '/') OR d.directory = '')
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(d.directory) DESC) = 1
+)
+SELECT f.doc_id, f.path, f.license AS own_license, f.score, f.is_licence_file, a.directory AS inherited_from, coalesce(f.license, a.license) AS license
+FROM all_files f LEFT JOIN above a USING (doc_id)
+"""
+
 _TOP_K = """
 WITH clean AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
@@ -112,4 +187,4 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 FROM scored QUALIFY rank <= 5
 """
 
-ORACLES = {"op2_exact_top_k": _TOP_K, "op9_ngram_jaccard": _JACCARD, "op5_secret_scan": _secret_sql(), "op8_source_mix": _MIX}
+ORACLES = {"op1_license_scan": _LICENSES, "op2_exact_top_k": _TOP_K, "op9_ngram_jaccard": _JACCARD, "op5_secret_scan": _secret_sql(), "op8_source_mix": _MIX}
