@@ -12,8 +12,9 @@ a subset of partitions and a digest of the set's shingles in them; subsets are e
 
 A set meets larger ones of the next band under that band's K, if its size allows a link there.
 
-Equal sets are one node. Nodes with a signature in common are compared exactly: all pairs of a small bucket; in a larger one each
-member against a pivot, and again, against another pivot, only members that aren't in the pivot's component yet.
+Equal sets are one node. Nodes with a signature in common are compared exactly: in a small bucket all pairs; in a larger one
+each member with the bucket's pivot, and then only those pairs, not both linked with it, whose differences to the pivot
+have enough in common for a link. So no link is lost between components, and no bucket is turned into all its pairs.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from __future__ import annotations
 import functools
 import itertools
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,7 @@ from estima.llm.common import drop_stored, row_chunks, stored
 
 BAND = 1.3  # ratio of a band's sizes
 SMALL = 6  # most nodes of a bucket that are compared pair by pair at once
-ROUNDS = 3  # of pivots; what is left after them is compared pair by pair
+MOST_BITS = 27  # of the bitmap that spares most signatures the second shuffle: 2^27 bits, 16 MB as it is sent
 BROADCAST_ROWS = 500_000  # a table of two longs a row with at most so many rows is broadcast
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -45,38 +47,103 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Words:
-    """Words' 64-bit hashes; the most recent million are remembered."""
-
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
+PIECE = 1 << 20  # bytes of text that are hashed at a time
+_BASE = 0x9E3779B97F4A7C15  # odd, so that its powers can be divided by
+
+_TABLES: list[np.ndarray] = []
+
+
+def _tables(n: int) -> list[np.ndarray]:
+    """A value for each byte (A-Z have those of a-z), which bytes are space, powers of the base and of its inverse."""
+    if not _TABLES:
+        value = mix(np.arange(1, 257, dtype=np.uint64) << np.uint64(32))
+        value[65:91] = value[97:123]
+        space = np.zeros(256, bool)
+        space[[32, 9, 10, 11, 12, 13]] = True
+        _TABLES.extend([value, space, np.ones(1, np.uint64), np.ones(1, np.uint64)])
+    if len(_TABLES[2]) < n:
+        for k, base in ((2, _BASE), (3, pow(_BASE, -1, 1 << 64))):
+            _TABLES[k] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, base, np.uint64))])
+    return _TABLES
+
+
+def _pieces(data: bytes) -> Iterator[bytes]:
+    """data cut at white space into pieces of about PIECE bytes; a longer word stays whole."""
+    at = 0
+    while len(data) - at > PIECE:
+        cut = max(data.rfind(b" ", at, at + PIECE), data.rfind(b"\n", at, at + PIECE))
+        if cut <= at:
+            m = _SPACE.search(data, at + PIECE)
+            cut = m.start() if m else len(data)
+        yield data[at:cut]
+        at = cut
+    yield data[at:]
+
+
+_SPACE = re.compile(rb"[ \t\n\v\f\r]")
+
+
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The words' 64-bit hashes and where they start. A word's hash is a polynomial in the base over its bytes' values,
+    taken as a difference of running sums and moved to the word's start."""
+    raw = np.frombuffer(data, np.uint8)
+    value, space, power, inverse = _tables(len(raw) + 1)
+    blank = space[raw]
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
+    starts, ends = edge[::2], edge[1::2]
+    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[raw] * power[: len(raw)])])
+    return mix((run[ends] - run[starts]) * inverse[starts]), starts
+
+
+def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its runs of width words, A-Z taken as a-z; of a shorter text,
+    the one of all its words."""
+    out: list[np.ndarray] = []
+    small: list[bytes] = []
+
+    def flush() -> None:
+        if small:
+            words, starts = _words(b" ".join(small))
+            first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in small])])
+            bounds = np.searchsorted(starts, first)
+            out.extend(_shingles(words, bounds, width))
+            small.clear()
+
+    held = 0
+    for t in texts:
+        t = t or b""
+        if len(t) > PIECE:
+            flush()
+            words = np.concatenate([_words(x)[0] for x in _pieces(t)])
+            out.extend(_shingles(words, np.array([0, len(words)]), width))
+            held = 0
+            continue
+        if held + len(t) > PIECE:
+            flush()
+            held = 0
+        small.append(t)
+        held += len(t) + 1
+    flush()
+    return out
+
+
+def _chain(words: np.ndarray, n: int) -> np.ndarray:
+    h = np.full(max(0, len(words) - n + 1), n, np.uint64)
+    for i in range(n):
+        h = mix(h * np.uint64(_BASE) + words[i : len(words) - n + 1 + i])
+    return h
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self.known) > 1_000_000:
-            self.known.clear()
-        h = self.known[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        get = self.known.get
-        found = [get(w) for w in words]
-        if None in found:
-            found = [self.__missing__(w) if h is None else h for w, h in zip(words, found, strict=True)]
-        return np.array(found, np.uint64)
+def _shingles(words: np.ndarray, bounds: np.ndarray, width: int) -> list[np.ndarray]:
+    whole = _chain(words, width)
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        out.append(np.unique(whole[a : b - width + 1]) if b - a >= width else _chain(words[a:b], b - a) if b > a else np.empty(0, np.uint64))
+    return out
 
 
-def shingles(text: str | None, width: int, words: Words) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's runs of width words, A-Z lower-cased; of a shorter text, of all its words."""
-    if not text:
-        return np.empty(0, np.uint64)
-    w = words.of(text.encode("utf-8", "surrogatepass").lower().split())  # bytes: lower() and split() know ASCII only
-    if not len(w):
-        return np.empty(0, np.uint64)
-    n = min(width, len(w))
-    h = np.full(len(w) - n + 1, n, np.uint64)
-    for i in range(n):
-        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + w[i : len(w) - n + 1 + i])
-    return np.unique(h)
+def shingles(text: str | None, width: int) -> np.ndarray:
+    return shingle_sets([text.encode("utf-8", "surrogatepass") if text else None], width)[0]
 
 
 def node_of(s: np.ndarray) -> int:
@@ -158,15 +225,14 @@ def _in_band(s: np.ndarray, band: int, percent: int) -> np.ndarray:
     return out[enough] if telling else out
 
 
-def _sets(docs: DataFrame, width: int, percent: int, what: str) -> DataFrame:
+def _sets(docs: DataFrame, width: int, percent: int, what: str, bitmap=None) -> DataFrame:
     """what: "node" -> doc_id, n_shingles, node (null for the empty set); "signature" -> signature, node, each pair once a
-    batch; "set" -> node, items."""
+    batch, those alone that the broadcast bitmap, if any, lets pass; "set" -> node, items."""
     own = docs.select("doc_id", "text") if what == "node" else docs.select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for part in row_chunks(batches):
-            sets = [shingles(t, width, words) for t in part.column(part.num_columns - 1).to_pylist()]
+            sets = shingle_sets(part.column(part.num_columns - 1).cast(pa.binary()).to_pylist(), width)
             nodes = [node_of(s) if len(s) else None for s in sets]
             if what == "node":
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64())], names=["doc_id", "n_shingles", "node"])
@@ -177,6 +243,11 @@ def _sets(docs: DataFrame, width: int, percent: int, what: str) -> DataFrame:
                 continue
             if what == "signature":
                 found = {n: signatures(s, percent) for n, s in once.items()}
+                if bitmap is not None:
+                    shift = np.uint64(62 - len(bitmap.value).bit_length())  # 2^b bytes: the leading b + 3 bits
+                    for n, x in found.items():
+                        at = x.view(np.uint64) >> shift
+                        found[n] = x[(bitmap.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(list(found.values()))), pa.array(np.repeat(np.array(list(found), np.int64), [len(x) for x in found.values()]))], names=["signature", "node"])
             else:
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in once.values()])]).astype(np.int32)
@@ -192,15 +263,35 @@ def _checked(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) of nodes with their exact answer, column linked."""
-    left = sets.select(F.col("node").alias("a"), F.col("items").alias("a_items"))
-    right = sets.select(F.col("node").alias("b"), F.col("items").alias("b_items"))
-    # sizes alone rule some out before the sets are compared
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("a_items", "b_items"))
-    alike = 100 * common >= percent * (F.size("a_items") + F.size("b_items") - common)
-    return both.select("a", "b", F.when(100 * F.least(F.size("a_items"), F.size("b_items")) < percent * F.greatest(F.size("a_items"), F.size("b_items")), False).otherwise(alike).alias("linked"))
+def compared(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool = False) -> DataFrame:
+    """pairs (a, b) of nodes with linked, the exact answer; if asked for, with tell: what of b's difference to a is needed to
+    find b's links to others that differ from a, see _others()."""
+    left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
+    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
+    both = both.withColumn("linked", 100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common")))
+    if not differences:
+        return both.select("a", "b", "linked")
+    differ = F.size("x") + F.size("y") - 2 * F.col("common")
+    most = F.floor((100 - percent) * F.size("y") / F.lit(percent))  # differences of b to any set that is linked with it: c * |b| * (1 + 1 / g)
+    overlap = F.when(F.col("linked"), F.floor(percent * differ / F.lit(100 + percent)) + 1).otherwise(F.greatest(F.lit(1), differ - most))
+    own = F.concat(F.array_sort(F.array_except("y", "x")), F.array_sort(F.array_except("x", "y")))
+    return both.select("a", "b", "linked", F.slice(own, F.lit(1), F.greatest(F.lit(0), differ - overlap + 1).cast("int")).alias("tell"))
+
+
+def _others(stars: DataFrame) -> DataFrame:
+    """Pairs of members of a pivot, at least one not linked with it, that can be linked.
+
+    Let D(x) be the difference of x to the pivot p and c = (1 - g) / (1 + g); two sets are linked if they differ in at most c times the
+    sum of their sizes. If x isn't linked with p, then |D(x)| > c (|x| + |p|), and a link of x and y, who differ in
+    |D(x)| + |D(y)| - 2 |D(x) & D(y)|, needs |D(x) & D(y)| > (1 - c) |D(y)| / 2; by the triangle inequality it also needs
+    |D(x) & D(y)| >= |D(x)| - c |x| (1 + 1 / g). So in any common order of D's elements x and y have one in common among the first
+    |D| - overlap + 1 of each (prefix filter). Elements that p lacks come first: they are rare, so unrelated edits don't meet.
+    """
+    items = stars.select("a", "b", "linked", F.explode("tell").alias("item"))
+    one, two = items.alias("x"), items.where(~F.col("linked")).alias("y")
+    met = one.join(two, (F.col("x.a") == F.col("y.a")) & (F.col("x.item") == F.col("y.item")) & (F.col("x.b") != F.col("y.b")))
+    return met.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
 
 
 def components(edges: DataFrame, name: str = "labels") -> DataFrame:
@@ -225,48 +316,51 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
             return labels
 
 
+def _bitmap(shared: DataFrame) -> np.ndarray:
+    """Bits at the leading bits of the signatures, 2^16 to MOST_BITS of them, however many signatures there are."""
+    n = shared.count()
+    bits = min(MOST_BITS, max(16, (16 * n).bit_length()))
+    at = shared.select(F.shiftrightunsigned("signature", 64 - bits).alias("at"))
+    words = at.groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 AS INT)))").alias("bits")).toPandas()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out.view(np.uint8)
+
+
 def _members(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """signature, node, size of all signatures that more than one node has."""
+    """signature, node of all signatures that more than one node has.
+
+    A first pass finds these signatures. The second makes the signatures again and sends on, for the exact join, just those
+    that a bitmap of bounded size doesn't rule out; most signatures are one node's own.
+    """
     rows = _sets(docs, width, percent, "signature")
     shared = stored(rows.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("signature"), "shared")
-    return stored(rows.join(_checked(shared), "signature").distinct(), "members")
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(shared))
+    again = _sets(docs, width, percent, "signature", bitmap)
+    return stored(again.join(_checked(shared), "signature").distinct(), "members")
 
 
 def node_components(docs: DataFrame, own: DataFrame, width: int, percent: int) -> DataFrame:
     """node, label for the nodes that are linked with another; own: doc_id, n_shingles, node of docs."""
     members = _members(docs, width, percent)
-    sizes = members.groupBy("signature").agg(F.count("*").alias("size"), F.min("node").alias("pivot"))
-    members = stored(members.join(sizes.withColumn("alike", F.xxhash64("signature")), "signature"), "buckets")
-    wanted = members.select("node").distinct()
-    first = stored(own.where("node is not null").join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "wanted")
+    first = stored(own.where("node is not null").join(members.select("node").distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "wanted")
     texts = docs.join(_checked(first.select("doc_id")), "doc_id", "left_semi")
     sets = stored(_sets(texts, width, percent, "set").dropDuplicates(["node"]), "sets")
 
-    small = members.where(F.col("size") <= SMALL).select("signature", "node")
-    pairs = small.alias("x").join(small.alias("y"), (F.col("x.signature") == F.col("y.signature")) & (F.col("x.node") < F.col("y.node"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    large = members.where(F.col("size") > SMALL)
-    stars = large.where("node > pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    tested = stored(linked_pairs(pairs.union(stars).distinct(), sets, percent), "tested")
-    labels = components(tested.where("linked"))
-    if large.limit(1).count():
-        for k in range(1, ROUNDS + 2):
-            at = stored(large.select("signature", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "at")
-            open_ = stored(at.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(k))).alias("p")).where("low < high"), "open")
-            rest = at.join(_checked(open_), "signature")
-            if k <= ROUNDS:
-                new = rest.where("label <> p.label").select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
-            else:  # what is still in more than one component of a bucket: every pair across components
-                one, two = rest.select("signature", "node", "label").alias("x"), rest.select("signature", "node", "label").alias("y")
-                new = one.join(two, (F.col("x.signature") == F.col("y.signature")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-            new = stored(new.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "new")
-            if new.limit(1).count():
-                fresh = stored(linked_pairs(new, sets, percent), "tested")
-                tested = tested.unionByName(fresh)
-                if fresh.where("linked").limit(1).count():
-                    labels = components(tested.where("linked"))
-            elif k <= ROUNDS and not open_.limit(1).count():
-                break
-    return labels
+    sized = members.join(members.groupBy("signature").agg(F.count("*").alias("size")), "signature")
+    # a bucket's pivot is the node with the most fellows: copies that were edited share more with their origin than with each other
+    fellows = sized.groupBy("node").agg(F.sum("size").alias("fellows"))
+    sized = stored(sized.join(fellows, "node"), "buckets")
+    small = sized.where(F.col("size") <= SMALL).groupBy("signature").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select("nodes").distinct()  # SMALL nodes at most
+    pairs = small.select(F.explode(F.flatten(F.transform("nodes", lambda x: F.transform(F.filter("nodes", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
+    large = sized.where(F.col("size") > SMALL)
+    pivots = stored(large.groupBy("signature").agg(F.max(F.struct("fellows", "node")).alias("top")).select("signature", F.col("top.node").alias("pivot")), "pivots")
+    stars = large.join(_checked(pivots), "signature").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    stars = stored(compared(stars, sets, percent, differences=True), "stars")
+    with_others = stored(stars.where("not linked").select("a").distinct(), "open")
+    rest = pairs.union(_others(stars.join(_checked(with_others), "a", "left_semi"))).distinct()
+    tested = stored(compared(rest, sets, percent), "tested")
+    return components(tested.where("linked").select("a", "b").union(stars.where("linked").select("a", "b")))
 
 
 def join_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
