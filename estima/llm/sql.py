@@ -134,15 +134,15 @@ files AS (
   FROM documents
 ),
 notices AS (
-  SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])[ 	
-]+([A-Z])', E'\1
-\2', 'g'), chr(10)),
+  SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])[ \t\r\n]+([A-Z])', '\1' || chr(10) || '\2', 'g'), chr(10)),
     lambda x: regexp_matches(x, '(?i)licen[cs]e|rights reserved|permission|redistribution|public domain|spdx')) AS lines, text
   FROM files WHERE regexp_matches(text, '(?i)licen[cs]e|rights reserved|permission|redistribution|public domain|spdx')
 ),
 shares AS (
-  SELECT doc_id, len(regexp_extract_all(text, '[^ 	-]+')) AS words,
-    coalesce(list_sum(list_transform(lines, lambda x: len(regexp_extract_all(x, '[^ 	-]+')))), 0) AS notice_words
+  SELECT doc_id, len(regexp_extract_all(text, '[^ 	-
+]+')) AS words,
+    coalesce(list_sum(list_transform(lines, lambda x: len(regexp_extract_all(x, '[^ 	-
+]+')))), 0) AS notice_words
   FROM notices
 ),
 units AS (SELECT DISTINCT doc_id, unnest(lines) AS line FROM notices),
