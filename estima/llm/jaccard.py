@@ -36,7 +36,7 @@ from estima.llm.common import drop_stored, row_chunks, stored
 BAND = 1.3  # ratio of a band's sizes
 SMALL = 6  # most nodes of a bucket that are compared pair by pair at once
 MOST_BITS = 27  # of the bitmap that spares most signatures the second shuffle: 2^27 bits, 16 MB as it is sent
-BROADCAST_ROWS = 500_000  # a table of two longs a row with at most so many rows is broadcast
+BROADCAST_ROWS = 100_000  # a table of two longs a row with at most so many rows is broadcast
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -264,33 +264,40 @@ def _checked(df: DataFrame) -> DataFrame:
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool = False) -> DataFrame:
-    """pairs (a, b) of nodes with linked, the exact answer; if asked for, with tell: what of b's difference to a is needed to
-    find b's links to others that differ from a, see _others()."""
+    """pairs (a, b) of nodes with linked, the exact answer; if asked for, with what _others() needs of b's difference to a:
+    differ and size (numbers of shingles), tell (the first ones of the difference in the common order) and half."""
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
     both = both.withColumn("linked", 100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common")))
     if not differences:
         return both.select("a", "b", "linked")
-    differ = F.size("x") + F.size("y") - 2 * F.col("common")
-    most = F.floor((100 - percent) * F.size("y") / F.lit(percent))  # differences of b to any set that is linked with it: c * |b| * (1 + 1 / g)
-    overlap = F.when(F.col("linked"), F.floor(percent * differ / F.lit(100 + percent)) + 1).otherwise(F.greatest(F.lit(1), differ - most))
+    both = both.withColumn("size", F.size("y")).withColumn("differ", F.size("x") + F.size("y") - 2 * F.col("common"))
+    half = F.col("differ") - F.floor(((100 + percent) * F.col("differ") + (100 - percent) * (F.size("x") - F.size("y"))) / F.lit(2 * (100 + percent)))
+    most = F.floor((100 - percent) * F.col("size") / F.lit(percent))  # differences of b to any set that is linked with it: c |b| (1 + 1 / g)
+    long = F.when(F.col("linked"), 0).otherwise(F.col("differ") - F.greatest(F.lit(1), F.col("differ") - most) + 1)
     own = F.concat(F.array_sort(F.array_except("y", "x")), F.array_sort(F.array_except("x", "y")))
-    return both.select("a", "b", "linked", F.slice(own, F.lit(1), F.greatest(F.lit(0), differ - overlap + 1).cast("int")).alias("tell"))
+    both = both.withColumn("half", half.cast("int")).withColumn("tell", F.slice(own, F.lit(1), F.greatest(F.lit(0), half, long).cast("int")))
+    return both.select("a", "b", "linked", "size", "differ", "half", "tell")
 
 
-def _others(stars: DataFrame) -> DataFrame:
+def _others(stars: DataFrame, percent: int) -> DataFrame:
     """Pairs of members of a pivot, at least one not linked with it, that can be linked.
 
     Let D(x) be the difference of x to the pivot p and c = (1 - g) / (1 + g); two sets are linked if they differ in at most c times the
-    sum of their sizes. If x isn't linked with p, then |D(x)| > c (|x| + |p|), and a link of x and y, who differ in
-    |D(x)| + |D(y)| - 2 |D(x) & D(y)|, needs |D(x) & D(y)| > (1 - c) |D(y)| / 2; by the triangle inequality it also needs
-    |D(x) & D(y)| >= |D(x)| - c |x| (1 + 1 / g). So in any common order of D's elements x and y have one in common among the first
-    |D| - overlap + 1 of each (prefix filter). Elements that p lacks come first: they are rare, so unrelated edits don't meet.
+    sum of their sizes. x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)|. If x isn't linked with p, then |D(x)| > c (|x| + |p|), so a
+    link of x and y needs |D(x) & D(y)| > (|D(y)| + c (|p| - |y|)) / 2; by the triangle inequality it also needs |D(x) & D(y)| >=
+    |D(x)| - c |x| (1 + 1 / g). In any common order of shingles, sets with so much in common have one in common among the first |D| -
+    overlap + 1 of each (prefix filter), and at their first common place enough is left of both (positional filter).
+    Shingles that p lacks come first: they are rare, so unrelated edits don't meet.
     """
-    items = stars.select("a", "b", "linked", F.explode("tell").alias("item"))
-    one, two = items.alias("x"), items.where(~F.col("linked")).alias("y")
-    met = one.join(two, (F.col("x.a") == F.col("y.a")) & (F.col("x.item") == F.col("y.item")) & (F.col("x.b") != F.col("y.b")))
+    items = stars.select("a", "b", "linked", "size", "differ", "half", F.posexplode("tell").alias("at", "item"))
+    one = items.where(~F.col("linked")).alias("x")
+    two = items.where(F.col("at") < F.col("half")).alias("y")
+    left = F.least(F.col("x.differ") - F.col("x.at"), F.col("y.differ") - F.col("y.at"))
+    enough = (100 + percent) * (F.col("x.differ") + F.col("y.differ") - 2 * left) <= (100 - percent) * (F.col("x.size") + F.col("y.size"))
+    once = F.col("y.linked") | ((F.col("x.b") < F.col("y.b")) & (F.col("x.at") < F.col("x.half")))
+    met = one.join(two, (F.col("x.a") == F.col("y.a")) & (F.col("x.item") == F.col("y.item")) & once & enough)
     return met.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
 
 
@@ -358,7 +365,7 @@ def node_components(docs: DataFrame, own: DataFrame, width: int, percent: int) -
     stars = large.join(_checked(pivots), "signature").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     stars = stored(compared(stars, sets, percent, differences=True), "stars")
     with_others = stored(stars.where("not linked").select("a").distinct(), "open")
-    rest = pairs.union(_others(stars.join(_checked(with_others), "a", "left_semi"))).distinct()
+    rest = pairs.union(_others(stars.join(_checked(with_others), "a", "left_semi"), percent)).distinct()
     tested = stored(compared(rest, sets, percent), "tested")
     return components(tested.where("linked").select("a", "b").union(stars.where("linked").select("a", "b")))
 
