@@ -56,8 +56,15 @@ def union(image: Column, lg_k: int = DEFAULT_LG) -> Column:
 
 
 def intersect(image: Column) -> Column:
-    """Aggregate: the intersection of images, null over no rows, which have no intersection."""
-    return F.when(F.count(image) > 0, F.theta_intersection_agg(F.coalesce(image, ft.empty_image())))
+    """Aggregate: the intersection of images; null images are skipped. A group without any image has no intersection and fails; see
+    intersect_all()."""
+    return F.theta_intersection_agg(image)
+
+
+def intersect_all(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """keys, sketch: the intersection of each group's images. Groups without an image, or no rows at all, give no row."""
+    own = df.where(F.col(column).isNotNull()).withColumn("whole", F.lit(0))
+    return own.groupBy(*keys or ["whole"]).agg(intersect(F.col(column)).alias("sketch")).select(*keys, "sketch")
 
 
 def kmv_sketch(df: DataFrame, keys: Sequence[str], column: str, lg_k: int = DEFAULT_LG, seed: int = SEED, p: float = 1.0) -> DataFrame:
@@ -79,16 +86,24 @@ def kmv_sketch(df: DataFrame, keys: Sequence[str], column: str, lg_k: int = DEFA
     h = own.distinct().withColumn("h", theta_hash(F.col("v"), kind, seed)).where("h is not null").select(*keys, "h").distinct()
     below = h.where(F.col("h") < start).withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).where(F.col("place") <= k + 1)
     packed = below.groupBy(*keys).agg(F.collect_list(F.when(F.col("place") <= k, F.col("h"))).alias("hashes"), F.max(F.when(F.col("place") == k + 1, F.col("h"))).alias("next"))
-    # a group all of whose values were sampled away isn't empty
-    groups = h.groupBy(*keys).agg(F.lit(True).alias("some")) if keys else h.agg((F.count("*") > 0).alias("some"))
-    every = df.select(*keys).distinct() if keys else None
-    joined = groups.join(packed, list(keys), "left") if keys else groups.crossJoin(packed)  # without keys: a row each
-    if every is not None:
-        joined = every.alias("e").join(joined.alias("g"), [F.col(f"e.{x}").eqNullSafe(F.col(f"g.{x}")) for x in keys], "left").select(*[F.col(f"e.{x}") for x in keys], "some", "hashes", "next")
+    if not keys:  # each side is one row
+        joined = h.agg((F.count("*") > 0).alias("some")).crossJoin(packed)
+    else:
+        groups = df.select(*keys).distinct()
+        # a group all of whose values were sampled away isn't empty
+        some = h.groupBy(*keys).agg(F.lit(True).alias("some"))
+        joined = _with(_with(groups, some, keys), packed, keys)
     limit = F.coalesce("next", F.lit(start))
     return joined.select(*keys, ft.from_hashes(F.col("hashes"), limit, ~F.coalesce("some", F.lit(False)), seed).alias("sketch"))
 
 
+def _with(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """left with right's further columns where all keys agree, nulls too."""
+    a, b = left.alias("a"), right.alias("b")
+    same = [F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`")) for k in keys]
+    return a.join(b, same, "left").select("a.*", *[F.col(f"b.`{c}`") for c in right.columns if c not in keys])
+
+
 def update_results(df: DataFrame, column: str, order: str, kind: str, lg_k: int = DEFAULT_LG, seed: int = SEED) -> DataFrame:
     """What each update, in the order given, does to one sketch: Inserted, RejectedDuplicate, RejectedOverTheta or RejectedNullOrEmpty.
 

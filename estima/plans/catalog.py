@@ -24,7 +24,8 @@ from estima.streaming import windows
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-s = F.col("sketch")
+def image() -> Column:
+    return F.col("sketch")
 
 
 def query(sql: str | None = None):
@@ -51,7 +52,7 @@ def whole(x: Column) -> Column:
 @query("SELECT l_returnflag, count(DISTINCT l_orderkey) AS n_orders FROM lineitem GROUP BY 1")
 def theta_build_estimate(spark, d):
     made = read(spark, d, "lineitem").groupBy("l_returnflag").agg(theta.sketch(F.col("l_orderkey"), 16).alias("sketch"))
-    return made.select("l_returnflag", whole(ft.estimate(s)).alias("n_orders"))
+    return made.select("l_returnflag", whole(ft.estimate(image())).alias("n_orders"))
 
 
 @query("SELECT l_returnflag, count(DISTINCT l_orderkey) AS n_orders FROM lineitem GROUP BY 1 UNION ALL SELECT 'all', count(DISTINCT l_orderkey) FROM lineitem")
@@ -59,7 +60,7 @@ def theta_union_rollup(spark, d):
     fine = read(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(theta.sketch(F.col("l_orderkey"), 16).alias("sketch"))
     how = {"sketch": {"family": "theta", "lg_k": 16}}
     out = rollup.grouping_sets(fine, ["l_returnflag"], how, "rollup")
-    return out.select(F.coalesce("l_returnflag", F.lit("all")).alias("l_returnflag"), whole(ft.estimate(s)).alias("n_orders"))
+    return out.select(F.coalesce("l_returnflag", F.lit("all")).alias("l_returnflag"), whole(ft.estimate(image())).alias("n_orders"))
 
 
 def _by_status(spark, d, lg_k: int = 12) -> DataFrame:
@@ -79,7 +80,7 @@ def theta_intersect(spark, d):
 @query(f"SELECT count(*) AS n FROM ({_STATUS.format('F')} INTERSECT {_STATUS.format('O')} INTERSECT {_STATUS.format('P')})")
 def theta_intersect_agg(spark, d):
     by = read(spark, d, "orders").groupBy("o_orderstatus").agg(theta.sketch(F.col("o_custkey")).alias("sketch"))
-    return by.agg(theta.intersect(s).alias("sketch")).select(whole(ft.estimate(s)).alias("n"))
+    return by.agg(theta.intersect(image()).alias("sketch")).select(whole(ft.estimate(image())).alias("n"))
 
 
 @query(f"SELECT count(*) AS n FROM ({_STATUS.format('O')} EXCEPT {_STATUS.format('P')})")
@@ -96,11 +97,11 @@ def theta_set_expression(spark, d):
 
 @query(f"SELECT 0::BIGINT AS n_null, 0::BIGINT AS n_nothing, count(*) AS n_kept FROM {_STATUS.format('F')}")
 def theta_null_sketches(spark, d):
-    """A null counts as empty in unions and differences; an intersection over no rows is null."""
+    """A null counts as empty in unions and differences; an intersection over no rows gives no row."""
     none = F.lit(None).cast("binary")
-    nothing = read(spark, d, "orders").where("false").select(none.alias("sketch")).agg(theta.intersect(s).alias("i"))
-    row = _by_status(spark, d).crossJoin(nothing)  # a row each
-    return row.select(whole(ft.estimate(ft.a_not_b(none, F.col("F")))).alias("n_null"), F.coalesce(ft.retained(F.col("i")), F.lit(0).cast("long")).alias("n_nothing"), whole(ft.estimate(ft.union(none, F.col("F"), none))).alias("n_kept"))
+    nothing = theta.intersect_all(_by_status(spark, d).where("F is null").select(F.col("F").alias("sketch")), [], "sketch")
+    row = _by_status(spark, d).crossJoin(nothing.agg(F.count("*").alias("rows")))  # a row each
+    return row.select(whole(ft.estimate(ft.a_not_b(none, F.col("F")))).alias("n_null"), F.col("rows").alias("n_nothing"), whole(ft.estimate(ft.union(none, F.col("F"), none))).alias("n_kept"))
 
 
 _KEPT = """SELECT {g}, h1 >> 1 AS h, row_number() OVER (PARTITION BY {g} ORDER BY h1 >> 1) AS place FROM (SELECT DISTINCT {g}, h1 FROM hashed)"""
@@ -111,7 +112,7 @@ _LIMITED = hashed("SELECT l_returnflag, l_orderkey AS v FROM lineitem") + ", kep
 round(1024 * (9223372036854775808.0::DOUBLE / max(CASE WHEN place = 1025 THEN h END)::DOUBLE))::BIGINT AS estimate FROM kept GROUP BY 1""")
 def theta_estimation_mode(spark, d):
     made = read(spark, d, "lineitem").groupBy("l_returnflag").agg(theta.sketch(F.col("l_orderkey"), 10).alias("sketch"))
-    return made.select("l_returnflag", ft.theta_long(s).alias("theta_long"), ft.retained(s).alias("retained"), whole(ft.estimate(s)).alias("estimate"))
+    return made.select("l_returnflag", ft.theta_long(image()).alias("theta_long"), ft.retained(image()).alias("retained"), whole(ft.estimate(image())).alias("estimate"))
 
 
 @query(hashed("SELECT CASE WHEN l_returnflag = 'A' THEN 'A' ELSE 'B' END AS g, l_orderkey AS v FROM lineitem") + ", kept AS (" + _KEPT.format(g="g") + """),
@@ -121,39 +122,39 @@ def theta_union_mixed_k(spark, d):
     lines = read(spark, d, "lineitem")
     fine = lines.agg(F.expr("theta_sketch_agg(l_orderkey, 8) FILTER (WHERE l_returnflag = 'A')").alias("a"), F.expr("theta_sketch_agg(l_orderkey, 11) FILTER (WHERE l_returnflag <> 'A')").alias("b"))
     u = fine.select(ft.union(F.col("a"), F.col("b")).alias("sketch"))
-    return u.select(ft.theta_long(s).alias("theta_long"), ft.retained(s).alias("retained"))
+    return u.select(ft.theta_long(image()).alias("theta_long"), ft.retained(image()).alias("retained"))
 
 
 @query("SELECT l_returnflag, true AS covered, true AS close FROM lineitem GROUP BY 1")
 def theta_bounds_cover(spark, d):
     made = read(spark, d, "lineitem").groupBy("l_returnflag").agg(theta.sketch(F.col("l_orderkey"), 11).alias("sketch"), F.countDistinct("l_orderkey").alias("n"))
-    covered = (ft.lower_bound(s, 3) <= F.col("n")) & (F.col("n") <= ft.upper_bound(s, 3))
-    return made.select("l_returnflag", covered.alias("covered"), (F.abs(ft.estimate(s) / F.col("n") - 1) < 0.1).alias("close"))
+    covered = (ft.lower_bound(image(), 3) <= F.col("n")) & (F.col("n") <= ft.upper_bound(image(), 3))
+    return made.select("l_returnflag", covered.alias("covered"), (F.abs(ft.estimate(image()) / F.col("n") - 1) < 0.1).alias("close"))
 
 
 @query("SELECT c_nationkey, count(DISTINCT c_custkey)::DOUBLE AS lower, count(DISTINCT c_custkey)::DOUBLE AS upper FROM customer GROUP BY 1")
 def theta_bounds_exact(spark, d):
     made = read(spark, d, "customer").groupBy("c_nationkey").agg(theta.sketch(F.col("c_custkey")).alias("sketch"))
-    return made.select("c_nationkey", ft.lower_bound(s, 2).alias("lower"), ft.upper_bound(s, 2).alias("upper"))
+    return made.select("c_nationkey", ft.lower_bound(image(), 2).alias("lower"), ft.upper_bound(image(), 2).alias("upper"))
 
 
 @query("SELECT c_mktsegment, count(*) AS retained, 1.0::DOUBLE AS theta, false AS is_empty, false AS is_estimating, 37836::BIGINT AS seed_hash FROM (SELECT DISTINCT c_mktsegment, c_custkey FROM customer) GROUP BY 1")
 def theta_header_fields(spark, d):
     made = read(spark, d, "customer").groupBy("c_mktsegment").agg(theta.sketch(F.col("c_custkey")).alias("sketch"))
-    h = headers.theta_header(s)
-    return made.select("c_mktsegment", h["retained"].alias("retained"), ft.theta(s).alias("theta"), h["is_empty"].alias("is_empty"), h["is_estimating"].alias("is_estimating"), h["seed_hash"].alias("seed_hash"))
+    h = headers.theta_header(image())
+    return made.select("c_mktsegment", h["retained"].alias("retained"), ft.theta(image()).alias("theta"), h["is_empty"].alias("is_empty"), h["is_estimating"].alias("is_estimating"), h["seed_hash"].alias("seed_hash"))
 
 
 @query(hashed("SELECT DISTINCT p_partkey AS v FROM part") + " SELECT (h1 >> 1)::BIGINT AS h FROM hashed")
 def theta_hashes(spark, d):
     made = read(spark, d, "part").agg(theta.sketch(F.col("p_partkey"), 16).alias("sketch"))
-    return made.select(F.explode(ft.hashes(s)).alias("h"))
+    return made.select(F.explode(ft.hashes(image())).alias("h"))
 
 
 @query("SELECT p_brand, count(DISTINCT p_name) AS n FROM part GROUP BY 1")
 def theta_string_key(spark, d):
     made = read(spark, d, "part").groupBy("p_brand").agg(theta.sketch(F.col("p_name")).alias("sketch"))
-    return made.select("p_brand", whole(ft.estimate(s)).alias("n"))
+    return made.select("p_brand", whole(ft.estimate(image())).alias("n"))
 
 
 @query("SELECT count(DISTINCT p_brand) AS n, count(DISTINCT p_brand) AS n_binary FROM part")
@@ -161,7 +162,7 @@ def theta_null_empty_ignored(spark, d):
     """Null and empty text change nothing, and text and its bytes are one value."""
     own = read(spark, d, "part").select("p_brand").unionAll(spark.createDataFrame([(None,), ("",)], "p_brand string"))
     made = own.agg(theta.sketch(F.col("p_brand")).alias("sketch"), theta.sketch(F.col("p_brand").cast("binary")).alias("b"))
-    return made.select(whole(ft.estimate(s)).alias("n"), whole(ft.estimate(ft.intersection(s, F.col("b")))).alias("n_binary"))
+    return made.select(whole(ft.estimate(image())).alias("n"), whole(ft.estimate(ft.intersection(image(), F.col("b")))).alias("n_binary"))
 
 
 @query("SELECT count(DISTINCT c_acctbal) + 2 AS n FROM customer")
@@ -169,28 +170,28 @@ def theta_double_canonical(spark, d):
     """Negative zero is zero and every NaN is one value."""
     more = spark.createDataFrame([(0.0,), (-0.0,), (math.nan,), (-math.nan,)], "c_acctbal double")
     made = read(spark, d, "customer").where("c_acctbal <> 0").select("c_acctbal").unionAll(more).agg(theta.sketch(F.col("c_acctbal"), 16).alias("sketch"))
-    return made.select(whole(ft.estimate(s)).alias("n"))
+    return made.select(whole(ft.estimate(image())).alias("n"))
 
 
 @query("SELECT o_orderstatus, 16 + 8 * count(DISTINCT o_custkey) AS v3_size, true AS smaller, count(DISTINCT o_custkey) AS n FROM orders GROUP BY 1")
 def theta_serialize(spark, d):
     """The plain image has 8 bytes a hash; the compressed one is smaller and reads the same."""
     made = read(spark, d, "orders").groupBy("o_orderstatus").agg(theta.sketch(F.col("o_custkey")).alias("sketch"))
-    made = made.select("o_orderstatus", ft.reencode(s).alias("v3"), ft.reencode(ft.reencode(s), compressed=True).alias("v4"))
+    made = made.select("o_orderstatus", ft.reencode(image()).alias("v3"), ft.reencode(ft.reencode(image()), compressed=True).alias("v4"))
     return made.select("o_orderstatus", F.length("v3").cast("long").alias("v3_size"), (F.length("v4") < F.length("v3")).alias("smaller"), whole(ft.estimate(F.col("v4"))).alias("n"))
 
 
 @query("SELECT l_linestatus, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1")
 def theta_other_seed(spark, d):
     made = theta.kmv_sketch(read(spark, d, "lineitem"), ["l_linestatus"], "l_partkey", 14, seed=77)
-    return made.select("l_linestatus", whole(ft.estimate(s)).alias("n"))
+    return made.select("l_linestatus", whole(ft.estimate(image())).alias("n"))
 
 
 @query(hashed("SELECT l_linestatus, l_partkey AS v FROM lineitem") + """
 SELECT l_linestatus, count(DISTINCT h1) FILTER (h1 >> 1 < 4611686018427387904::UBIGINT) AS retained, 4611686018427387904::BIGINT AS theta_long FROM hashed GROUP BY 1""")
 def theta_sampled(spark, d):
     made = theta.kmv_sketch(read(spark, d, "lineitem"), ["l_linestatus"], "l_partkey", 14, p=0.5)
-    return made.select("l_linestatus", ft.retained(s).alias("retained"), ft.theta_long(s).alias("theta_long"))
+    return made.select("l_linestatus", ft.retained(image()).alias("retained"), ft.theta_long(image()).alias("theta_long"))
 
 
 @query("SELECT result, n FROM (SELECT 'Inserted' AS result, count(DISTINCT c_nationkey) AS n FROM customer UNION ALL SELECT 'RejectedDuplicate', count(*) - count(DISTINCT c_nationkey) FROM customer)")
@@ -212,7 +213,7 @@ def theta_alpha(spark, d):
 def sketch_rollup_cube(spark, d):
     fine = read(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(theta.sketch(F.col("l_suppkey")).alias("sketch"))
     out = rollup.grouping_sets(fine, ["l_returnflag", "l_linestatus"], {"sketch": {"family": "theta", "lg_k": 12}}, "cube")
-    return out.select("l_returnflag", "l_linestatus", whole(ft.estimate(s)).alias("n"), "grouping_id")
+    return out.select("l_returnflag", "l_linestatus", whole(ft.estimate(image())).alias("n"), "grouping_id")
 
 
 @query("""SELECT a.o_orderdate::DATE::VARCHAR AS day, count(DISTINCT b.o_custkey) AS n FROM (SELECT DISTINCT o_orderdate::DATE AS o_orderdate FROM orders WHERE o_orderdate < TIMESTAMP '1995-02-15') a
@@ -244,13 +245,13 @@ def seed_hash(spark, d):
 @query("SELECT s_nationkey, count(DISTINCT s_suppkey) AS n FROM supplier GROUP BY 1")
 def hll_build_estimate(spark, d):
     made = hll.sketch_of(read(spark, d, "supplier"), ["s_nationkey"], "s_suppkey")
-    return made.select("s_nationkey", whole(fh.estimate(s)).alias("n"))
+    return made.select("s_nationkey", whole(fh.estimate(image())).alias("n"))
 
 
 @query("SELECT count(DISTINCT s_suppkey) AS n FROM supplier")
 def hll_union(spark, d):
     made = hll.sketch_of(read(spark, d, "supplier"), ["s_nationkey"], "s_suppkey")
-    return made.agg(hll.union(s).alias("sketch")).select(whole(fh.estimate(s)).alias("n"))
+    return made.agg(hll.union(image()).alias("sketch")).select(whole(fh.estimate(image())).alias("n"))
 
 
 _SLOTS = "(h1 & {mask}::UBIGINT)::INTEGER AS slot, max(least(64 - length(bin(h2)) + (CASE WHEN h2 = 0 THEN 1 ELSE 0 END), 62) + 1)::INTEGER AS value"
@@ -259,7 +260,7 @@ _SLOTS = "(h1 & {mask}::UBIGINT)::INTEGER AS slot, max(least(64 - length(bin(h2)
 @query(hashed("SELECT l_orderkey AS v FROM lineitem") + f" SELECT {_SLOTS.format(mask=4095)} FROM hashed GROUP BY 1")
 def hll_registers(spark, d):
     made = read(spark, d, "lineitem").agg(hll.sketch(F.col("l_orderkey"), 12).alias("sketch"))
-    return made.select(F.inline(fh.registers(s)))
+    return made.select(F.inline(fh.registers(image())))
 
 
 @query(hashed("SELECT l_orderkey AS v FROM lineitem") + f" SELECT {_SLOTS.format(mask=1023)} FROM hashed GROUP BY 1")
@@ -268,47 +269,47 @@ def hll_union_mixed_k(spark, d):
     lines = read(spark, d, "lineitem")
     a = lines.where("l_returnflag = 'A'").agg(hll.sketch(F.col("l_orderkey"), 10).alias("sketch"))
     b = lines.where("l_returnflag <> 'A'").agg(hll.sketch(F.col("l_orderkey"), 13).alias("sketch"))
-    return a.unionAll(b).agg(hll.union(s).alias("sketch")).select(F.inline(fh.registers(s)))
+    return a.unionAll(b).agg(hll.union(image()).alias("sketch")).select(F.inline(fh.registers(image())))
 
 
 @query(hashed("SELECT l_orderkey AS v FROM lineitem") + f" SELECT {_SLOTS.format(mask=255)} FROM hashed GROUP BY 1")
 def hll_downsample(spark, d):
     made = read(spark, d, "lineitem").agg(hll.sketch(F.col("l_orderkey"), 12).alias("sketch"))
-    return made.select(F.inline(fh.registers(fh.downsample(s, 8))))
+    return made.select(F.inline(fh.registers(fh.downsample(image(), 8))))
 
 
 @query("SELECT l_returnflag, true AS covered, true AS close FROM lineitem GROUP BY 1")
 def hll_bounds_cover(spark, d):
     made = read(spark, d, "lineitem").groupBy("l_returnflag").agg(hll.sketch(F.col("l_orderkey"), 12).alias("sketch"), F.countDistinct("l_orderkey").alias("n"))
-    covered = (fh.lower_bound(s, 3) <= F.col("n")) & (F.col("n") <= fh.upper_bound(s, 3))
-    return made.select("l_returnflag", covered.alias("covered"), (F.abs(fh.composite_estimate(s) / F.col("n") - 1) < 4 / 64).alias("close"))
+    covered = (fh.lower_bound(image(), 3) <= F.col("n")) & (F.col("n") <= fh.upper_bound(image(), 3))
+    return made.select("l_returnflag", covered.alias("covered"), (F.abs(fh.composite_estimate(image()) / F.col("n") - 1) < 4 / 64).alias("close"))
 
 
 @query("SELECT l_returnflag, true AS same FROM lineitem GROUP BY 1")
 def hll_composite(spark, d):
     """After a union the builtin's estimate is the composite one, rounded."""
     made = read(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(hll.sketch(F.col("l_orderkey"), 10).alias("sketch"))
-    u = made.unionAll(made).groupBy("l_returnflag").agg(hll.union(s).alias("sketch"))
-    return u.select("l_returnflag", (whole(fh.composite_estimate(s)) == F.hll_sketch_estimate(s)).alias("same"))
+    u = made.unionAll(made).groupBy("l_returnflag").agg(hll.union(image()).alias("sketch"))
+    return u.select("l_returnflag", (whole(fh.composite_estimate(image())) == F.hll_sketch_estimate(image())).alias("same"))
 
 
 @query("SELECT c_nationkey, count(DISTINCT c_acctbal) AS n FROM customer GROUP BY 1")
 def hll_double_key(spark, d):
     made = hll.sketch_of(read(spark, d, "customer"), ["c_nationkey"], "c_acctbal")
-    return made.select("c_nationkey", whole(fh.estimate(s)).alias("n"))
+    return made.select("c_nationkey", whole(fh.estimate(image())).alias("n"))
 
 
 @query("SELECT r_regionkey, count(DISTINCT (n_nationkey, n_regionkey)) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
 def hll_array_key(spark, d):
     own = read(spark, d, "nation").select(F.col("n_regionkey").alias("r_regionkey"), F.array(F.col("n_nationkey").cast("long"), F.col("n_regionkey").cast("long")).alias("v"))
-    return hll.sketch_of(own, ["r_regionkey"], "v").select("r_regionkey", whole(fh.estimate(s)).alias("n"))
+    return hll.sketch_of(own, ["r_regionkey"], "v").select("r_regionkey", whole(fh.estimate(image())).alias("n"))
 
 
 @query("SELECT l_returnflag, t AS type, true AS same, b AS size FROM (SELECT DISTINCT l_returnflag FROM lineitem), (VALUES ('HLL_6', 40 + 3 * 1024 / 4 + 1), ('HLL_8', 40 + 1024)) v(t, b)".replace("3 * 1024 / 4", "768"))
 def hll_copy_as(spark, d):
     """Other widths change the bytes, never the estimate."""
     made = read(spark, d, "lineitem").groupBy("l_returnflag").agg(hll.sketch(F.col("l_orderkey"), 10).alias("sketch"))
-    made = made.withColumn("HLL_4", fh.copy_as(s, "HLL_4")).withColumn("HLL_6", fh.copy_as(s, "HLL_6")).withColumn("HLL_8", fh.copy_as(F.col("HLL_4"), "HLL_8"))
+    made = made.withColumn("HLL_4", fh.copy_as(image(), "HLL_4")).withColumn("HLL_6", fh.copy_as(image(), "HLL_6")).withColumn("HLL_8", fh.copy_as(F.col("HLL_4"), "HLL_8"))
     each = made.select("l_returnflag", "sketch", F.explode(F.array(*[F.struct(F.lit(t).alias("type"), F.col(t).alias("image")) for t in ("HLL_6", "HLL_8")])).alias("x"))
     same = (F.hll_sketch_estimate("sketch") == F.hll_sketch_estimate("x.image")) & (headers.hll_header(F.col("x.image"))["type"] == F.col("x.type"))
     return each.select("l_returnflag", "x.type", same.alias("same"), F.length("x.image").alias("size"))
@@ -318,7 +319,7 @@ def hll_copy_as(spark, d):
 def hll_header_fields(spark, d):
     big = read(spark, d, "lineitem").groupBy("l_returnflag").agg(hll.sketch(F.col("l_orderkey"), 10).alias("sketch"))
     few = read(spark, d, "nation").agg(hll.sketch(F.col("n_nationkey"), 12).alias("sketch")).select(F.lit("nations").alias("l_returnflag"), "sketch")
-    h = headers.hll_header(s)
+    h = headers.hll_header(image())
     return big.unionByName(few).select("l_returnflag", *[h[x].alias(x) for x in ("lg_k", "mode", "type", "is_empty")])
 
 
@@ -339,7 +340,7 @@ def _spread(df: DataFrame, key: str, values: Column, name: str) -> DataFrame:
 
 @query("SELECT l_returnflag, unnest(range(5))::INTEGER AS i, unnest(quantile_disc(l_extendedprice, [0.0, 0.1, 0.5, 0.9, 1.0])) AS q FROM lineitem GROUP BY 1")
 def kll_quantiles(spark, d):
-    return _spread(_prices(spark, d), "l_returnflag", fk.quantiles(s, _RANKS), "q")
+    return _spread(_prices(spark, d), "l_returnflag", fk.quantiles(image(), _RANKS), "q")
 
 
 def _rank_sql(compare: str) -> str:
@@ -348,12 +349,12 @@ def _rank_sql(compare: str) -> str:
 
 @query(_rank_sql("<="))
 def kll_ranks(spark, d):
-    return _spread(_prices(spark, d), "l_returnflag", fk.ranks(s, _SPLITS), "r")
+    return _spread(_prices(spark, d), "l_returnflag", fk.ranks(image(), _SPLITS), "r")
 
 
 @query(_rank_sql("<"))
 def kll_exclusive_rank(spark, d):
-    return _spread(_prices(spark, d), "l_returnflag", fk.ranks(s, _SPLITS, inclusive=False), "r")
+    return _spread(_prices(spark, d), "l_returnflag", fk.ranks(image(), _SPLITS, inclusive=False), "r")
 
 
 _CDF = "SELECT l_returnflag, i::INTEGER AS i, CASE WHEN i = 3 THEN 1.0::DOUBLE ELSE count(*) FILTER (v <= ([1000.0, 20000.0, 50000.0])[i + 1]::DOUBLE)::DOUBLE / count(*) END AS c {p}, range(4) t(i) GROUP BY l_returnflag, t.i".format(p=_PRICES)
@@ -361,12 +362,12 @@ _CDF = "SELECT l_returnflag, i::INTEGER AS i, CASE WHEN i = 3 THEN 1.0::DOUBLE E
 
 @query(_CDF)
 def kll_cdf(spark, d):
-    return _spread(_prices(spark, d), "l_returnflag", fk.cdf(s, _SPLITS), "c")
+    return _spread(_prices(spark, d), "l_returnflag", fk.cdf(image(), _SPLITS), "c")
 
 
 @query(f"SELECT l_returnflag, i, c - coalesce(lag(c) OVER (PARTITION BY l_returnflag ORDER BY i), 0) AS m FROM ({_CDF})")
 def kll_pmf(spark, d):
-    return _spread(_prices(spark, d), "l_returnflag", fk.pmf(s, _SPLITS), "m")
+    return _spread(_prices(spark, d), "l_returnflag", fk.pmf(image(), _SPLITS), "m")
 
 
 @query("""SELECT l_returnflag, i::INTEGER AS i, list_sort(list(l_extendedprice))[least(floor(round(([0.0, 0.1, 0.5, 0.9, 1.0])[i + 1]::DOUBLE * count(*), 7))::BIGINT + 1, count(*))] AS q
@@ -375,7 +376,7 @@ def kll_exclusive_quantile(spark, d):
     """The lowest item with a cumulative weight above the rank; the ranks come as a column."""
     ranks = F.array(*map(F.lit, _RANKS))
     each = _prices(spark, d).select("l_returnflag", "sketch", F.posexplode(ranks).alias("i", "rank"))
-    return each.select("l_returnflag", "i", fk.quantile_at(s, F.col("rank"), inclusive=False).alias("q"))
+    return each.select("l_returnflag", "i", fk.quantile_at(image(), F.col("rank"), inclusive=False).alias("q"))
 
 
 @query("SELECT o_orderpriority, o_orderstatus, count(*) FILTER (v < m)::DOUBLE / count(*) AS r FROM (SELECT o_orderpriority, o_totalprice AS v FROM orders), (SELECT o_orderstatus, max(o_totalprice) / 2 AS m FROM orders GROUP BY 1) GROUP BY ALL")
@@ -384,21 +385,21 @@ def kll_column_args(spark, d):
     orders = read(spark, d, "orders")
     made = orders.groupBy("o_orderpriority").agg(kll.sketch(F.col("o_totalprice"), 65535).alias("sketch"))
     asked = orders.groupBy("o_orderstatus").agg((F.max("o_totalprice") / 2).alias("m"))
-    return made.crossJoin(asked).select("o_orderpriority", "o_orderstatus", fk.rank_of(s, F.col("m"), inclusive=False).alias("r"))  # 5 rows by 3
+    return made.crossJoin(asked).select("o_orderpriority", "o_orderstatus", fk.rank_of(image(), F.col("m"), inclusive=False).alias("r"))  # 5 rows by 3
 
 
 @query("SELECT count(*) AS n, quantile_disc(o_totalprice, 0.25) AS q1, quantile_disc(o_totalprice, 0.75) AS q3 FROM orders")
 def kll_merge(spark, d):
     by = read(spark, d, "orders").groupBy("o_orderstatus").agg(kll.sketch(F.col("o_totalprice"), 65535).alias("sketch"))
-    q = fk.quantiles(s, [0.25, 0.75])
-    return by.agg(kll.merge(s).alias("sketch")).select(fk.n(s).alias("n"), q[0].alias("q1"), q[1].alias("q3"))
+    q = fk.quantiles(image(), [0.25, 0.75])
+    return by.agg(kll.merge(image()).alias("sketch")).select(fk.n(image()).alias("n"), q[0].alias("q1"), q[1].alias("q3"))
 
 
 @query("SELECT l_returnflag, count(*) AS n, min(l_extendedprice) AS least, max(l_extendedprice) AS most FROM lineitem GROUP BY 1")
 def kll_min_max_n(spark, d):
     made = _prices(spark, d, 200)  # least, most and n are exact at any k
-    e = made.withColumn("e", fk.extremes(s))
-    return e.select("l_returnflag", fk.n(s).alias("n"), F.col("e.least").alias("least"), F.col("e.most").alias("most"))
+    e = made.withColumn("e", fk.extremes(image()))
+    return e.select("l_returnflag", fk.n(image()).alias("n"), F.col("e.least").alias("least"), F.col("e.most").alias("most"))
 
 
 @query("SELECT l_returnflag, true AS close FROM lineitem GROUP BY 1")
@@ -406,13 +407,13 @@ def kll_estimation_mode(spark, d):
     """At k = 200 ranks are within twice the normalised error."""
     exact = read(spark, d, "lineitem").groupBy("l_returnflag").agg(F.avg((F.col("l_extendedprice") <= 20000.0).cast("double")).alias("r"))
     made = _prices(spark, d, 200).join(exact, "l_returnflag")
-    return made.select("l_returnflag", (F.abs(fk.ranks(s, [20000.0])[0] - F.col("r")) <= 2 * fk.rank_error(s)).alias("close"))
+    return made.select("l_returnflag", (F.abs(fk.ranks(image(), [20000.0])[0] - F.col("r")) <= 2 * fk.rank_error(image())).alias("close"))
 
 
 @query("SELECT l_returnflag, round(2.296 / pow(200, 0.9723), 12) AS error, round(2.446 / pow(200, 0.9433), 12) AS mass_error FROM lineitem GROUP BY 1")
 def kll_rank_error(spark, d):
     made = _prices(spark, d, 200)
-    return made.select("l_returnflag", F.round(fk.rank_error(s), 12).alias("error"), F.round(fk.rank_error(s, mass=True), 12).alias("mass_error"))
+    return made.select("l_returnflag", F.round(fk.rank_error(image()), 12).alias("error"), F.round(fk.rank_error(image(), mass=True), 12).alias("mass_error"))
 
 
 @query("SELECT e AS epsilon, k FROM (VALUES (0.0133::DOUBLE, 200), (0.5::DOUBLE, 8)) v(e, k)")
@@ -423,7 +424,7 @@ def kll_k_from_epsilon(spark, d):
 @query("SELECT s_acctbal AS item, (row_number() OVER (ORDER BY s_acctbal))::BIGINT AS cumulative FROM supplier")
 def kll_items(spark, d):
     made = read(spark, d, "supplier").agg(kll.sketch(F.col("s_acctbal"), 65535).alias("sketch"))
-    return made.select(F.inline(fk.items(s)))
+    return made.select(F.inline(fk.items(image())))
 
 
 @query("SELECT o_orderstatus, quantile_disc(o_totalprice::FLOAT, 0.5) AS q_float, quantile_disc(o_custkey, 0.5) AS q_bigint FROM orders GROUP BY 1")
@@ -435,7 +436,7 @@ def kll_other_types(spark, d):
 @query("SELECT o_orderstatus, 65535 AS k, count(*) AS n, 65535 AS min_k, 1 AS levels, false AS is_estimating FROM orders GROUP BY 1")
 def kll_header_fields(spark, d):
     made = read(spark, d, "orders").groupBy("o_orderstatus").agg(kll.sketch(F.col("o_totalprice"), 65535).alias("sketch"))
-    h = headers.kll_header(s)
+    h = headers.kll_header(image())
     return made.select("o_orderstatus", *[h[x].alias(x) for x in ("k", "n", "min_k", "levels", "is_estimating")])
 
 
