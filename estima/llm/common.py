@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -46,6 +47,13 @@ def drop_stored(*frames: DataFrame) -> None:
                 folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of frames that nothing refers to any more, rather than when the driver next happens to collect
+    garbage: a step that comes after a large shuffle then doesn't add to its disk."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_or_empty(df: DataFrame, column: str = "text") -> DataFrame:
     return df.withColumn(column, F.coalesce(F.col(column), F.lit("")))
 

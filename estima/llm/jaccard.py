@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from estima.llm.common import drop_stored, row_chunks, stored
+from estima.llm.common import drop_stored, release, row_chunks, stored
 
 BAND = 1.3  # ratio of a band's sizes
 SMALL = 6  # most nodes of a bucket that are compared pair by pair at once
@@ -225,39 +225,59 @@ def _in_band(s: np.ndarray, band: int, percent: int) -> np.ndarray:
     return out[enough] if telling else out
 
 
+SEEN = 1 << 18  # nodes that a task remembers so as to send equal sets once
+
+
 def _sets(docs: DataFrame, width: int, percent: int, what: str, bitmap=None) -> DataFrame:
-    """what: "node" -> doc_id, n_shingles, node (null for the empty set); "signature" -> signature, node, each pair once a
-    batch, those alone that the broadcast bitmap, if any, lets pass; "set" -> node, items."""
+    """what: "node" -> doc_id, n_shingles, node (null for the empty set), a row for each row; and, for a set once as far as a task
+    remembers: "signature" -> signature; "member" -> signature, node, size; "set" -> node, items. The broadcast bitmap, if any, rules
+    out signatures, or nodes of sets."""
     own = docs.select("doc_id", "text") if what == "node" else docs.select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for part in row_chunks(batches):
             sets = shingle_sets(part.column(part.num_columns - 1).cast(pa.binary()).to_pylist(), width)
             nodes = [node_of(s) if len(s) else None for s in sets]
             if what == "node":
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64())], names=["doc_id", "n_shingles", "node"])
                 continue
-            once = dict(zip(nodes, sets, strict=True))
-            once.pop(None, None)
+            once = {n: s for n, s in zip(nodes, sets, strict=True) if n is not None and n not in seen}
+            if len(seen) + len(once) > SEEN:
+                seen.clear()
+            seen.update(once)
+            if what == "set" and bitmap is not None:
+                keys = np.array(list(once), np.int64)
+                once = {n: once[n] for n in keys[_in_bitmap(bitmap.value, keys)].tolist()}
             if not once:
                 continue
-            if what == "signature":
-                found = {n: signatures(s, percent) for n, s in once.items()}
-                if bitmap is not None:
-                    shift = np.uint64(62 - len(bitmap.value).bit_length())  # 2^b bytes: the leading b + 3 bits
-                    for n, x in found.items():
-                        at = x.view(np.uint64) >> shift
-                        found[n] = x[(bitmap.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(list(found.values()))), pa.array(np.repeat(np.array(list(found), np.int64), [len(x) for x in found.values()]))], names=["signature", "node"])
-            else:
+            keys = np.array(list(once), np.int64)
+            if what == "set":
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in once.values()])]).astype(np.int32)
                 items = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(list(once.values())).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(list(once), pa.int64()), items], names=["node", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), items], names=["node", "items"])
+                continue
+            found = [signatures(s, percent) for s in once.values()]
+            if bitmap is not None:
+                found = [x[_in_bitmap(bitmap.value, x)] for x in found]
+            flat = pa.array(np.concatenate(found))
+            if what == "signature":
+                yield pa.RecordBatch.from_arrays([flat], names=["signature"])
+            else:
+                n = [len(x) for x in found]
+                sizes = np.array([len(s) for s in once.values()], np.int32)
+                yield pa.RecordBatch.from_arrays([flat, pa.array(np.repeat(keys, n)), pa.array(np.repeat(sizes, n))], names=["signature", "node", "size"])
 
-    schema = {"node": f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, node long", "signature": "signature long, node long", "set": "node long, items array<long>"}
+    schema = {"node": f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, node long", "signature": "signature long", "member": "signature long, node long, size int", "set": "node long, items array<long>"}
     return own.mapInArrow(run, schema[what])
 
 
+def _in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    shift = np.uint64(62 - len(bits).bit_length())  # 2^b bytes: the leading b + 3 bits
+    at = values.view(np.uint64) >> shift
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def _checked(df: DataFrame) -> DataFrame:
     """A stored table, marked for broadcast if it has few rows; else Spark shuffles and splits skewed keys."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
@@ -323,50 +343,58 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
             return labels
 
 
-def _bitmap(shared: DataFrame) -> np.ndarray:
-    """Bits at the leading bits of the signatures, 2^16 to MOST_BITS of them, however many signatures there are."""
-    n = shared.count()
+def _bitmap(values: DataFrame):
+    """A broadcast bitmap of a column of hashes: bits at their leading bits, 2^16 to 2^MOST_BITS of them, however many hashes there are."""
+    n = values.count()
     bits = min(MOST_BITS, max(16, (16 * n).bit_length()))
-    at = shared.select(F.shiftrightunsigned("signature", 64 - bits).alias("at"))
+    (name,) = values.columns
+    at = values.select(F.shiftrightunsigned(name, 64 - bits).alias("at"))
     words = at.groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 AS INT)))").alias("bits")).toPandas()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return out.view(np.uint8)
+    return values.sparkSession.sparkContext.broadcast(out.view(np.uint8))
 
 
 def _members(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """signature, node of all signatures that more than one node has.
+    """signature, node, size (of the set), fellows (in the bucket) of all signatures that more than one node has.
 
-    A first pass finds these signatures. The second makes the signatures again and sends on, for the exact join, just those
-    that a bitmap of bounded size doesn't rule out; most signatures are one node's own.
+    A first pass counts signatures, 8 bytes each. The second makes them again and sends on, for the exact join, just those that a bitmap of
+    bounded size doesn't rule out; most signatures are one node's own.
     """
-    rows = _sets(docs, width, percent, "signature")
-    shared = stored(rows.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("signature"), "shared")
-    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(shared))
-    again = _sets(docs, width, percent, "signature", bitmap)
-    return stored(again.join(_checked(shared), "signature").distinct(), "members")
-
-
-def node_components(docs: DataFrame, own: DataFrame, width: int, percent: int) -> DataFrame:
-    """node, label for the nodes that are linked with another; own: doc_id, n_shingles, node of docs."""
+    shared = stored(_sets(docs, width, percent, "signature").groupBy("signature").count().where("count > 1").select("signature"), "shared")
+    release(docs.sparkSession)
+    again = _sets(docs, width, percent, "member", _bitmap(shared))
+    rows = stored(again.join(_checked(shared), "signature").distinct(), "rows")
+    counts = rows.groupBy("signature").agg(F.count("*").alias("fellows")).where("fellows > 1")
+    members = stored(rows.join(counts, "signature"), "members")
+    drop_stored(shared, rows)
+    return members
+
+
+def node_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """node, label for the nodes that are linked with another."""
     members = _members(docs, width, percent)
-    first = stored(own.where("node is not null").join(members.select("node").distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "wanted")
-    texts = docs.join(_checked(first.select("doc_id")), "doc_id", "left_semi")
-    sets = stored(_sets(texts, width, percent, "set").dropDuplicates(["node"]), "sets")
-
-    sized = members.join(members.groupBy("signature").agg(F.count("*").alias("size")), "signature")
     # a bucket's pivot is the node with the most fellows: copies that were edited share more with their origin than with each other
-    fellows = sized.groupBy("node").agg(F.sum("size").alias("fellows"))
-    sized = stored(sized.join(fellows, "node"), "buckets")
-    small = sized.where(F.col("size") <= SMALL).groupBy("signature").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select("nodes").distinct()  # SMALL nodes at most
-    pairs = small.select(F.explode(F.flatten(F.transform("nodes", lambda x: F.transform(F.filter("nodes", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
-    large = sized.where(F.col("size") > SMALL)
-    pivots = stored(large.groupBy("signature").agg(F.max(F.struct("fellows", "node")).alias("top")).select("signature", F.col("top.node").alias("pivot")), "pivots")
-    stars = large.join(_checked(pivots), "signature").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stored(compared(stars, sets, percent, differences=True), "stars")
+    large = members.where(F.col("fellows") > SMALL)
+    known = large.groupBy("node").agg(F.sum("fellows").alias("all_fellows"))
+    large = large.select("signature", "node").join(known, "node")
+    pivots = stored(large.groupBy("signature").agg(F.max(F.struct("all_fellows", "node")).alias("top")).select("signature", F.col("top.node").alias("pivot")), "pivots")
+    stars = stored(large.join(_checked(pivots), "signature").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    # SMALL nodes at most
+    small = members.where(F.col("fellows") <= SMALL).groupBy("signature").agg(F.sort_array(F.collect_list(F.struct("node", "size"))).alias("all")).select("all").distinct()
+    fits = lambda x, y: 100 * F.least(x["size"], y["size"]) >= percent * F.greatest(x["size"], y["size"])
+    paired = F.flatten(F.transform("all", lambda x: F.transform(F.filter("all", lambda y: (y["node"] > x["node"]) & fits(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
+    pairs = stored(small.select(F.explode(paired).alias("p")).select("p.a", "p.b").distinct(), "pairs")
+    wanted = stars.select(F.col("a").alias("node")).union(stars.select("b")).union(pairs.select("a")).union(pairs.select("b")).distinct()
+    sets = stored(_sets(docs, width, percent, "set", _bitmap(wanted)).dropDuplicates(["node"]), "sets")
+    release(docs.sparkSession)
+
+    stars = stored(compared(stars, sets, percent, differences=True), "compared")
     with_others = stored(stars.where("not linked").select("a").distinct(), "open")
     rest = pairs.union(_others(stars.join(_checked(with_others), "a", "left_semi"), percent)).distinct()
     tested = stored(compared(rest, sets, percent), "tested")
+    drop_stored(members, sets)
+    release(docs.sparkSession)
     return components(tested.where("linked").select("a", "b").union(stars.where("linked").select("a", "b")))
 
 
@@ -379,7 +407,7 @@ def join_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     are read; other columns are ignored. Shingles and sets are told apart by 64-bit hashes.
     """
     own = stored(_sets(docs, width, percent, "node"), "nodes")
-    labels = node_components(docs, own, width, percent)
+    labels = node_components(docs, width, percent)
     classes = own.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     classes = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     by_label = classes.groupBy("label").agg(F.min("least").alias("component_id"))
