@@ -35,7 +35,7 @@ from estima.llm.common import drop_stored, release, row_chunks, stored
 
 BAND = 1.3  # ratio of a band's sizes
 SMALL = 6  # most nodes of a bucket that are compared pair by pair at once
-MOST_BITS = 27  # of the bitmap that spares most signatures the second shuffle: 2^27 bits, 16 MB as it is sent
+MOST_BITS = 26  # of the bitmap that spares most signatures the second shuffle: 2^26 bits, 8 MB as it is sent
 BROADCAST_ROWS = 100_000  # a table of two longs a row with at most so many rows is broadcast
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -349,9 +349,22 @@ def _bitmap(values: DataFrame):
     bits = min(MOST_BITS, max(16, (16 * n).bit_length()))
     (name,) = values.columns
     at = values.select(F.shiftrightunsigned(name, 64 - bits).alias("at"))
-    words = at.groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 AS INT)))").alias("bits")).toPandas()
-    out = np.zeros(1 << (bits - 6), np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    words = at.groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 AS INT)))").alias("bits"))
+    blocks = words.groupBy(F.expr("shiftright(word, 10)").alias("block")).agg(F.collect_list(F.struct("word", "bits")).alias("words"))  # 1024 at most
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = []
+            for words in batch.column(1):
+                word, own = (words.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                block = np.zeros(1024, np.int64)
+                block[word & 1023] = own
+                packed.append(block.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["block", "bits"])
+
+    out = np.zeros(max(1 << (bits - 6), 1024), np.int64)
+    for r in blocks.mapInArrow(pack, "block long, bits binary").collect():  # 8 MB at most
+        out[1024 * r["block"] : 1024 * (r["block"] + 1)] = np.frombuffer(r["bits"], np.int64)
     return values.sparkSession.sparkContext.broadcast(out.view(np.uint8))
 
 

@@ -83,7 +83,8 @@ class OrdinalModel:
 
     def above(self, scores: np.ndarray) -> np.ndarray:
         """P(grade > k) for each k but the last grade."""
-        return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.thresholds[None, :], -500, 500)))
+        with np.errstate(over="ignore"):
+            return 1 / (1 + np.exp(self.thresholds[None, :] - scores[:, None]))
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, most: int = LABELLED, seed: int = 0) -> pd.DataFrame:
@@ -122,8 +123,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED, features: int
     rows = sample_labelled(docs, labels, most)
     toxic = rows["toxic"].to_numpy() == 1
     if not toxic.any() or toxic.all():
-        return OrdinalModel(np.full(1 << BITS, -1, np.int32), np.zeros(1), np.full(GRADES - 1, 500.0))
-    by_class = [np.bincount(np.concatenate(rows["found"][m].to_list()).astype(np.int64), minlength=1 << BITS) for m in (~toxic, toxic)]
+        return OrdinalModel(np.full(1 << BITS, -1, np.int32), np.zeros(1), np.full(GRADES - 1, np.inf))
+    by_class = np.zeros((2, 1 << BITS), np.int64)
+    for found, kind in zip(rows["found"], toxic.astype(int), strict=True):
+        by_class[kind, found] += 1
     rate0, rate1 = (by_class[0] + 0.5) / ((~toxic).sum() + 1), (by_class[1] + 0.5) / (toxic.sum() + 1)
     # how far the shares differ, in standard errors
     pooled = (by_class[0] + by_class[1] + 1) / (len(rows) + 2)
