@@ -189,30 +189,44 @@ def _subsets(n: int, size: int) -> np.ndarray:
     return np.array(list(itertools.combinations(range(n), size)))
 
 
+def bands_of(size: int, percent: int) -> list[int]:
+    """A set's own band and, if it can be linked there, the next."""
+    band, edges = band_of(size, percent), band_edges(percent)
+    return [band] + [band + 1] * (size * 100 // percent >= edges[band + 1])
+
+
 def signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """Signed 64-bit signatures of a set, for its own band and, if it can be linked there, for the next."""
+    """Signed 64-bit signatures of a set, for all its bands."""
     if not len(s):
         return np.empty(0, np.int64)
-    band, edges = band_of(len(s), percent), band_edges(percent)
-    bands = [band] + [band + 1] * (len(s) * 100 // percent >= edges[band + 1])
-    return np.concatenate([_in_band(s, b, percent) for b in bands]).view(np.int64)
+    return np.concatenate([_in_band(s, b, percent)[0] for b in bands_of(len(s), percent)])
+
 
+def signatures_told(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """signatures(), and for each its band and how many signatures of that band a linked set has in common with this one at least."""
+    bands = bands_of(len(s), percent)
+    found = [_in_band(s, b, percent) for b in bands]
+    n = [len(x) for x, _ in found]
+    return np.concatenate([x for x, _ in found]), np.repeat(np.array(bands, np.int32), n), np.repeat(np.array([need for _, need in found], np.int32), n)
 
-def _in_band(s: np.ndarray, band: int, percent: int) -> np.ndarray:
+
+def _in_band(s: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, int]:
+    """The band's signatures, and how many of them a linked set shares: K differences spoil at most K of the telling ones."""
     k, n, least = scheme(band, percent)
     tag = mix(np.array([band + 1], np.uint64) << np.uint64(40))
     value = mix(s ^ tag)
     total = value.sum(dtype=np.uint64)
     if k == 0:
-        return mix(np.array([total], np.uint64) ^ tag)
+        return mix(np.array([total], np.uint64) ^ tag).view(np.int64), 1
     if k == 1:
-        return np.unique(mix(np.concatenate([[total], total - value]) ^ tag))
+        return np.unique(mix(np.concatenate([[total], total - value]) ^ tag)).view(np.int64), 1
     part = ((mix(value) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     count = np.bincount(part, minlength=n)
     ends = np.cumsum(count)
     run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[order], dtype=np.uint64)])
     sums = run[ends] - run[ends - count]
+    need = 1
     if k < 4:
         sets = _subsets(n, 3)
         sums, count = sums[sets].sum(1, dtype=np.uint64), count[sets].sum(1)
@@ -221,8 +235,9 @@ def _in_band(s: np.ndarray, band: int, percent: int) -> np.ndarray:
     else:
         enough = count >= least
         telling = enough.sum() > k
-    out = mix(mix(sums) + tag + np.arange(len(sums), dtype=np.uint64))
-    return out[enough] if telling else out
+        need = int(enough.sum()) - k if telling else 1
+    out = mix(mix(sums) + tag + np.arange(len(sums), dtype=np.uint64)).view(np.int64)
+    return (out[enough] if telling else out), need
 
 
 SEEN = 1 << 18  # nodes that a task remembers so as to send equal sets once
@@ -230,7 +245,7 @@ SEEN = 1 << 18  # nodes that a task remembers so as to send equal sets once
 
 def _sets(docs: DataFrame, width: int, percent: int, what: str, bitmap=None) -> DataFrame:
     """what: "node" -> doc_id, n_shingles, node (null for the empty set), a row for each row; and, for a set once as far as a task
-    remembers: "signature" -> signature; "member" -> signature, node, size; "set" -> node, items. The broadcast bitmap, if any, rules
+    remembers: "signature" -> signature; "member" -> signature, band, need, node, size; "set" -> node, items. The broadcast bitmap, if any, rules
     out signatures, or nodes of sets."""
     own = docs.select("doc_id", "text") if what == "node" else docs.select("text")
 
@@ -257,18 +272,17 @@ def _sets(docs: DataFrame, width: int, percent: int, what: str, bitmap=None) ->
                 items = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(list(once.values())).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(keys), items], names=["node", "items"])
                 continue
-            found = [signatures(s, percent) for s in once.values()]
-            if bitmap is not None:
-                found = [x[_in_bitmap(bitmap.value, x)] for x in found]
-            flat = pa.array(np.concatenate(found))
             if what == "signature":
-                yield pa.RecordBatch.from_arrays([flat], names=["signature"])
-            else:
-                n = [len(x) for x in found]
-                sizes = np.array([len(s) for s in once.values()], np.int32)
-                yield pa.RecordBatch.from_arrays([flat, pa.array(np.repeat(keys, n)), pa.array(np.repeat(sizes, n))], names=["signature", "node", "size"])
-
-    schema = {"node": f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, node long", "signature": "signature long", "member": "signature long, node long, size int", "set": "node long, items array<long>"}
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([signatures(s, percent) for s in once.values()]))], names=["signature"])
+                continue
+            found = [signatures_told(s, percent) for s in once.values()]
+            n = [len(x) for x, _, _ in found]
+            sizes = np.array([len(s) for s in once.values()], np.int32)
+            columns = [*(np.concatenate(x) for x in zip(*found, strict=True)), np.repeat(keys, n), np.repeat(sizes, n)]
+            passed = _in_bitmap(bitmap.value, columns[0])
+            yield pa.RecordBatch.from_arrays([pa.array(x[passed]) for x in columns], names=["signature", "band", "need", "node", "size"])
+
+    schema = {"node": f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, node long", "signature": "signature long", "member": "signature long, band int, need int, node long, size int", "set": "node long, items array<long>"}
     return own.mapInArrow(run, schema[what])
 
 
@@ -369,7 +383,7 @@ def _bitmap(values: DataFrame):
 
 
 def _members(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """signature, node, size (of the set), fellows (in the bucket) of all signatures that more than one node has.
+    """signature, band, need, node, size (of the set), fellows (in the bucket) of all signatures that more than one node has.
 
     A first pass counts signatures, 8 bytes each. The second makes them again and sends on, for the exact join, just those that a bitmap of
     bounded size doesn't rule out; most signatures are one node's own.
@@ -393,11 +407,14 @@ def node_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     large = large.select("signature", "node").join(known, "node")
     pivots = stored(large.groupBy("signature").agg(F.max(F.struct("all_fellows", "node")).alias("top")).select("signature", F.col("top.node").alias("pivot")), "pivots")
     stars = stored(large.join(_checked(pivots), "signature").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    # SMALL nodes at most
-    small = members.where(F.col("fellows") <= SMALL).groupBy("signature").agg(F.sort_array(F.collect_list(F.struct("node", "size"))).alias("all")).select("all").distinct()
-    fits = lambda x, y: 100 * F.least(x["size"], y["size"]) >= percent * F.greatest(x["size"], y["size"])
-    paired = F.flatten(F.transform("all", lambda x: F.transform(F.filter("all", lambda y: (y["node"] > x["node"]) & fits(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
-    pairs = stored(small.select(F.explode(paired).alias("p")).select("p.a", "p.b").distinct(), "pairs")
+    # of pairs in small buckets only those go on whose sizes allow a link and that share as many signatures as a link needs
+    small = members.where(F.col("fellows") <= SMALL).groupBy("signature", "band").agg(F.collect_list(F.struct("node", "size", "need")).alias("all"))  # SMALL nodes at most
+    fits = lambda x, y: (y["node"] > x["node"]) & (100 * F.least(x["size"], y["size"]) >= percent * F.greatest(x["size"], y["size"]))
+    pair = lambda x, y: F.struct(x["node"].alias("a"), y["node"].alias("b"), F.greatest(x["need"], y["need"]).alias("need"))
+    paired = F.flatten(F.transform("all", lambda x: F.transform(F.filter("all", lambda y: fits(x, y)), lambda y: pair(x, y))))
+    pairs = small.select("band", F.explode(paired).alias("p")).groupBy("p.a", "p.b", "band").agg(F.count("*").alias("n"), F.max("p.need").alias("need"))
+    # linked nodes that meet in a large bucket are found by way of its pivot; others have all that they share in small ones
+    pairs = stored(pairs.where("n >= need").select("a", "b").distinct(), "pairs")
     wanted = stars.select(F.col("a").alias("node")).union(stars.select("b")).union(pairs.select("a")).union(pairs.select("b")).distinct()
     sets = stored(_sets(docs, width, percent, "set", _bitmap(wanted)).dropDuplicates(["node"]), "sets")
     release(docs.sparkSession)
