@@ -87,10 +87,10 @@ def in_buckets(vectors: DataFrame, tables: int, hashes: int, probes: int) -> Dat
                     for t in range(tables):
                         codes = bucket_codes(v, t, hashes, probes)
                         rows = own.take(pa.array(np.repeat(np.arange(len(v)), codes.shape[1])))
-                        names = [f"{dim}:{t}:{c}" for c in codes.reshape(-1)]
-                        yield pa.RecordBatch.from_arrays([pa.array(names), rows.column(0), rows.column(1)], names=["bucket", "id", "v"])
+                        buckets = ((int(dim) << 40) + (t << 32)) + codes.reshape(-1)  # dimension, table and code in one number
+                        yield pa.RecordBatch.from_arrays([pa.array(buckets), rows.column(0), rows.column(1)], names=["bucket", "id", "v"])
 
-    return vectors.select("vec_id", "v", "dim").mapInArrow(run, "bucket string, id long, v array<double>")
+    return vectors.select("vec_id", "v", "dim").mapInArrow(run, "bucket long, id long, v array<double>")
 
 
 def nearest_in_block(k: int):

@@ -96,6 +96,9 @@ def test_linked_sets_share_a_signature(n, percent, gone, more, seed):
     common = len(np.intersect1d(a, b))
     if len(b) and 100 * common >= percent * (len(a) + len(b) - common):
         assert len(np.intersect1d(jc.signatures(a, percent), jc.signatures(b, percent)))
+        told = [{(x, band): need for x, band, need in zip(*(c.tolist() for c in jc.signatures_told(s, percent)), strict=True)} for s in (a, b)]
+        shared = [k for k in told[0] if k in told[1]]
+        assert any(sum(band == k[1] for _, band in shared) >= max(told[0][k], told[1][k]) for k in shared)
 
 
 @given(st.lists(st.text(alphabet="aAbB \n\té ", max_size=30), max_size=6), st.integers(1, 4))
