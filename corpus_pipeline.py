@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estima.llm import bpe, jaccard, mixing, secret_scan, toxicity
-from estima.llm.common import stored, table
+from estima.llm.common import drop_stored, stored, table
 from estima.llm.queries import tokenizer_path
 
 
@@ -50,7 +50,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, name.replace(" ", "-"))
+        kept = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return kept
+        kept = stored(kept, name.replace(" ", "-"))
+        if k:
+            drop_stored(docs)
+        docs = kept
     return docs

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from estima.llm.common import drop_stored, release, row_chunks, stored
 
 BAND = 1.3  # ratio of a band's sizes
+ROUNDS = 2  # of leaving out nodes that share too few signatures; more would leave out a little more
 SMALL = 6  # most nodes of a bucket that are compared pair by pair at once
 MOST_BITS = 26  # of the bitmap that spares most signatures the second shuffle: 2^26 bits, 8 MB as it is sent
 BROADCAST_ROWS = 100_000  # a table of two longs a row with at most so many rows is broadcast
@@ -280,6 +281,9 @@ def _sets(docs: DataFrame, width: int, percent: int, what: str, bitmap=None) ->
             sizes = np.array([len(s) for s in once.values()], np.int32)
             columns = [*(np.concatenate(x) for x in zip(*found, strict=True)), np.repeat(keys, n), np.repeat(sizes, n)]
             passed = _in_bitmap(bitmap.value, columns[0])
+            # a linked set shares at least `need` signatures of its band, so with fewer that may be shared there is no link
+            group = 2 * np.repeat(np.arange(len(n)), n) + (columns[1] != np.repeat(columns[1][np.cumsum([0, *n[:-1]])], n))
+            passed &= np.bincount(group, passed, 2 * len(n))[group] >= columns[2]
             yield pa.RecordBatch.from_arrays([pa.array(x[passed]) for x in columns], names=["signature", "band", "need", "node", "size"])
 
     schema = {"node": f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, node long", "signature": "signature long", "member": "signature long, band int, need int, node long, size int", "set": "node long, items array<long>"}
@@ -392,9 +396,18 @@ def _members(docs: DataFrame, width: int, percent: int) -> DataFrame:
     release(docs.sparkSession)
     again = _sets(docs, width, percent, "member", _bitmap(shared))
     rows = stored(again.join(_checked(shared), "signature").distinct(), "rows")
+    drop_stored(shared)
+    for _ in range(ROUNDS):
+        # signatures that more than one node has, and of these only those of nodes that share enough of them in the band for a link
+        met = rows.join(rows.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1").select("signature"), "signature")
+        enough = met.groupBy("node", "band").agg(F.count("*").alias("n"), F.max("need").alias("m")).where("n >= m").select("node", "band")
+        left = stored(met.join(enough, ["node", "band"]), "rows")
+        drop_stored(rows)
+        rows = left
     counts = rows.groupBy("signature").agg(F.count("*").alias("fellows")).where("fellows > 1")
     members = stored(rows.join(counts, "signature"), "members")
-    drop_stored(shared, rows)
+    drop_stored(rows)
+    release(docs.sparkSession)
     return members
 
 

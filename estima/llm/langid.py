@@ -68,11 +68,12 @@ def held_out(id_column: str = "doc_id"):
 
 def fit(docs: DataFrame, most: int = PER_LANGUAGE) -> LanguageModel:
     """docs (doc_id, text, lang), rows to learn from only. Priors are counted over all of them; n-grams over at most about
-    `most` documents of each language, chosen by a hash of the id. Null languages and null texts teach nothing."""
+    `most` documents of each language, chosen by a hash of the id. Null languages and null texts teach nothing. The matrix takes 256 kB a
+    language on the driver and in each worker."""
     rows = docs.where("lang is not null and text is not null")
     # languages are a short list; their counts are what the driver needs to set each one's share
     counts = stored(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
-    part = rows.select("doc_id", "text", "lang").join(F.broadcast(counts), "lang")
+    part = rows.select("doc_id", "text", "lang").join(counts, "lang")  # a row a language: Spark sees its size and broadcasts it
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.col("n") <= F.lit(most << 30)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,11 +90,11 @@ def fit(docs: DataFrame, most: int = PER_LANGUAGE) -> LanguageModel:
     sums = part.where(share).select("lang", "text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     total = {r["lang"]: r["n"] for r in counts.collect()}
     languages = sorted(total, key=lambda x: x.encode("utf-8", "surrogatepass"))
-    matrix = np.full((1 << BITS, len(languages)), 0.5)
+    matrix = np.full((1 << BITS, len(languages)), 0.5, np.float32)
     number = {k: i for i, k in enumerate(languages)}
     np.add.at(matrix, (sums["bucket"].to_numpy(), sums["lang"].map(number).to_numpy(dtype=np.int64)), sums["n"].to_numpy())
     prior = np.array([total[k] for k in languages], float)
-    return LanguageModel(languages, np.log(prior / prior.sum()) if len(prior) else prior, np.log(matrix / matrix.sum(0)).astype(np.float32))
+    return LanguageModel(languages, np.log(prior / prior.sum()) if len(prior) else prior, np.log(matrix / matrix.sum(0, dtype=np.float64).astype(np.float32)))
 
 
 def identify(docs: DataFrame, model: LanguageModel, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
