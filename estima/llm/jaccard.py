@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from estima.llm.common import drop_stored, release, row_chunks, stored
@@ -303,7 +303,8 @@ def _checked(df: DataFrame) -> DataFrame:
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool = False) -> DataFrame:
     """pairs (a, b) of nodes with linked, the exact answer; if asked for, with what _others() needs of b's difference to a:
-    differ and size (numbers of shingles), tell (the first ones of the difference in the common order) and half."""
+    the difference, differ and size (numbers of shingles), and how many of its first shingles matter: half of it against any, long
+    against members that are linked with the pivot."""
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
@@ -314,9 +315,8 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool
     half = F.col("differ") - F.floor(((100 + percent) * F.col("differ") + (100 - percent) * (F.size("x") - F.size("y"))) / F.lit(2 * (100 + percent)))
     most = F.floor((100 - percent) * F.col("size") / F.lit(percent))  # differences of b to any set that is linked with it: c |b| (1 + 1 / g)
     long = F.when(F.col("linked"), 0).otherwise(F.col("differ") - F.greatest(F.lit(1), F.col("differ") - most) + 1)
-    own = F.concat(F.array_sort(F.array_except("y", "x")), F.array_sort(F.array_except("x", "y")))
-    both = both.withColumn("half", half.cast("int")).withColumn("tell", F.slice(own, F.lit(1), F.greatest(F.lit(0), half, long).cast("int")))
-    return both.select("a", "b", "linked", "size", "differ", "half", "tell")
+    own = F.concat(F.array_except("y", "x"), F.array_except("x", "y"))
+    return both.select("a", "b", "linked", "size", "differ", half.cast("int").alias("half"), F.greatest(half, long).cast("int").alias("long"), own.alias("difference"))
 
 
 def _others(stars: DataFrame, percent: int) -> DataFrame:
@@ -327,11 +327,15 @@ def _others(stars: DataFrame, percent: int) -> DataFrame:
     link of x and y needs |D(x) & D(y)| > (|D(y)| + c (|p| - |y|)) / 2; by the triangle inequality it also needs |D(x) & D(y)| >=
     |D(x)| - c |x| (1 + 1 / g). In any common order of shingles, sets with so much in common have one in common among the first |D| -
     overlap + 1 of each (prefix filter), and at their first common place enough is left of both (positional filter).
-    Shingles that p lacks come first: they are rare, so unrelated edits don't meet.
+    Shingles come in the order of how many of the pivot's members have them in their difference, the rarest first, so unrelated edits
+    don't meet in what many members have lost or gained alike.
     """
-    items = stars.select("a", "b", "linked", "size", "differ", "half", F.posexplode("tell").alias("at", "item"))
-    one = items.where(~F.col("linked")).alias("x")
-    two = items.where(F.col("at") < F.col("half")).alias("y")
+    items = stars.select("a", "b", "linked", "size", "differ", "half", "long", F.explode("difference").alias("item"))
+    often = items.groupBy("a", "item").agg(F.count("*").alias("often"))
+    placed = items.join(often, ["a", "item"]).withColumn("at", F.row_number().over(Window.partitionBy("a", "b").orderBy("often", "item")) - 1)
+    placed = stored(placed.where((F.col("at") < F.col("long")) & (F.col("often") > 1)).drop("often"), "placed")  # what one member has alone meets nothing
+    one = placed.where(~F.col("linked")).alias("x")
+    two = placed.where(F.col("at") < F.col("half")).alias("y")
     left = F.least(F.col("x.differ") - F.col("x.at"), F.col("y.differ") - F.col("y.at"))
     enough = (100 + percent) * (F.col("x.differ") + F.col("y.differ") - 2 * left) <= (100 - percent) * (F.col("x.size") + F.col("y.size"))
     once = F.col("y.linked") | ((F.col("x.b") < F.col("y.b")) & (F.col("x.at") < F.col("x.half")))
