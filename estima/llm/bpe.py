@@ -254,8 +254,7 @@ def encode_documents(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     path: the tokenizer's JSON file, at the same place on each worker. A null text counts as empty and has no ids; texts
     are encoded whole, however long; repeated rows are encoded alike.
     """
-    if ids in docs.columns:
-        docs = docs.drop(ids)
+    docs = docs.drop(ids)  # if there is one
     schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +267,8 @@ def encode_documents(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
 
 def decode_documents(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """encoded with a column of the text that the ids stand for, special tokens included. Null ids give an empty text."""
+    """encoded with a column of the text that the ids stand for, special tokens included; it replaces one of that name. Null ids give an empty text."""
+    encoded = encoded.drop(out)
     schema = T.StructType([*encoded.schema.fields, T.StructField(out, T.StringType())])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -119,6 +119,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """The rows of docs as often as the mix takes them, same columns."""
-    kept = with_copies(with_size(docs), plan_mix(docs, weights, share, most))
-    return kept.where("copies > 0").withColumn("copies", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*docs.columns)
+    """The rows of docs as often as the mix takes them, same columns, whatever their names."""
+    rows = with_size(docs.select(F.struct("*").alias("mix_row"), "doc_id", "source", "text")).drop("text")
+    kept = with_copies(rows, plan_mix(docs, weights, share, most)).where("copies > 0")
+    return kept.withColumn("copies", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("mix_row.*")

@@ -216,16 +216,16 @@ def scan_texts(batch_text: pa.Array, rules: tuple[Rule, ...], queries: list[Quer
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, rows: int = 512) -> DataFrame:
     """docs with a column secrets: array<struct<kind, start, end>>, by start, then in the order of the rules.
 
-    All other columns stay as they are. Offsets are code points, end exclusive. A null text counts as empty and has
+    A column of that name is replaced, all others stay as they are. Offsets are code points, end exclusive. A null text counts as empty and has
     no secrets. Whole texts are read, however long; a segment holds at most `rows` texts and, but for a single
     longer text, 8 MB.
     """
     queries = [trigram_query(r.pattern) for r in rules]
     wanted = {int.from_bytes(t.encode(), "big"): 0 for q in queries for t in trigrams_of(q)}
     kinds = [r.kind for r in rules]
-    out = f"{SECRETS}_{len(docs.columns)}"
+    docs = docs.drop(SECRETS)
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(span))])
+    schema = T.StructType([*docs.schema.fields, T.StructField(SECRETS, T.ArrayType(span))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind_of = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -234,9 +234,9 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
             spans = [[(kinds[k], a, b) for a, k, b in x] for x in scan_texts(text, rules, queries, wanted)]
             flat = pa.array([dict(zip(("kind", "start", "end"), s)) for x in spans for s in x], kind_of.value_type)
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in spans])]), pa.int32())
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, flat)], names=[*part.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, flat)], names=[*part.schema.names, SECRETS])
 
-    return docs.mapInArrow(scan, schema).withColumnRenamed(out, SECRETS)
+    return docs.mapInArrow(scan, schema)
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, mask: str = "[secret]") -> DataFrame:

@@ -73,6 +73,7 @@ def test_rows_repeat_as_often_as_taken(spark, rows):
     for r in mix_sources(df).collect():
         want[r["doc_id"]] += r["copies"]
     assert got == +want and mixed(df).columns == df.columns
+    assert mixed(df).where("mix_size <> 'clash' or extra <> 'x'").count() == 0
 
 
 def test_empty_tables_and_texts(spark):
