@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from estima.llm.vectors import best, block_join, clean_vectors, matrix, power_of_two
 
 TABLES = 16
-ONE_HASH_UP_TO = 4_000_000  # vectors; more get two hashes a table
+HASHES = 1  # a table, whatever the number of vectors: recall doesn't depend on it
 PROBES = {1: 8, 2: 256}  # by hashes a table
 
 
@@ -133,7 +133,7 @@ def exact_distance(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return s
 
 
-def approximate_neighbours(df: DataFrame, is_query, k: int = 10, tables: int = TABLES, hashes: int | None = None, probes: int | None = None) -> DataFrame:
+def approximate_neighbours(df: DataFrame, is_query, k: int = 10, tables: int = TABLES, hashes: int = HASHES, probes: int | None = None) -> DataFrame:
     """df (vec_id, embedding) -> query_id, rank, vec_id, score: for each row where is_query holds, the k rows found that are
     nearest by Euclidean distance (doubles), but the query's own id, ties to the smaller vec_id.
 
@@ -142,8 +142,6 @@ def approximate_neighbours(df: DataFrame, is_query, k: int = 10, tables: int = T
     whole, page by page. Repeated rows of an id are listed once.
     """
     vectors = clean_vectors(df).where(F.exists("v", lambda x: x != 0))
-    if hashes is None:
-        hashes = 1 if vectors.count() <= ONE_HASH_UP_TO else 2
     probes = probes or PROBES[hashes]
     queries = in_buckets(vectors.where(is_query), tables, hashes, probes)
     found = block_join(queries, in_buckets(vectors, tables, hashes, 1), nearest_in_block(k), "query_id long, vec_id long, score double")

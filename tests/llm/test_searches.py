@@ -125,6 +125,14 @@ def test_neighbours(spark, monkeypatch, hashes):
     assert [r["vec_id"] for r in sorted(by[0], key=lambda r: r["rank"])][:5] == [1, 2, 3, 4, 5]
 
 
+def test_one_setting_at_every_size(spark, monkeypatch):
+    monkeypatch.setattr(cp, "ONE_HASH_UP_TO", 10, raising=False)  # where the number of hashes once changed
+    asked, real = [], cp.in_buckets
+    monkeypatch.setattr(cp, "in_buckets", lambda v, tables, hashes, probes: asked.append((hashes, probes)) or real(v, tables, hashes, probes))
+    cp.approximate_neighbours(spark.createDataFrame(rows_of(60, 8, hot=5), SCHEMA), F.col("vec_id") % 20 == 0)
+    assert asked == [(1, 8), (1, 1)]
+
+
 def test_pseudo_rotations_keep_lengths_and_angles():
     x = cp.unit_rows(np.random.default_rng(1).normal(size=(50, 20)))
     y = cp.rotated(x, 3, 0)
