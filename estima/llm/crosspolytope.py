@@ -4,6 +4,7 @@ A table's hash turns a unit vector by a pseudo-rotation (three rounds of random
 vector padded to a power of two) and takes the nearest signed axis: the coordinate of largest size and its sign.
 With two hashes a table the bucket is the pair of axes. Vectors lie in one bucket a table; a query looks, in each
 table, into the buckets of its nearest axes (multiprobe). Candidates are ranked by their exact Euclidean distance.
+Queries whose buckets hold fewer than k others are searched again over all vectors of their dimension.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from estima.llm.common import stored
 from estima.llm.vectors import best, block_join, clean_vectors, matrix, power_of_two
 
 TABLES = 16
@@ -135,7 +137,8 @@ def exact_distance(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def approximate_neighbours(df: DataFrame, is_query, k: int = 10, tables: int = TABLES, hashes: int = HASHES, probes: int | None = None) -> DataFrame:
     """df (vec_id, embedding) -> query_id, rank, vec_id, score: for each row where is_query holds, the k rows found that are
-    nearest by Euclidean distance (doubles), but the query's own id, ties to the smaller vec_id.
+    nearest by Euclidean distance (doubles), but the query's own id, ties to the smaller vec_id. Fewer than k only where the
+    table has no more.
 
     Null, empty and zero vectors and those with null or non-finite components take no part, nor do rows without an id.
     Vectors are compared with those of the same dimension. Equal vectors share all buckets; a bucket of any size is searched
@@ -145,4 +148,12 @@ def approximate_neighbours(df: DataFrame, is_query, k: int = 10, tables: int = T
     probes = probes or PROBES[hashes]
     queries = in_buckets(vectors.where(is_query), tables, hashes, probes)
     found = block_join(queries, in_buckets(vectors, tables, hashes, 1), nearest_in_block(k), "query_id long, vec_id long, score double")
-    return best(found, k, descending=False)
+    found = stored(best(found, k, descending=False), "neighbours")
+    enough = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = stored(vectors.where(is_query).join(enough, "vec_id", "left_anti"), "short")
+    if not short.limit(1).count():
+        return found
+    in_all = lambda x: x.select(F.col("dim").cast("long").alias("bucket"), F.col("vec_id").alias("id"), "v")
+    every = vectors.join(F.broadcast(short.select("dim").distinct()), "dim", "left_semi").dropDuplicates(["vec_id", "v"])  # a page's k best are k ids
+    again = block_join(in_all(short), in_all(every), nearest_in_block(k), "query_id long, vec_id long, score double")
+    return best(found.drop("rank").unionByName(again), k, descending=False)

@@ -133,6 +133,19 @@ def test_one_setting_at_every_size(spark, monkeypatch):
     assert asked == [(1, 8), (1, 1)]
 
 
+@pytest.mark.parametrize("n, d", [(6, 64), (20, 64), (40, 64)])
+def test_no_list_is_short(spark, n, d):
+    """Queries whose buckets hold fewer than k vectors get the k nearest of all, or all there are."""
+    rows = [(i, [float(x) for x in np.random.default_rng(i).normal(size=d)], 0) for i in range(n)]
+    rows += [(100, [1.0, 2.0], 0), (104, [2.0, 1.0], 0), (108, [3.0] * 5, 0)] + [(1, rows[1][1], 0)] * 12  # other dimensions, repeated rows
+    got = cp.approximate_neighbours(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 4 == 0, 10).collect()
+    want = plain_neighbours(rows, 4, 10)
+    for q, best in want.items():
+        mine = sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q)
+        assert [k for k, _ in mine] == list(range(1, len(best) + 1))
+        assert len(best) == 10 or [i for _, i in mine] == [i for _, i in best]
+
+
 def test_pseudo_rotations_keep_lengths_and_angles():
     x = cp.unit_rows(np.random.default_rng(1).normal(size=(50, 20)))
     y = cp.rotated(x, 3, 0)
