@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -72,6 +73,30 @@ def test_operator_and_columns(spark):
         assert [(s["start"], s["end"]) for s in r["secrets"] if s["kind"] in ("assign", "access", "hex")] == [(a, b) for a, _, b in plain_base(r["text"] or "")]
 
 
+def test_long_secrets_are_found_whole():
+    jwt = lambda a, b, c: f"eyJ{'a' * a}.eyJ{'b' * b}.{'c' * c}"
+    secrets = [jwt(8, 1001, 8), jwt(1500, 20, 20), jwt(20, 20, 5000), f"https://x-access-token:{'t' * 201}@", f"https://{'u' * 3000}:p@", "x://a:b@"]
+    rules = ss.BASE_RULES + ss.MORE_RULES
+    for secret in secrets:
+        assert [(a, b) for a, k, b in spans_of([f"see {secret} end"], rules)[0] if rules[k].kind in ("jwt", "url_login")] == [(4, 4 + len(secret))]
+
+
+@given(st.lists(st.sampled_from(["eyJ", "abcdefgh", "a", ".", "-", " ", "x://", "http", ":", "@", "/", "0", "eyJabcdefgh.eyJabcdefgh."]), max_size=25).map("".join))
+@settings(max_examples=500, deadline=None)
+def test_long_kinds_match_the_unbounded_regex(text):
+    part = "[A-Za-z0-9_-]{8,}"
+    plain = {"jwt": rf"eyJ{part}\.eyJ{part}\.{part}", "url_login": r"[a-z][a-z0-9+.-]{0,15}://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]+@"}
+    for rule in ss.MORE_RULES:
+        if rule.kind in plain:
+            assert [(a, b) for a, _, b in spans_of([text], (rule,))[0]] == [m.span() for m in re.finditer(plain[rule.kind], text)]
+
+
+def test_long_runs_take_linear_time():
+    started = time.process_time()
+    spans_of(["eyJ" * 200_000, "eyJabcdefgh." * 100_000, "a1" * 300_000 + "://", "a://" * 200_000, "http://" + "a" * 600_000], ss.MORE_RULES)
+    assert time.process_time() - started < 10
+
+
 def test_redact(spark):
     df = spark.createDataFrame([(1, "a token=abcdefgh1 b", 19), (2, None, None), (3, "clean", 5)], "doc_id int, text string, n_chars long")
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in ss.redact(df).collect()}
