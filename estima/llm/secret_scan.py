@@ -54,11 +54,18 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]{12,}"),
     Rule("hex", r"[0-9a-f]{32,}"),
 )
+_GAP = r"(?:[\s>#*\"'+,;]|\\[nrt])"  # between a key's lines: white space, also escaped, and marks of quotes and comments
+#: From a key's BEGIN to its END line; where that is missing, over the header and base64 lines that follow, the last of which may be short.
+PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    r"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_GAP}*+(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+(?:{_GAP}++[A-Za-z0-9+/]{{40,}}+={{0,2}}+)*+(?:{_GAP}++[A-Za-z0-9+/]++={{0,2}}+(?=[ \t\"',;]*(?:[\r\n]|\\[nr]|\Z)))?)"
+)
 #: Further kinds. No text takes time with the square of its length: runs are possessive, and a run after eyJ that begins no JWT is passed
 #: over as a whole (its group is empty, so it is dropped). A scheme's bound only limits how far back into it a span may start.
 MORE_RULES = (
     Rule("jwt", r"eyJ(?:([A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)|[A-Za-z0-9_-]*+)", 1),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", PRIVATE_KEY),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),

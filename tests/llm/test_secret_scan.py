@@ -115,5 +115,31 @@ def test_query_digests(spark, sf):
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == x for _, k, _ in base) for x in range(3))
 
 
+def test_private_keys_are_masked_with_their_body(spark):
+    line, head, end = "MIIEpAIBAAKCAQEA" * 4, "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    pem = f"{head}\n" + f"{line}\n" * 25 + f"Zm9v+/A=\n{end}"
+    texts = {
+        f"before {pem} after": "before [secret] after",
+        f"a {pem}\n{pem} b": "a [secret]\n[secret] b",
+        "k = '" + pem.replace("\n", "\\n") + "'": "k = '[secret]'",
+        f"{head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A-1B\n\n{line}\n{end}\nb": "[secret]\nb",
+        f"x\n{head}\n{line}\n{line}\nQUJD==\n\nThe text goes on.": "x\n[secret]\n\nThe text goes on.",
+        f"{head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: A,B\n\n{line}\n{line[:20]}": "[secret]",
+        f"{head}\n{line}\n{line}\n\nThe text goes on. {pem} z": "[secret]\n\nThe text goes on. [secret] z",
+        f"> {head}\n> {line}\n> {line}\n> {end}\nb": "> [secret]\nb",
+        f"the header {head} alone is text": "the header [secret] alone is text",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: r["text"] for r in ss.redact(df, ss.MORE_RULES).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
+def test_unended_keys_take_linear_time():
+    head = "-----BEGIN RSA PRIVATE KEY-----"
+    started = time.process_time()
+    spans_of([f"{head}\n" * 20_000, f"{head} x-" * 20_000, head + "\n" * 500_000 + "!", head + "A" * 500_000, f"{head}\n" + "-" * 500_000, head + " " * 300_000 + "Proc-Type:" * 50_000], ss.MORE_RULES)
+    assert time.process_time() - started < 10
+
+
 def test_empty_table(spark):
     assert ss.find_secrets(spark.createDataFrame([], "doc_id int, text string")).count() == 0
