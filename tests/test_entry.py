@@ -46,3 +46,9 @@ def test_query_against_duckdb(spark, name):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.sql(f"SELECT {', '.join(columns)} FROM ({catalog.ORACLES[name]})").fetchall()
     assert len(got) > 0 and plain(got) == plain(want)
+
+
+def test_running_customers_over_all_days(spark):
+    days = duckdb.sql(f"SELECT count(DISTINCT o_orderdate::DATE), count(DISTINCT o_custkey) FROM '{SF}/orders.parquet'").fetchall()[0]
+    got = catalog.QUERIES["theta_over_window_whole"](spark, SF).collect()
+    assert (len(got), max(r["n"] for r in got)) == days
