@@ -27,7 +27,16 @@ ESCAPABLE_RAW = frozenset("textarea title".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr caption ul".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hr listing menu ol p pre table ul dir fieldset".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr listing main menu nav ol p pre search section summary table ul li dd dt".split())
-HIDDEN = frozenset("head script style template noscript noembed noframes iframe object applet audio video canvas datalist title meta link base area param source track map colgroup col rp svg math".split())
+HIDDEN = frozenset("head script style template noscript noembed noframes iframe object applet audio video canvas datalist title meta link base area param source track map colgroup col rp".split())
+#: What isn't drawn inside an svg or math element, beside HIDDEN.
+HIDDEN_IN = {
+    "svg": frozenset("defs desc metadata symbol clippath mask marker pattern lineargradient radialgradient filter".split()),
+    "math": frozenset(["annotation", "annotation-xml", "mphantom"]),
+}
+#: What holds HTML again inside an svg or math element; which start tags end one; what stands on a line of its own there.
+HTML_AGAIN = frozenset("foreignobject mi mo mn ms mtext".split())
+BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+OWN_LINE = {"svg": frozenset(["text"]), "math": frozenset(["mtr", "mlabeledtr"])}
 PREFORMATTED = frozenset("pre listing textarea xmp plaintext".split())
 #: A start tag ends the open elements of the first set that it finds before one of the second.
 IMPLIED_END = {
@@ -60,22 +69,30 @@ _TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|(!--)|([!?/]))")
 _ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _COMMENT_END = re.compile(r"--!?>")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_RULE = re.compile(r"([^{}]{1,2000})\{([^{}]*)\}")
+_RULE = re.compile(r"(?<![^{}])([^{}]++)\{([^{}]*+)\}")
 _SELECTOR = re.compile(r"([a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)\Z")
 _DISPLAY = re.compile(r"display\s*:\s*([\w-]+)", re.I)
 _VISIBILITY = re.compile(r"visibility\s*:\s*([\w-]+)", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "attributes", "children", "within")
 
-    def __init__(self, tag: str, attributes: dict[str, str] | None = None):
+    def __init__(self, tag: str, attributes: dict[str, str] | None = None, within: str = ""):
         self.tag, self.attributes, self.children = tag, attributes or {}, []
+        self.within = within  # svg or math, where it is of that language
+
+    def language_inside(self) -> str:
+        return self.tag if self.tag in ("svg", "math") else "" if self.tag in HTML_AGAIN else self.within
+
+    def never_shown(self) -> bool:
+        return self.tag in HIDDEN or self.tag in HIDDEN_IN.get(self.within, ())
 
 
 def _tokens(source: str) -> Iterator[tuple[str, str, dict[str, str]]]:
-    """("text" | "start" | "end" | "style", name or text, attributes)."""
+    """("text" | "start" | "end" | "style" | "closed", name or text, attributes); closed: the start tag before ended with a slash."""
     at, n = 0, len(source)
+    foreign = 0  # svg and math elements that are open, about
     quotes = {'"': 0, "'": 0}  # where the next one was last found; n once there is none
     while at < n:
         m = _TAG.search(source, at)
@@ -107,9 +124,16 @@ def _tokens(source: str) -> Iterator[tuple[str, str, dict[str, str]]]:
             closed = source[at:end].rstrip().endswith("/")
             at = end + 1
             if m[1]:
+                foreign -= foreign > 0 and name in ("svg", "math")
                 yield "end", name, {}
                 continue
             yield "start", name, attributes
+            if closed and (foreign or name in ("svg", "math")):
+                yield "closed", name, {}
+                if foreign and (name in RAW or name in ESCAPABLE_RAW):
+                    continue
+            elif name in ("svg", "math"):
+                foreign += 1
             if name in RAW or name in ESCAPABLE_RAW:
                 if closed and name not in ("script", "style", "textarea", "title"):
                     yield "end", name, {}
@@ -135,7 +159,7 @@ def build_tree(source: str) -> tuple[Node, list[tuple[str, str]]]:
     styles: list[tuple[str, str]] = []
 
     def push(tag: str, attributes: dict[str, str] | None = None) -> None:
-        node = Node(tag, attributes)
+        node = Node(tag, attributes, open_[-1].language_inside())
         open_[-1].children.append(node)
         open_.append(node)
         counts[tag] = counts.get(tag, 0) + 1
@@ -163,6 +187,9 @@ def build_tree(source: str) -> tuple[Node, list[tuple[str, str]]]:
         elif kind == "start":
             if value == "html":
                 continue
+            if value in BREAKS_OUT and open_[-1].language_inside():
+                while open_[-1].language_inside():
+                    pop_to(len(open_) - 1)
             if counts.get("head") and value not in HEAD_PARTS and open_[-1].tag == "head":
                 pop_to(len(open_) - 1)
             if value == "body" and counts.get("body"):
@@ -193,6 +220,9 @@ def build_tree(source: str) -> tuple[Node, list[tuple[str, str]]]:
             push(value, attributes)
             if value in VOID:
                 pop_to(len(open_) - 1)
+        elif kind == "closed":
+            if open_[-1].tag == value and (open_[-1].within or value in ("svg", "math")):
+                pop_to(len(open_) - 1)
         elif counts.get(value):
             for i in range(len(open_) - 1, 0, -1):
                 tag = open_[i].tag
@@ -223,7 +253,7 @@ class Styles:
     def of(self, node: Node) -> tuple[bool, bool | None]:
         """Whether the element is displayed; whether its own text is visible, None if inherited."""
         a = node.attributes
-        shown = not (node.tag in HIDDEN or "hidden" in a or node.tag == "dialog" and "open" not in a or node.tag == "input" and a.get("type", "").lower() == "hidden")
+        shown = not (node.never_shown() or "hidden" in a or node.tag == "dialog" and "open" not in a or node.tag == "input" and a.get("type", "").lower() == "hidden")
         visible: bool | None = None
         bodies = []
         if self.rules:
@@ -234,7 +264,7 @@ class Styles:
             bodies.append(a["style"])
         for body in bodies:
             if m := _DISPLAY.search(body):
-                shown = m[1].lower() != "none" and node.tag not in HIDDEN
+                shown = m[1].lower() != "none" and not node.never_shown()
             if m := _VISIBILITY.search(body):
                 visible = m[1].lower() not in ("hidden", "collapse")
         return shown, visible
@@ -406,8 +436,10 @@ def render(source: str | None) -> str:
                 children = [x for x in children if isinstance(x, Node) and x.tag == "summary"][:1]
             if tag in SPACED and not (tag in ("ul", "ol", "menu", "dir") and lists):
                 flow.blank()
-            elif tag in BLOCK and tag not in ("td", "th"):
+            elif tag in BLOCK and tag not in ("td", "th") or tag in OWN_LINE.get(node.within, ()):
                 flow.new_line()
+            elif tag == "mtd" and node.within:
+                flow.text(" ", False)
             state = None
             if tag in ("ul", "ol", "menu", "dir"):
                 lists.append([tag == "ol", _number(a.get("start"), 1)])
@@ -461,7 +493,7 @@ def render(source: str | None) -> str:
         flow = flows[-1]
         if tag in SPACED and not (tag in ("ul", "ol", "menu", "dir") and lists):
             flow.blank()
-        elif tag in BLOCK and tag not in ("td", "th"):
+        elif tag in BLOCK and tag not in ("td", "th") or tag in OWN_LINE.get(node.within, ()):
             flow.new_line()
     return "\n".join(flows[0].done())
 

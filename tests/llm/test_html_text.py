@@ -38,6 +38,25 @@ def test_rendering(source, want):
     assert render(source) == want
 
 
+@pytest.mark.parametrize("source, want", [
+    ("a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b", "a x=1 b"),
+    ("<math><semantics><mi>y</mi><annotation encoding='TeX'>no</annotation></semantics><mphantom><mi>no</mi></mphantom></math>z", "yz"),
+    ("<math><mtable><mtr><mtd>1</mtd><mtd>2</mtd></mtr><mtr><mtd>3</mtd></mtr></mtable></math>", "1 2\n3"),
+    ("<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><path d='M0'/><text>one <tspan>more</tspan></text><text>two</text></svg>after", "one more\ntwo\nafter"),
+    ("<svg><defs/><title/><text>yes</text><foreignObject><p>html<p>too</foreignObject></svg>", "yes\n\nhtml\n\ntoo"),
+    ("<svg><metadata>no</metadata><style>.q{display:none}</style><text class=q>no</text><text>t</text></svg>", "t"),
+    ("<svg><defs><div>out</div> of it", "out\nof it"), ("<svg/>a<desc>b</desc>", "ab"),
+])
+def test_formulas_and_drawings(source, want):
+    assert render(source) == want
+
+
+def test_long_selector_lists():
+    many = ", ".join(f".c{i:05}" for i in range(2000))
+    assert render(f"<style>{many} {{display:none}}</style><p class=c00000>no</p><p class=c01999>no</p>yes") == "yes"
+    assert render("<style>" + "x" * 400_000 + "</style><style>@media all{.a{display:none}} .b{display:none}</style><p class=a>no</p><p class=b>no</p>yes") == "yes"
+
+
 def test_implied_parts_of_tables():
     root, _ = build_tree("<table><td>a")
     table = root.children[0]
