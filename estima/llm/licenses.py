@@ -1,7 +1,9 @@
 """License scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance by directory.
 
 A text is cut into sentences and lines. Those that hold a licence word become sparse TF-IDF vectors and are compared
-with the templates' vectors by a join on terms; so is the whole text of a file named like a licence file. A file
+with the templates' vectors by a join on terms; so is the whole text of a file named like a licence file. Standard headers and the titles and
+first sentences of licence texts are compared in the same way with sentences whose wrapped lines have been joined; SPDX
+identifiers are read as they stand. A file
 whose text is mainly notices, or that is named so, is its directory's licence file. Files without a notice of their own
 take the licence of the nearest directory above that has one: directories are joined with their ancestors' licences by path.
 Everything is a DataFrame operation; texts aren't shuffled, only the terms of notices and paths are.
@@ -35,6 +37,41 @@ TEMPLATES = (
     ("CC0-1.0", "Released into the public domain under CC0 1.0."),
     ("Proprietary", "All rights reserved."),
 )
+#: Standard headers, and titles and first sentences of licence texts.
+FORMS = (
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("Apache-2.0", 'The ASF licenses this file to you under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
+    ("MIT", "The MIT License (MIT)"),
+    ("MIT", "This project is licensed under the MIT License."),
+    ("MIT", "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file."),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ISC", "ISC License"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("GPL-3.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation."),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+)
+SPDX = r"SPDX-License-Identifier:[ \t]*(\(?[A-Za-z0-9][A-Za-z0-9.+-]*\)*(?:[ \t]+(?i:AND|OR|WITH)[ \t]+\(*[A-Za-z0-9][A-Za-z0-9.+-]*\)*)*)"
 #: Fixed value: a notice holds one of these.
 LICENCE_WORDS = r"(?i)licen[cs]e|rights reserved|permission|redistribution|public domain|spdx"
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
@@ -46,6 +83,15 @@ def sentences(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"([.!?])[ \t\r\n]+([A-Z])", "$1\n$2"), "\n")
 
 
+def joined(text: Column) -> Column:
+    """The text without comment marks, each paragraph and each copyright line on one line."""
+    text = F.regexp_replace(text, r"\r\n?", "\n")
+    text = F.regexp_replace(text, r"(?im)^[ \t]*(?:(?:/\*+|\*+/?|//+|#+|;+|--+|%+|<!--|\"{3}|'{3}|(?:dnl|rem)(?=[ \t]))[ \t]*)+", "")
+    text = F.regexp_replace(text, r"(?im)^[ \t]*(?:copyright|\(c\)|©|SPDX-)[^\n]*$", "$0\n")
+    text = F.regexp_replace(text, r"\n[ \t]*+\n\s*+", "\u0001")
+    return F.regexp_replace(F.regexp_replace(text, r"[ \t]*+\n[ \t]*+", " "), "\u0001", "\n")
+
+
 def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda x: x != "")
 
@@ -86,10 +132,11 @@ def ancestors(directory: Column) -> Column:
     return F.transform(F.sequence(F.size(parts), F.lit(0), F.lit(-1)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
 
 
-def scan_licenses(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, least: float = LEAST_SCORE, share: float = LEAST_SHARE) -> DataFrame:
+def scan_licenses(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, least: float = LEAST_SCORE, share: float = LEAST_SHARE, forms: Sequence[tuple[str, str]] = FORMS) -> DataFrame:
     """files (file, path, text) -> file, path, own_license, score, is_licence_file, inherited_from, license; a row for each row.
 
-    own_license is the best template of the file's notices, null below `least`; license is that or the one inherited
+    own_license is the file's SPDX identifier (its expression, without -only and -or-later; score 1), or else the best of the templates of its
+    notices and of the forms of its joined ones, null below `least`, a bare reservation of rights only where there is nothing else; license is that or the one inherited
     from the directory inherited_from. Of several licence files in a directory the one with the highest score counts, ties to the
     smaller license. Null and empty texts have no notice; a null path has no directory and inherits nothing; `file` is an
     id, and rows that repeat it share their best notice. Whole texts are read.
@@ -98,14 +145,22 @@ def scan_licenses(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPL
     slim = files.select("file", "path", F.regexp_extract(F.coalesce("path", F.lit("")), r"([^/]*)$", 1).rlike(LICENCE_FILE).alias("named"), text.alias("text"))
     has = F.col("named") | F.col("text").rlike(LICENCE_WORDS)
     notices = F.when(has, F.filter(sentences(F.col("text")), lambda x: x.rlike(LICENCE_WORDS))).otherwise(F.array().cast("array<string>"))
-    found = slim.select("file", "path", "named", notices.alias("notices"), F.when(F.col("named"), F.col("text")).alias("whole"), F.when(has, F.regexp_count("text", F.lit(WORD))).otherwise(0).alias("words"))
+    forms_of = F.when(has, F.filter(sentences(joined(F.col("text"))), lambda x: x.rlike(LICENCE_WORDS))).otherwise(F.array().cast("array<string>"))
+    spdx = F.when(has, F.regexp_extract_all("text", F.lit(SPDX), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    found = slim.select("file", "path", "named", notices.alias("notices"), F.when(F.col("named"), F.col("text")).alias("whole"), forms_of.alias("forms"), spdx.alias("spdx"), F.when(has, F.regexp_count("text", F.lit(WORD))).otherwise(0).alias("words"))
     found = found.withColumn("notice_words", F.aggregate("notices", F.lit(0), lambda a, x: a + F.regexp_count(x, F.lit(WORD))))
     # notices, and the few licence files' texts, are all that goes on from here
     found = stored(found, "notices")
     lines = found.select("file", F.explode("notices").alias("text"))
     whole = found.where("whole is not null").select("file", F.col("whole").alias("text"))
     units = lines.unionByName(whole).withColumn("unit", F.xxhash64("text"))
-    own = stored(best_license(units.distinct(), templates, least), "own")
+    ids = found.select("file", F.explode("spdx").alias("id")).select("file", F.lit(0).alias("way"), F.regexp_replace("id", r"(?:-only|-or-later|\+)(?=$|[ \t)])", "").alias("license"), F.lit(1.0).alias("score"))
+    by_notice = best_license(units.distinct(), templates, least).withColumn("way", F.lit(1))
+    of_forms = found.select("file", F.explode("forms").alias("text")).withColumn("unit", F.xxhash64("text"))
+    by_form = best_license(of_forms.distinct(), (*templates, *forms), least).withColumn("way", F.lit(2))
+    rank = F.struct((F.col("way") != 0).alias("guessed"), (F.col("license") == "Proprietary").alias("last"), (-F.col("score")).alias("minus"), "way", "license")
+    own = by_notice.unionByName(by_form).unionByName(ids).groupBy("file").agg(F.min(rank).alias("best"))
+    own = stored(own.select("file", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score")), "own")
     rows = found.select("file", "path", "named", "words", "notice_words").join(own, "file", "left")
     is_file = F.coalesce(F.col("license").isNotNull() & (F.col("named") | (F.col("notice_words") >= share * F.col("words"))), F.lit(False))
     rows = rows.withColumn("is_licence_file", is_file).withColumn("directory", parent(F.col("path")))

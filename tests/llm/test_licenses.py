@@ -1,4 +1,6 @@
 import math
+import pathlib
+import textwrap
 from collections import Counter
 
 import pytest
@@ -56,6 +58,39 @@ def test_scores_against_a_plain_cosine(got):
     assert {r["file"]: r["score"] for r in got}[10] == pytest.approx(best, abs=1e-5) and best == pytest.approx(1)
 
 
+def commented(mark, text, width=70):
+    return "\n".join(f"{mark} {x}".rstrip() for p in text.split("\n") for x in (textwrap.wrap(p, width) or [""])) + "\n\ncode = 1\n" * 30
+
+
+def test_standard_headers(spark):
+    gpl = "This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version.\n\nThis {} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY."
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0'
+    asf = "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements.  See the NOTICE file distributed with this work for additional information regarding copyright ownership. The ASF licenses this file to You under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."
+    bsd = "Copyright (c) 2015, Some Body\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice."
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."
+    want = [
+        ("// SPDX-License-Identifier: Apache-2.0\nx", "Apache-2.0"), ("# SPDX-License-Identifier: MIT\nx", "MIT"), ("/* SPDX-License-Identifier: GPL-3.0-or-later */", "GPL-3.0"),
+        ("// SPDX-License-Identifier: (MIT OR GPL-2.0-only)\n// All rights reserved.", "(MIT OR GPL-2.0)"),
+        (commented("#", gpl.format("program", ":", "", 3, "program")), "GPL-3.0"), (commented(" *", gpl.format("program", ";", "", 2, "program"), 50), "GPL-2.0"),
+        (commented("//", gpl.format("library", ";", "Lesser ", "2.1", "library")), "LGPL-2.1"), (commented("#", gpl.format("program", ":", "Affero ", 3, "program")), "AGPL-3.0"),
+        (commented("//", "Copyright 2020 The Authors\n" + apache), "Apache-2.0"), (commented("#", asf), "Apache-2.0"), (commented(";;", bsd), "BSD-3-Clause"), (commented(" *", mit, 60), "MIT"),
+        (mpl, "MPL-2.0"), ("/* Copyright 2021 A. All rights reserved. */", "Proprietary"), ("She has permission to drive\nwith a licence of the city.", None),
+    ]
+    df = spark.createDataFrame([(i, f"f{i}/x.c", t) for i, (t, _) in enumerate(want)], "file long, path string, text string")
+    got = {r["file"]: r["own_license"] for r in lc.scan_licenses(df).collect()}
+    assert [got[i] for i in range(len(want))] == [x for _, x in want]
+
+
+@pytest.mark.parametrize("name, want", [("GPL-3", "GPL-3.0"), ("GPL-2", "GPL-2.0"), ("LGPL-3", "LGPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0")])
+def test_licence_files(spark, name, want):
+    path = pathlib.Path("/usr/share/common-licenses", name)
+    if not path.exists():
+        pytest.skip("no such text here")
+    df = spark.createDataFrame([(1, "a/LICENSE", path.read_text()), (2, "a/b/x.c", "code")], "file long, path string, text string")
+    assert {r["license"] for r in lc.scan_licenses(df).collect()} == {want}
+
+
 def test_paths(spark):
     df = spark.createDataFrame([("a/b/c.txt",), ("c.txt",), ("",), (None,), ("/abs/x",)], "p string")
     got = df.select(lc.parent(df.p).alias("d"), lc.ancestors(lc.parent(df.p)).alias("a")).collect()
