@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from estima.llm.common import drop_stored, release, row_chunks, stored
 
@@ -453,28 +454,55 @@ def join_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     linked with nothing: their component_id is their doc_id. Repeated rows and equal texts are in one component. Whole texts
     are read; other columns are ignored. Shingles and sets are told apart by 64-bit hashes.
     """
+    return _component_rows(docs, width, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def _component_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, node, label (of the component, as two may have one smallest doc_id), component_id."""
     own = stored(_sets(docs, width, percent, "node"), "nodes")
     labels = node_components(docs, width, percent)
     classes = own.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     classes = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     by_label = classes.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_node = stored(classes.join(by_label, "label").select("node", "component_id"), "components")
+    of_node = stored(classes.join(by_label, "label").select("node", "label", "component_id"), "components")
     out = own.join(of_node, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", "node", "label", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _with_node(docs: DataFrame, width: int, name: str) -> DataFrame:
+    """docs and the node of each row's set, null for the empty one."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in row_chunks(batches):
+            sets = shingle_sets(part.column(at).cast(pa.binary()).to_pylist(), width)
+            nodes = pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*part.columns, nodes], names=[*part.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs, same columns, with one row, of the smallest doc_id, for each component; rows with no shingles all stay.
 
-    Of repeated rows with that doc_id one stays.
+    Of repeated rows with that doc_id one stays. Where rows of one doc_id differ in their texts, each counts by its own text.
     """
-    found = join_components(docs.select("doc_id", "text"), width, percent)
+    found = _component_rows(docs.select("doc_id", "text"), width, percent)
     gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    each = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.count("node").alias("nodes"), F.min("node").alias("least"), F.max("node").alias("most"))
+    again = stored(each.where("n > 1 and nodes > 0").select("doc_id", F.expr("least <> most or nodes < n").alias("mixed")), "again")
     rest = docs.join(_checked(gone), "doc_id", "left_anti")
-    twice = found.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    twice = stored(twice, "twice")
-    if not twice.limit(1).count():
+    if not again.limit(1).count():
         return rest
+    same, mixed = again.where("not mixed").select("doc_id"), again.where("mixed").select("doc_id")
     # rows that repeat a doc_id are few or copies of each other: one of each is kept
-    again = rest.join(_checked(twice), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rest.join(_checked(twice), "doc_id", "left_anti").unionByName(again)
+    one = rest.join(_checked(same), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    out = rest.join(_checked(again.select("doc_id")), "doc_id", "left_anti").unionByName(one)
+    if not mixed.limit(1).count():
+        return out
+    node, label = "_estima_node", "_estima_label"
+    own = _with_node(docs.join(_checked(mixed), "doc_id", "left_semi"), width, node)
+    kept = found.where("node is not null and doc_id = component_id").join(_checked(mixed), "doc_id", "left_semi")
+    kept = kept.select("doc_id", F.col("node").alias(node), F.col("label").alias(label)).distinct()
+    by_text = own.join(kept, ["doc_id", node]).dropDuplicates(["doc_id", label]).drop(node, label)
+    return out.unionByName(by_text).unionByName(own.where(F.col(node).isNull()).drop(node))

@@ -81,6 +81,13 @@ def test_empty_table(spark):
     assert jc.join_components(df).count() == 0 and jc.keep_one(df).count() == 0
 
 
+def test_unlike_texts_of_one_id_count_each(spark):
+    a, b, c = ("a b c d e f g h", "q r s t u v w x", "k l m n o p k l")
+    rows = [(1, a, 0), (2, a, 1), (2, b, 2), (3, b, 3), (4, c, 4), (4, "i j i j x y z", 5), (4, c, 4), (4, None, 6), (5, c, 7), (6, a, 8), (6, a, 9), (7, "own words of seven only", 10), (7, "own words of seven only", 10)]
+    kept = jc.keep_one(spark.createDataFrame(rows, "doc_id long, text string, row int"), 3, 90)
+    assert kept.columns == ["doc_id", "text", "row"] and sorted(r["row"] for r in kept.collect()) == [0, 2, 4, 5, 6, 10]
+
+
 def test_texts_without_words_all_stay(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, None), (3, None)], "doc_id long, text string")
     assert jc.keep_one(df).count() == 4
