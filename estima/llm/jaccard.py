@@ -2,19 +2,24 @@
 
 Two sets of shingles with Jaccard similarity >= g and sizes a <= b differ in at most (1 - g) / (1 + g) * (a + b)
 shingles. Sizes are cut into bands, so that within a band this is at most a number K. The domain of shingles is dealt by a
-hash into partitions: K differences touch at most K of them, so similar sets agree on all others. A signature is a band,
-a subset of partitions and a digest of the set's shingles in them; subsets are enumerated so that similar sets share one:
+hash into partitions on two levels. K differences leave one of n1 first-level partitions with at most k2 of them if n1 * (k2 + 1) > K; it
+is dealt into n2 second-level ones, of which at most k2 then differ, so two similar sets agree on one of the subsets of n2 - k2. A signature
+is a band, a first-level partition, such a subset and a digest of the set's shingles in it; all subsets are enumerated:
 
-- K = 0: the whole set; K = 1: the whole set and the set without each one shingle (partitions of one shingle);
-- K = 2, 3: 5 or 6 partitions, all subsets of 3;
-- above: K + 1 partitions and some spare, each alone. Spare partitions allow to leave out those that hold too few shingles
-  to tell anything: while more than K are left, one of them agrees. Else the set emits all.
+- K = 0: the whole set; K = 1: n1 = 1, each shingle its own partition, so the whole set and the set without each one;
+- K = 2, 3: n1 = 1, 5 or 6 partitions, all subsets of 3;
+- above: k2 = 1, n2 = 3, the three subsets of 2 in each of K / 2 + 1 partitions and some spare. Spare partitions allow to leave out
+  signatures of too few shingles to tell anything: while more than K / 2 partitions have none such, one of them is agreed on. Else the set
+  emits all.
 
 A set meets larger ones of the next band under that band's K, if its size allows a link there.
 
-Equal sets are one node. Nodes with a signature in common are compared exactly: in a small bucket all pairs; in a larger one
-each member with the bucket's pivot, and then only those pairs, not both linked with it, whose differences to the pivot
-have enough in common for a link. So no link is lost between components, and no bucket is turned into all its pairs.
+Equal sets are one node. Signatures travel once, 13 bytes each (half of the signature's hash, the other half tells where it goes, the
+node, and how many signatures a link of it shares at least), in blobs. Nodes with a signature in common are compared exactly: in a small bucket all pairs that share enough signatures; in a larger
+one each member with the bucket's pivot, the member that shares most. Then, in those large buckets that still hold members of different
+components, the pairs of different components: in buckets of some dozens those that sketches don't rule out; in larger ones those whose differences to the
+pivot have enough in common for a link. So no link is lost between
+components, and no bucket is turned into all its pairs.
 """
 
 from __future__ import annotations
@@ -35,9 +40,14 @@ from pyspark.sql import types as T
 from estima.llm.common import drop_stored, release, row_chunks, stored
 
 BAND = 1.3  # ratio of a band's sizes
-ROUNDS = 2  # of leaving out nodes that share too few signatures; more would leave out a little more
+ROUNDS = 2  # of leaving out buckets of one component and nodes that share too little with others; more would leave out a little more
 SMALL = 6  # most nodes of a bucket that are compared pair by pair at once
-MOST_BITS = 26  # of the bitmap that spares most signatures the second shuffle: 2^26 bits, 8 MB as it is sent
+MEDIUM = 64  # most nodes of a bucket of which pairs of different components are compared by sketches; pairs in larger ones by differences to the pivot
+MOST_BITS = 26  # of the bitmap that spares most sets that nothing asks for a shuffle: 2^26 bits, 8 MB as it is sent
+PART = 1 << 19  # signatures, about, that are brought together at a time
+TASK = 1 << 22  # signatures, about, of a task
+HELD = 1 << 23  # most signatures that are held at a time, but for a part's that are in small buckets
+BLOB = 512  # signatures of a blob
 BROADCAST_ROWS = 100_000  # a table of two longs a row with at most so many rows is broadcast
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -168,7 +178,7 @@ def band_of(size: int, percent: int) -> int:
 
 @functools.cache
 def scheme(band: int, percent: int) -> tuple[int, int, int]:
-    """K, number of partitions and least shingles of a signature."""
+    """K, number of partitions (of the first level, if K is 4 or more) and least shingles of a signature."""
     edges = band_edges(percent)
     top = edges[band + 1] - 1
     k = (100 - percent) * 2 * top // (100 + percent)
@@ -178,12 +188,12 @@ def scheme(band: int, percent: int) -> tuple[int, int, int]:
         return k, 3 + k, 1
     low = edges[band] * percent // 100  # the smallest set that meets others in this band
     for least in (3, 2, 1):
-        for n in range(k + 1, (k + 1) * 7 // 5 + 3):
-            mean = low / n
-            few = sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(least))
-            if n * (1 - few) - 3 * math.sqrt(n * few * (1 - few)) > k:  # as good as all sets have more than K telling partitions
+        for n in range(k // 2 + 1, (k // 2 + 1) * 13 // 10 + 3):
+            mean = 2 * low / (3 * n)
+            few = min(1.0, 3 * sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(least)))
+            if 2 * (n * (1 - few) - 3 * math.sqrt(n * few * (1 - few))) > k:  # as good as all sets have more than K / 2 telling partitions
                 return k, n, least
-    return k, k + 2 + k // 6, 1
+    return k, k // 2 + 2 + k // 10, 1
 
 
 @functools.cache
@@ -197,23 +207,25 @@ def bands_of(size: int, percent: int) -> list[int]:
     return [band] + [band + 1] * (size * 100 // percent >= edges[band + 1])
 
 
-def signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """Signed 64-bit signatures of a set, for all its bands."""
-    if not len(s):
-        return np.empty(0, np.int64)
-    return np.concatenate([_in_band(s, b, percent)[0] for b in bands_of(len(s), percent)])
+def signature_count(size: int, percent: int) -> int:
+    """Signatures of a set of that size at most."""
+    total = 0
+    for band in bands_of(size, percent):
+        k, n, _ = scheme(band, percent)
+        total += 1 if k == 0 else size + 1 if k == 1 else len(_subsets(n, 3)) if k < 4 else 3 * n
+    return total
 
 
-def signatures_told(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """signatures(), and for each its band and how many signatures of that band a linked set has in common with this one at least."""
-    bands = bands_of(len(s), percent)
-    found = [_in_band(s, b, percent) for b in bands]
-    n = [len(x) for x, _ in found]
-    return np.concatenate([x for x, _ in found]), np.repeat(np.array(bands, np.int32), n), np.repeat(np.array([need for _, need in found], np.int32), n)
+def signatures(s: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """Signed 64-bit signatures of a set, for all its bands, and how many of them a linked set has in common with it at least."""
+    if not len(s):
+        return np.empty(0, np.int64), 0
+    found = [_in_band(s, b, percent) for b in bands_of(len(s), percent)]
+    return np.concatenate([x for x, _ in found]), min(need for _, need in found)
 
 
 def _in_band(s: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, int]:
-    """The band's signatures, and how many of them a linked set shares: K differences spoil at most K of the telling ones."""
+    """The band's signatures, and how many of them a linked set shares."""
     k, n, least = scheme(band, percent)
     tag = mix(np.array([band + 1], np.uint64) << np.uint64(40))
     value = mix(s ^ tag)
@@ -222,73 +234,193 @@ def _in_band(s: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, int]:
         return mix(np.array([total], np.uint64) ^ tag).view(np.int64), 1
     if k == 1:
         return np.unique(mix(np.concatenate([[total], total - value]) ^ tag)).view(np.int64), 1
-    part = ((mix(value) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    count = np.bincount(part, minlength=n)
+    cells = n if k < 4 else 3 * n
+    cell = ((mix(value) >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(cell, kind="stable")
+    count = np.bincount(cell, minlength=cells)
     ends = np.cumsum(count)
     run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[order], dtype=np.uint64)])
     sums = run[ends] - run[ends - count]
-    need = 1
     if k < 4:
-        sets = _subsets(n, 3)
-        sums, count = sums[sets].sum(1, dtype=np.uint64), count[sets].sum(1)
-        enough = count >= least
-        telling = enough.all()
-    else:
-        enough = count >= least
-        telling = enough.sum() > k
-        need = int(enough.sum()) - k if telling else 1
-    out = mix(mix(sums) + tag + np.arange(len(sums), dtype=np.uint64)).view(np.int64)
-    return (out[enough] if telling else out), need
+        out = mix(mix(sums[_subsets(n, 3)].sum(1, dtype=np.uint64)) + tag + np.arange(len(_subsets(n, 3)), dtype=np.uint64))
+        return out.view(np.int64), 1
+    # in each partition the subset of all cells but one, for each one
+    sums, count = sums.reshape(n, 3), count.reshape(n, 3)
+    sums, count = sums.sum(1, dtype=np.uint64)[:, None] - sums, count.sum(1)[:, None] - count
+    out = mix(mix(sums.reshape(-1)) + tag + np.arange(cells, dtype=np.uint64)).view(np.int64)
+    enough = count >= least
+    telling = int(enough.all(1).sum())
+    if 2 * telling <= k:
+        return out, 1
+    # a partition with one difference keeps one of its three signatures, one without all; one difference in each spoils most
+    return out[enough.reshape(-1)], 2 * telling - k if telling <= k else 3 * telling - 2 * k
 
 
 SEEN = 1 << 18  # nodes that a task remembers so as to send equal sets once
 
 
-def _sets(docs: DataFrame, width: int, percent: int, what: str, bitmap=None) -> DataFrame:
-    """what: "node" -> doc_id, n_shingles, node (null for the empty set), a row for each row; and, for a set once as far as a task
-    remembers: "signature" -> signature; "member" -> signature, band, need, node, size; "set" -> node, items. The broadcast bitmap, if any, rules
-    out signatures, or nodes of sets."""
-    own = docs.select("doc_id", "text") if what == "node" else docs.select("text")
+def _nodes(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, node (null for the empty set) and signs (number of signatures), a row for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for part in row_chunks(batches):
-            sets = shingle_sets(part.column(part.num_columns - 1).cast(pa.binary()).to_pylist(), width)
-            nodes = [node_of(s) if len(s) else None for s in sets]
-            if what == "node":
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64())], names=["doc_id", "n_shingles", "node"])
-                continue
-            once = {n: s for n, s in zip(nodes, sets, strict=True) if n is not None and n not in seen}
-            if len(seen) + len(once) > SEEN:
-                seen.clear()
-            seen.update(once)
-            if what == "set" and bitmap is not None:
-                keys = np.array(list(once), np.int64)
-                once = {n: once[n] for n in keys[_in_bitmap(bitmap.value, keys)].tolist()}
-            if not once:
-                continue
+            sets = shingle_sets(part.column(1).cast(pa.binary()).to_pylist(), width)
+            nodes = pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())
+            signs = pa.array([signature_count(len(s), percent) if len(s) else 0 for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), nodes, signs], names=["doc_id", "n_shingles", "node", "signs"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, node long, signs long")
+
+
+def _distinct_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[dict[int, np.ndarray]]:
+    """The sets of a task by node, each once as far as the task remembers."""
+    seen: set[int] = set()
+    for part in row_chunks(batches):
+        sets = shingle_sets(part.column(0).cast(pa.binary()).to_pylist(), width)
+        once = {}
+        for s in sets:
+            if len(s) and (n := node_of(s)) not in seen:
+                once[n] = s
+        if len(seen) + len(once) > SEEN:
+            seen.clear()
+        seen.update(once)
+        if once:
+            yield once
+
+
+def _sets(docs: DataFrame, width: int, bitmap) -> DataFrame:
+    """node, items of the sets whose nodes the broadcast bitmap doesn't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for once in _distinct_sets(batches, width):
             keys = np.array(list(once), np.int64)
-            if what == "set":
-                offsets = np.concatenate([[0], np.cumsum([len(s) for s in once.values()])]).astype(np.int32)
-                items = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(list(once.values())).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), items], names=["node", "items"])
-                continue
-            if what == "signature":
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([signatures(s, percent) for s in once.values()]))], names=["signature"])
-                continue
-            found = [signatures_told(s, percent) for s in once.values()]
-            n = [len(x) for x, _, _ in found]
-            sizes = np.array([len(s) for s in once.values()], np.int32)
-            columns = [*(np.concatenate(x) for x in zip(*found, strict=True)), np.repeat(keys, n), np.repeat(sizes, n)]
-            passed = _in_bitmap(bitmap.value, columns[0])
-            # a linked set shares at least `need` signatures of its band, so with fewer that may be shared there is no link
-            group = 2 * np.repeat(np.arange(len(n)), n) + (columns[1] != np.repeat(columns[1][np.cumsum([0, *n[:-1]])], n))
-            passed &= np.bincount(group, passed, 2 * len(n))[group] >= columns[2]
-            yield pa.RecordBatch.from_arrays([pa.array(x[passed]) for x in columns], names=["signature", "band", "need", "node", "size"])
-
-    schema = {"node": f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, node long", "signature": "signature long", "member": "signature long, band int, need int, node long, size int", "set": "node long, items array<long>"}
-    return own.mapInArrow(run, schema[what])
+            keys = keys[_in_bitmap(bitmap.value, keys)]
+            if len(keys):
+                sets = [once[n] for n in keys.tolist()]
+                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], names=["node", "items"])
+
+    return docs.select("text").mapInArrow(run, "node long, items array<long>")
+
+
+_ENTRY = np.dtype([("key", "<u4"), ("need", "u1"), ("node", "<i8")])  # 13 bytes
+
+
+def _blobs(docs: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
+    """part, entries: the signatures of all sets with their nodes. A signature's upper half tells its part, the lower is its key there."""
+
+    def packed(signs: list[np.ndarray], needs: list[int], nodes: list[int]) -> Iterator[pa.RecordBatch]:
+        n = [len(x) for x in signs]
+        entries = np.empty(sum(n), _ENTRY)
+        every = np.concatenate(signs).view(np.uint64)
+        part = (every >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        order = np.argsort(part, kind="stable")
+        entries["key"], entries["node"] = every[order].astype(np.uint32), np.repeat(np.array(nodes, np.int64), n)[order]
+        entries["need"] = np.repeat(np.minimum(needs, 255).astype(np.uint8), n)[order]
+        part = part[order]
+        first = np.flatnonzero(np.diff(part, prepend=part[:1] + np.uint64(1)))
+        size = np.diff(np.append(first, len(part)))
+        pieces = -(-size // BLOB)
+        cuts = np.repeat(first, pieces) + BLOB * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        offsets = np.append(cuts, len(part))
+        for a in range(0, len(cuts), 4096):
+            z = min(a + 4096, len(cuts))
+            data = entries[offsets[a] : offsets[z]].tobytes()
+            at = ((offsets[a : z + 1] - offsets[a]) * _ENTRY.itemsize).astype(np.int32)
+            blob = pa.Array.from_buffers(pa.binary(), z - a, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([pa.array(part[cuts[a:z]].astype(np.int64)), blob], names=["part", "entries"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signs, needs, nodes, held = [], [], [], 0
+        for once in _distinct_sets(batches, width):
+            for n, s in once.items():
+                found, need = signatures(s, percent)
+                signs.append(found)
+                needs.append(need)
+                nodes.append(n)
+                held += len(signs[-1])
+            if held > max(1 << 20, min(HELD, 64 * parts)):
+                yield from packed(signs, needs, nodes)
+                signs, needs, nodes, held = [], [], [], 0
+        if held:
+            yield from packed(signs, needs, nodes)
+
+    return docs.select("text").mapInArrow(run, "part long, entries binary")
+
+
+class _Part:
+    """The entries of one part as they come; settle() makes of them pairs (small buckets) and members (large ones).
+
+    Memory is bounded by what is in small buckets: when HELD entries are held, members of large buckets are given out and only their keys kept.
+    """
+
+    def __init__(self, part: int):
+        self.part, self.held, self.n, self.large = part, [], 0, np.empty(0, np.uint32)
+
+    def add(self, entries: np.ndarray) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        self.held.append(entries)
+        self.n += len(entries)
+        if self.n > HELD:
+            yield from self.settle(last=False)
+
+    def settle(self, last: bool) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(is it pairs, a or bucket, b or node, shared signatures or fellows, need), arrays of the same length."""
+        every = np.concatenate(self.held)
+        order = np.lexsort((every["node"], every["key"]))
+        key, node, need = every["key"][order], every["node"][order], every["need"][order]
+        own = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))  # copies of one text come once
+        key, node, need = key[own], node[own], need[own]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(first, len(key)))
+        large = (size > SMALL) | np.isin(key[first], self.large)
+        fellows = np.repeat(np.where(large, size, 0), size)
+        if large.any():
+            yield False, (self.part << 32) + key[fellows > 0].astype(np.int64), node[fellows > 0], fellows[fellows > 0], need[fellows > 0]
+            self.large = np.union1d(self.large, key[first][large])
+        if not last:
+            rest = np.empty(int((fellows == 0).sum()), _ENTRY)
+            rest["key"], rest["node"], rest["need"] = key[fellows == 0], node[fellows == 0], need[fellows == 0]
+            # as many again before the next time, so that a part of nothing but small buckets isn't sorted over and over
+            self.held, self.n = [rest], min(len(rest), HELD // 2)
+            return
+        found = []
+        for k in range(2, SMALL + 1):
+            at = first[(size == k) & ~large]
+            found += [(node[at + i], node[at + j], np.maximum(need[at + i], need[at + j])) for i, j in itertools.combinations(range(k), 2)]
+        a, b, need = (np.concatenate(x) for x in zip(*found, strict=True))
+        if len(a):
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            yield True, a[first], b[first], np.diff(np.append(first, len(a))), need[order][first]
+
+
+def _met(docs: DataFrame, width: int, percent: int, total: int) -> DataFrame:
+    """Who shares signatures: pair true: nodes a < b that share n signatures in small buckets of one part, while a link
+    shares at least need; false: node b in the large bucket a, with about n fellows. total: the number of signatures."""
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK))
+    parts = max(4 * tasks, -(-total // PART))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(found) -> Iterator[pa.RecordBatch]:
+            for pair, *columns in found:
+                for k in range(0, len(columns[0]), 1 << 16):
+                    some = [c[k : k + (1 << 16)].astype(np.int64) for c in columns]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some[0]), pair)), *map(pa.array, some)], names=["pair", "a", "b", "n", "need"])
+
+        now = None
+        for batch in batches:
+            for part, entries in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if now is None or now.part != part:
+                    if now is not None:
+                        yield from out(now.settle(last=True))
+                    now = _Part(part)
+                yield from out(now.add(np.frombuffer(entries.as_buffer(), _ENTRY)))
+        if now is not None:
+            yield from out(now.settle(last=True))
+
+    blobs = _blobs(docs, width, percent, parts).repartition(tasks, "part").sortWithinPartitions("part")
+    return blobs.mapInArrow(run, "pair boolean, a long, b long, n long, need long")
 
 
 def _in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -311,36 +443,38 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
     both = both.withColumn("linked", 100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common")))
     if not differences:
-        return both.select("a", "b", "linked")
+        return both.select(*pairs.columns, "linked")
     both = both.withColumn("size", F.size("y")).withColumn("differ", F.size("x") + F.size("y") - 2 * F.col("common"))
     half = F.col("differ") - F.floor(((100 + percent) * F.col("differ") + (100 - percent) * (F.size("x") - F.size("y"))) / F.lit(2 * (100 + percent)))
     most = F.floor((100 - percent) * F.col("size") / F.lit(percent))  # differences of b to any set that is linked with it: c |b| (1 + 1 / g)
     long = F.when(F.col("linked"), 0).otherwise(F.col("differ") - F.greatest(F.lit(1), F.col("differ") - most) + 1)
     own = F.concat(F.array_except("y", "x"), F.array_except("x", "y"))
-    return both.select("a", "b", "linked", "size", "differ", half.cast("int").alias("half"), F.greatest(half, long).cast("int").alias("long"), own.alias("difference"))
+    return both.select(*pairs.columns, "linked", "size", "differ", half.cast("int").alias("half"), F.greatest(half, long).cast("int").alias("long"), own.alias("difference"))
 
 
 def _others(stars: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of a pivot, at least one not linked with it, that can be linked.
+    """Pairs of members of a pivot, of different components, that can be linked. stars: compared() with differences, and label (b's component)
+    and inside (it is the pivot's).
 
     Let D(x) be the difference of x to the pivot p and c = (1 - g) / (1 + g); two sets are linked if they differ in at most c times the
-    sum of their sizes. x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)|. If x isn't linked with p, then |D(x)| > c (|x| + |p|), so a
-    link of x and y needs |D(x) & D(y)| > (|D(y)| + c (|p| - |y|)) / 2; by the triangle inequality it also needs |D(x) & D(y)| >=
-    |D(x)| - c |x| (1 + 1 / g). In any common order of shingles, sets with so much in common have one in common among the first |D| -
-    overlap + 1 of each (prefix filter), and at their first common place enough is left of both (positional filter).
+    sum of their sizes. x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)|. One of the two, x, isn't in p's component, so it isn't linked with p and
+    |D(x)| > c (|x| + |p|); then a link of x and y needs |D(x) & D(y)| > (|D(y)| + c (|p| - |y|)) / 2; by the triangle inequality it also needs
+    |D(x) & D(y)| >= |D(x)| - c |x| (1 + 1 / g). In any common order of shingles, sets with so much in common have one in common among the first
+    |D| - overlap + 1 of each (prefix filter), and at their first common place enough is left of both (positional filter).
     Shingles come in the order of how many of the pivot's members have them in their difference, the rarest first, so unrelated edits
     don't meet in what many members have lost or gained alike.
     """
-    items = stars.select("a", "b", "linked", "size", "differ", "half", "long", F.explode("difference").alias("item"))
+    items = stars.select("a", "b", "linked", "label", "inside", "size", "differ", "half", "long", F.explode("difference").alias("item"))
     often = items.groupBy("a", "item").agg(F.count("*").alias("often"))
     placed = items.join(often, ["a", "item"]).withColumn("at", F.row_number().over(Window.partitionBy("a", "b").orderBy("often", "item")) - 1)
     placed = stored(placed.where((F.col("at") < F.col("long")) & (F.col("often") > 1)).drop("often"), "placed")  # what one member has alone meets nothing
-    one = placed.where(~F.col("linked")).alias("x")
+    one = placed.where(~F.col("inside")).alias("x")
     two = placed.where(F.col("at") < F.col("half")).alias("y")
     left = F.least(F.col("x.differ") - F.col("x.at"), F.col("y.differ") - F.col("y.at"))
     enough = (100 + percent) * (F.col("x.differ") + F.col("y.differ") - 2 * left) <= (100 - percent) * (F.col("x.size") + F.col("y.size"))
-    once = F.col("y.linked") | ((F.col("x.b") < F.col("y.b")) & (F.col("x.at") < F.col("x.half")))
-    met = one.join(two, (F.col("x.a") == F.col("y.a")) & (F.col("x.item") == F.col("y.item")) & once & enough)
+    fits = 100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size")
+    once = (F.col("x.label") != F.col("y.label")) & (F.col("y.inside") | (F.col("x.b") < F.col("y.b"))) & (F.col("y.linked") | (F.col("x.at") < F.col("x.half")))
+    met = one.join(two, (F.col("x.a") == F.col("y.a")) & (F.col("x.item") == F.col("y.item")) & once & enough & fits)
     return met.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
 
 
@@ -356,8 +490,9 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
         old = labels
         near = both.join(old.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         step = old.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = old.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        labels = stored(step.join(jump, "label").select("node", F.least("label", "further").alias("label"), "was"), name)
+        # a label of many nodes isn't shuffled by if labels are few; else Spark splits it
+        jump = old.join(old.select(F.col("label").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("label"), F.col("label").alias("further"))
+        labels = stored(step.join(_checked(jump), "label").select("node", F.least("label", "further").alias("label"), "was"), name)
         done = labels.where("label < was").limit(1).count() == 0
         drop_stored(old)
         labels = labels.drop("was")
@@ -391,59 +526,144 @@ def _bitmap(values: DataFrame):
     return values.sparkSession.sparkContext.broadcast(out.view(np.uint8))
 
 
-def _members(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """signature, band, need, node, size (of the set), fellows (in the bucket) of all signatures that more than one node has.
+def _large(met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """bucket, node, need and small, the number of signatures that it shares in small buckets at most, of those members of large buckets that share
+    as many signatures as a link needs; and bucket, pivot: the member with most fellows, since copies that were edited share more with their
+    origin than with each other, so the buckets of a group have one pivot in common, as a rule."""
+    large = met.where("not pair").select(F.col("a").alias("bucket"), F.col("b").alias("node"), F.col("n").alias("fellows"), "need")
+    small = met.where("pair").select("a", "b", "n")
+    each = large.select("node", "fellows", "need", F.lit(1).alias("large"), F.lit(0).cast("long").alias("small"))
+    for x in ("a", "b"):
+        each = each.union(small.select(x, F.lit(0).cast("long"), F.lit(None).cast("long"), F.lit(0), "n"))
+    known = each.groupBy("node").agg(F.sum("fellows").alias("all_fellows"), F.max("need").alias("need"), F.sum("large").alias("large"), F.sum("small").alias("small"))
+    known = known.where("need is not null and large + small >= need").drop("large")
+    large = stored(large.select("bucket", "node").join(known, "node"), "large")
+    pivots = stored(large.groupBy("bucket").agg(F.max(F.struct("all_fellows", "node")).alias("top")).select("bucket", F.col("top.node").alias("pivot")), "pivots")
+    return large, pivots
 
-    A first pass counts signatures, 8 bytes each. The second makes them again and sends on, for the exact join, just those that a bitmap of
-    bounded size doesn't rule out; most signatures are one node's own.
-    """
-    shared = stored(_sets(docs, width, percent, "signature").groupBy("signature").count().where("count > 1").select("signature"), "shared")
-    release(docs.sparkSession)
-    again = _sets(docs, width, percent, "member", _bitmap(shared))
-    rows = stored(again.join(_checked(shared), "signature").distinct(), "rows")
-    drop_stored(shared)
+
+def _star_rows(large: DataFrame, pivots: DataFrame) -> DataFrame:
+    rows = large.select("bucket", "node").join(_checked(pivots), "bucket").where("node <> pivot")
+    return rows.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def _still_open(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """large with label, without buckets of one component and without nodes that share less with other components than a link needs."""
+    rows = stored(large.join(_checked(labels), "node", "left").withColumn("label", F.coalesce("label", "node")), "open")
     for _ in range(ROUNDS):
-        # signatures that more than one node has, and of these only those of nodes that share enough of them in the band for a link
-        met = rows.join(rows.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1").select("signature"), "signature")
-        enough = met.groupBy("node", "band").agg(F.count("*").alias("n"), F.max("need").alias("m")).where("n >= m").select("node", "band")
-        left = stored(met.join(enough, ["node", "band"]), "rows")
+        mixed = rows.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+        left = rows.join(mixed, "bucket", "left_semi")
+        enough = left.groupBy("node").agg(F.count("*").alias("n"), F.first("small").alias("small"), F.first("need").alias("need")).where("n + small >= need").select("node")
+        left = stored(left.join(enough, "node", "left_semi"), "open")
         drop_stored(rows)
         rows = left
-    counts = rows.groupBy("signature").agg(F.count("*").alias("fellows")).where("fellows > 1")
-    members = stored(rows.join(counts, "signature"), "members")
-    drop_stored(rows)
+    return rows
+
+
+def _by_sketches(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in buckets of few nodes, without those whose sketches tell that they differ too much.
+
+    A sketch cuts a set's domain into cells and has a byte for each, of all the shingles in it; sets that differ in d shingles differ in d cells at most.
+    Bytes of neighbouring cells fold into one by exclusive or, so sketches of different lengths can be compared.
+    """
+    x, y = rows.select("bucket", "node", "label").alias("x"), rows.select("bucket", "node", "label").alias("y")
+    met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")))
+    met = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.asarray(x).view(np.uint64) for x in batch.column(1).to_numpy(zero_copy_only=False)]
+            out = pa.array([sketch_of(s, percent) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), out], names=["node", "size", "sketch"])
+
+    wanted = rows.select("node").distinct()
+    sketches = stored(sets.join(wanted, "node", "left_semi").select("node", "items").mapInArrow(sketch, "node long, size long, sketch binary"), "sketches")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+            differ = np.array([cells_apart(x, y) for x, y in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array((100 + percent) * differ <= (100 - percent) * sizes))
+
+    for k in ("a", "b"):
+        met = met.join(sketches.select(F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}")), k)
+    fits = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
+    return met.where(fits).select("a", "b", "size_a", "sketch_a", "size_b", "sketch_b").mapInArrow(near, "a long, b long")
+
+
+def sketch_of(s: np.ndarray, percent: int) -> bytes:
+    """A byte for each cell: 2.5 to 5 cells for each shingle that a linked set may differ in."""
+    bits = max(3, (5 * (100 - percent) * len(s) // (100 + percent)).bit_length())
+    value = mix(s ^ np.uint64(_BASE))
+    cell = (value >> np.uint64(64 - bits)).astype(np.int64)
+    out = np.zeros(1 << bits, np.uint8)
+    np.bitwise_xor.at(out, cell, value.astype(np.uint8))
+    return out.tobytes()
+
+
+def cells_apart(x: bytes, y: bytes) -> int:
+    """How many cells of two sketches differ, the longer one folded to the shorter."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    b = np.bitwise_xor.reduce(b.reshape(len(a), -1), axis=1)
+    return int(np.count_nonzero(a != b))
+
+
+def _by_differences(rows: DataFrame, pivots: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in buckets of many nodes, by their differences to the bucket's pivot."""
+    if not rows.limit(1).count():
+        return rows.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    told = _star_rows(rows, pivots)
+    for x in ("a", "b"):  # the pivot may have been left out of rows
+        told = told.join(_checked(labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))), x, "left").withColumn(f"label_{x}", F.coalesce(f"label_{x}", x))
+    told = told.select("a", "b", F.col("label_b").alias("label"), (F.col("label_a") == F.col("label_b")).alias("inside"))
+    return _others(stored(compared(told, sets, percent, differences=True), "differing"), percent)
+
+
+def node_components(docs: DataFrame, own: DataFrame, width: int, percent: int) -> DataFrame:
+    """node, label for the nodes that are linked with another. own: _nodes() of docs, stored."""
+    met = stored(_met(docs, width, percent, own.agg(F.sum("signs")).first()[0] or 0), "met")
     release(docs.sparkSession)
-    return members
-
-
-def node_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """node, label for the nodes that are linked with another."""
-    members = _members(docs, width, percent)
-    # a bucket's pivot is the node with the most fellows: copies that were edited share more with their origin than with each other
-    large = members.where(F.col("fellows") > SMALL)
-    known = large.groupBy("node").agg(F.sum("fellows").alias("all_fellows"))
-    large = large.select("signature", "node").join(known, "node")
-    pivots = stored(large.groupBy("signature").agg(F.max(F.struct("all_fellows", "node")).alias("top")).select("signature", F.col("top.node").alias("pivot")), "pivots")
-    stars = stored(large.join(_checked(pivots), "signature").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    # of pairs in small buckets only those go on whose sizes allow a link and that share as many signatures as a link needs
-    small = members.where(F.col("fellows") <= SMALL).groupBy("signature", "band").agg(F.collect_list(F.struct("node", "size", "need")).alias("all"))  # SMALL nodes at most
-    fits = lambda x, y: (y["node"] > x["node"]) & (100 * F.least(x["size"], y["size"]) >= percent * F.greatest(x["size"], y["size"]))
-    pair = lambda x, y: F.struct(x["node"].alias("a"), y["node"].alias("b"), F.greatest(x["need"], y["need"]).alias("need"))
-    paired = F.flatten(F.transform("all", lambda x: F.transform(F.filter("all", lambda y: fits(x, y)), lambda y: pair(x, y))))
-    pairs = small.select("band", F.explode(paired).alias("p")).groupBy("p.a", "p.b", "band").agg(F.count("*").alias("n"), F.max("p.need").alias("need"))
-    # linked nodes that meet in a large bucket are found by way of its pivot; others have all that they share in small ones
-    pairs = stored(pairs.where("n >= need").select("a", "b").distinct(), "pairs")
-    wanted = stars.select(F.col("a").alias("node")).union(stars.select("b")).union(pairs.select("a")).union(pairs.select("b")).distinct()
-    sets = stored(_sets(docs, width, percent, "set", _bitmap(wanted)).dropDuplicates(["node"]), "sets")
+    large, pivots = _large(met)
+    stars = stored(_star_rows(large, pivots), "stars")
+    # linked nodes that meet in a large bucket are found by way of its pivot; others have all that they share in small ones, where it must be enough
+    sizes = own.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("size"))
+    pairs = met.where("pair").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b")
+    for x in ("a", "b"):
+        pairs = pairs.join(sizes.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}")), x)
+    pairs = pairs.where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
+    pairs = stored(pairs.select("a", "b"), "pairs")
+    drop_stored(met)
+    both = stars.union(pairs)
+    wanted = stored(both.select(F.col("a").alias("node")).union(both.select("b")).distinct(), "wanted")
+    sets = stored(_sets(docs, width, _bitmap(wanted)).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    drop_stored(wanted)
     release(docs.sparkSession)
 
-    stars = stored(compared(stars, sets, percent, differences=True), "compared")
-    with_others = stored(stars.where("not linked").select("a").distinct(), "open")
-    rest = pairs.union(_others(stars.join(_checked(with_others), "a", "left_semi"), percent)).distinct()
-    tested = stored(compared(rest, sets, percent), "tested")
-    drop_stored(members, sets)
+    first = stored(compared(both, sets, percent).where("linked"), "first")
+    drop_stored(stars, pairs)
+    labels = components(first.select("a", "b"))
+    drop_stored(first)
+    # large buckets that hold more than one component still
+    rows = _still_open(large, labels)
+    drop_stored(large)
+    if not rows.limit(1).count():
+        drop_stored(rows, pivots, sets)
+        return labels
+    counted = rows.join(rows.groupBy("bucket").agg(F.count("*").alias("k")), "bucket")
+    rest = stored(_by_sketches(counted.where(F.col("k") <= MEDIUM), sets, percent).union(_by_differences(counted.where(F.col("k") > MEDIUM), pivots, labels, sets, percent)).distinct(), "rest")
+    drop_stored(rows, pivots)
     release(docs.sparkSession)
-    return components(tested.where("linked").select("a", "b").union(stars.where("linked").select("a", "b")))
+    label = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
+    few = stored(rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct(), "few")
+    tested = compared(rest, sets.join(_checked(few), "node", "left_semi"), percent).where("linked").join(_checked(label("a")), "a", "left").join(_checked(label("b")), "b", "left")
+    tested = stored(tested.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")), "tested")
+    drop_stored(rest, sets)
+    over = components(tested, "over")
+    every = labels.union(over.select("node", F.col("node").alias("label"))).distinct()
+    found = every.join(_checked(over.select(F.col("node").alias("label"), F.col("label").alias("further"))), "label", "left")
+    found = stored(found.select("node", F.coalesce("further", "label").alias("label")), "labels")
+    drop_stored(tested, few, over, labels)
+    return found
 
 
 def join_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -459,8 +679,8 @@ def join_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
 
 def _component_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, node, label (of the component, as two may have one smallest doc_id), component_id."""
-    own = stored(_sets(docs, width, percent, "node"), "nodes")
-    labels = node_components(docs, width, percent)
+    own = stored(_nodes(docs, width, percent), "nodes")
+    labels = node_components(docs, own, width, percent)
     classes = own.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     classes = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     by_label = classes.groupBy("label").agg(F.min("least").alias("component_id"))

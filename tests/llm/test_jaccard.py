@@ -102,10 +102,19 @@ def test_linked_sets_share_a_signature(n, percent, gone, more, seed):
     b = np.sort(np.concatenate([rng.permutation(items[:n])[min(gone, n - 1) :], items[n:]]))
     common = len(np.intersect1d(a, b))
     if len(b) and 100 * common >= percent * (len(a) + len(b) - common):
-        assert len(np.intersect1d(jc.signatures(a, percent), jc.signatures(b, percent)))
-        told = [{(x, band): need for x, band, need in zip(*(c.tolist() for c in jc.signatures_told(s, percent)), strict=True)} for s in (a, b)]
-        shared = [k for k in told[0] if k in told[1]]
-        assert any(sum(band == k[1] for _, band in shared) >= max(told[0][k], told[1][k]) for k in shared)
+        told = [jc.signatures(s, percent) for s in (a, b)]
+        assert len(np.intersect1d(told[0][0], told[1][0])) >= max(told[0][1], told[1][1]) >= 1
+        for s, (found, _) in zip((a, b), told, strict=True):
+            assert len(found) <= jc.signature_count(len(s), percent)
+
+
+@given(st.integers(1, 600), st.integers(0, 300), st.integers(0, 300), st.integers(0, 1 << 30))
+@settings(max_examples=200, deadline=None)
+def test_sketches_never_tell_more_than_the_difference(n, gone, more, seed):
+    rng = np.random.default_rng(seed)
+    items = np.unique(rng.integers(0, 1 << 62, n + more).astype(np.uint64))
+    a, b = items[:n], np.concatenate([items[min(gone, n - 1) : n], items[n:]])
+    assert jc.cells_apart(jc.sketch_of(a, 80), jc.sketch_of(b, 80)) <= len(np.setxor1d(a, b))
 
 
 @given(st.lists(st.text(alphabet="aAbB \n\té ", max_size=30), max_size=6), st.integers(1, 4))
@@ -128,10 +137,15 @@ def test_components_of_a_path(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
-def test_small_caps_on_broadcast_and_bitmap_change_nothing(spark, monkeypatch):
+@pytest.mark.parametrize("medium", [0, 8, 10**6])
+def test_small_caps_on_broadcast_and_bitmap_change_nothing(spark, monkeypatch, medium):
     rows = corpus(7)
     monkeypatch.setattr(jc, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(jc, "MOST_BITS", 16)
     monkeypatch.setattr(jc, "SEEN", 5)
+    monkeypatch.setattr(jc, "HELD", 300)
+    monkeypatch.setattr(jc, "BLOB", 3)
+    monkeypatch.setattr(jc, "PART", 50)
+    monkeypatch.setattr(jc, "MEDIUM", medium)
     got = jc.join_components(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, got.collect())) == plain_components(rows, 3, 90)
