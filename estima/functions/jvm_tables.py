@@ -1,4 +1,4 @@
-"""Measured tables of the HLL estimators, read from the sketch library that Spark itself ships, once a driver."""
+"""Measured tables of the HLL estimators, read once a driver from the classes beside the one that Spark's own HLL aggregate keeps as its buffer."""
 
 from __future__ import annotations
 
@@ -7,12 +7,13 @@ import functools
 import numpy as np
 from pyspark.sql import SparkSession
 
-HLL = "org.apache.datasketches.hll"
+AGGREGATE = "org.apache.spark.sql.catalyst.expressions.aggregate.HllSketchAgg"
 
 
 def _static(spark: SparkSession, name: str, field: str):
-    jvm = spark.sparkContext._jvm
-    f = jvm.java.lang.Class.forName(f"{HLL}.{name}").getDeclaredField(field)
+    of_name = spark.sparkContext._jvm.java.lang.Class.forName
+    buffers = [m.getReturnType().getPackageName() for m in of_name(AGGREGATE).getMethods() if m.getName() == "createAggregationBuffer"]
+    f = of_name(f"{next(x for x in buffers if x != 'java.lang')}.{name}").getDeclaredField(field)
     f.setAccessible(True)
     return f.get(None)
 

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from estima.functions.headers import kll_header
 
 TYPES = {"double": "<f8", "float": "<f4", "bigint": "<i8"}
-KLL = "org.apache.datasketches.kll.KllSketch"
+#: Fixed values of the fitted rank error, factor / k ** power, of ranks and of the mass between splits; the least error and the range of k.
+RANK_ERROR, MASS_ERROR = (2.296, 0.9723), (2.446, 0.9433)
+LEAST_ERROR, LEAST_K, MOST_K = 4.7634e-5, 8, 65535
 
 
 def _native(name: str, kind: str):
@@ -64,12 +66,16 @@ def pmf(image: Column, splits: list[float], kind: str = "double", inclusive: boo
 
 def rank_error(image: Column, mass: bool = False) -> Column:
     """The normalised error of ranks, or, for mass, of the probability mass between splits."""
-    return F.reflect(F.lit(KLL), F.lit("getNormalizedRankError"), kll_header(image)["min_k"], F.lit(mass)).cast("double")
+    factor, power = MASS_ERROR if mass else RANK_ERROR
+    return F.lit(factor) / F.pow(kll_header(image)["min_k"].cast("double"), F.lit(power))
 
 
 def k_from_epsilon(epsilon: Column, mass: bool = False) -> Column:
     """The k whose rank error is epsilon, at least 8, the least k that a sketch takes."""
-    return F.greatest(F.lit(8), F.reflect(F.lit(KLL), F.lit("getKFromEpsilon"), epsilon.cast("double"), F.lit(mass)).cast("int"))
+    factor, power = MASS_ERROR if mass else RANK_ERROR
+    k = F.exp(F.log(F.lit(factor) / F.greatest(epsilon.cast("double"), F.lit(LEAST_ERROR))) / F.lit(power))
+    whole = F.when(F.abs(F.round(k) - k) < 1e-6, F.round(k)).otherwise(F.ceil(k))  # what should be whole isn't raised for rounding
+    return F.greatest(F.lit(LEAST_K), F.least(F.lit(MOST_K), whole)).cast("int")
 
 
 @dataclass

@@ -7,11 +7,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from estima.functions.bounds import bound
 from estima.functions.hashing import seed_hash
 from estima.functions.headers import EMPTY_THETA, MAX_THETA, SEED, theta_header
 
-BOUNDS = "org.apache.datasketches.thetacommon.BinomialBoundsN"
-
 
 def empty_image() -> Column:
     return F.lit(EMPTY_THETA)
@@ -40,21 +39,28 @@ def estimate(image: Column) -> Column:
     return h["retained"] * (F.lit(2.0**63) / h["theta_long"])
 
 
-def _bound(name: str, image: Column, deviations: int) -> Column:
+def _bound(image: Column, deviations: int, upper: bool) -> Column:
     if deviations not in (1, 2, 3):
         raise ValueError("bounds are for 1, 2 or 3 standard deviations")
-    h = theta_header(image)
-    value = F.reflect(F.lit(BOUNDS), F.lit(name), h["retained"], theta(image), F.lit(deviations), h["is_empty"]).cast("double")
-    return F.when(h["is_estimating"], value).otherwise(h["retained"].cast("double"))
+
+    @F.pandas_udf("double")
+    def of(headers: pd.DataFrame) -> pd.Series:
+        out = headers["retained"].astype("float64")  # null for a null image
+        some = headers["is_estimating"].fillna(False).astype(bool).to_numpy()
+        if some.any():
+            out[some] = bound(out[some].to_numpy(), headers["theta_long"][some].to_numpy(np.float64) / 2.0**63, deviations, upper)
+        return out
+
+    return of(theta_header(image))
 
 
 def lower_bound(image: Column, deviations: int = 2) -> Column:
-    """The exact count if nothing was sampled away, else the binomial bound, computed in the JVM."""
-    return _bound("getLowerBound", image, deviations)
+    """The exact count if nothing was sampled away, else the binomial bound."""
+    return _bound(image, deviations, False)
 
 
 def upper_bound(image: Column, deviations: int = 2) -> Column:
-    return _bound("getUpperBound", image, deviations)
+    return _bound(image, deviations, True)
 
 
 def decode(image: bytes) -> tuple[np.ndarray, int, bool]:

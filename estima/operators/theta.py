@@ -136,14 +136,16 @@ def update_results(df: DataFrame, column: str, order: str, kind: str, lg_k: int
     return hashed.withColumn("whole", F.lit(0)).groupBy("whole").applyInPandas(run, T.StructType([hashed.schema[order], T.StructField("result", T.StringType())]))
 
 
-def alpha_sketch(df: DataFrame, keys: Sequence[str], column: str, order: str, kind: str, lg_k: int = DEFAULT_LG, seed: int = SEED, p: float = 1.0) -> DataFrame:
-    """keys, sketch (an image that set operations take), estimate, lower and upper bound, of the Alpha algorithm.
+def alpha_sketch(df: DataFrame, keys: Sequence[str], column: str, order: str, kind: str, lg_k: int = DEFAULT_LG, seed: int = SEED, p: float = 1.0, deviations: int = 2) -> DataFrame:
+    """keys, sketch (an image that set operations take), estimate, lower and upper bound at 1, 2 or 3 deviations, of the Alpha algorithm.
 
     It depends on the order of updates, which is that of the column `order`. A value counts where it comes first: theta only falls,
     so a repeat is either known or over theta. So each group is reduced to its distinct hashes before it goes, as it must, to one task.
     """
     if lg_k < LEAST_ALPHA_LG:
         raise ValueError("Alpha needs at least 512 nominal entries")
+    if deviations not in (1, 2, 3):
+        raise ValueError("bounds are for 1, 2 or 3 standard deviations")
     own = df.select(*keys, F.col(order).alias("at"), theta_hash(F.col(column), kind, seed).alias("h")).where("h is not null")
     firsts = own.groupBy(*keys, "h").agg(F.min("at").alias("at"))
     k, decay = 1 << lg_k, (1 << lg_k) / ((1 << lg_k) + 1.0)
@@ -162,21 +164,27 @@ def alpha_sketch(df: DataFrame, keys: Sequence[str], column: str, order: str, ki
         estimate = (len(own) if limit > turn else k) * (2.0**63 / limit)
         deviation = math.sqrt(alpha_variance(len(own), limit / 2.0**63, k, p))
         sampled = limit < MAX_THETA
-        return pd.DataFrame({**{x: pdf[x].iloc[:1].to_numpy() for x in keys}, "sketch": [ft.encode(np.array(own, np.int64), limit, False, seed)], "estimate": [estimate], "lower": [max(0.0, estimate - 2 * deviation) if sampled and own else 0.0 if sampled else float(len(own))], "upper": [estimate + 2 * deviation if sampled else float(len(own))]})
+        return pd.DataFrame({**{x: pdf[x].iloc[:1].to_numpy() for x in keys}, "sketch": [ft.encode(np.array(own, np.int64), limit, False, seed)], "estimate": [estimate], "lower": [max(0.0, estimate - deviations * deviation) if sampled and own else 0.0 if sampled else float(len(own))], "upper": [estimate + deviations * deviation if sampled else float(len(own))]})
 
     fields = [df.schema[x] for x in keys] + [T.StructField("sketch", T.BinaryType())] + [T.StructField(x, T.DoubleType()) for x in ("estimate", "lower", "upper")]
     return firsts.groupBy(*keys).applyInPandas(run, T.StructType(fields))
 
 
 def alpha_variance(n: int, theta: float, k: int, p: float = 1.0) -> float:
-    """The variance of Alpha's estimate: of the sampling by p, of the decay since the (k + 1)-th value, and of theta itself."""
-    decay, y = k / (k + 1.0), 1.0 / p
-    turn = p * (decay + 1.0) / 2.0
+    """The variance of Alpha's estimate.
+
+    Values come in at rate p until k + 1 have; up to then n of them say n / p, with the variance n (1 - p) / p^2 of a binomial count. From
+    then on each one that comes in lowers theta by the factor k / (k + 1), and stands for 1 / theta values: the waiting time for it is geometric, of
+    variance (1 - t) / t^2 at rate t. So what these steps add is the sum, over the rates t = s, s d, s d^2, .. > theta where s is the rate after the first
+    step, of 1 / t^2 - 1 / t, two geometric series. Last, theta itself stands for a step that hasn't ended.
+    """
+    d = k / (k + 1.0)
+    turn = p * (1.0 + d) / 2.0  # above it fewer than k + 1 values have come in
+    rest = (1.0 - theta) / theta**2
     if theta > turn:
-        own = n * (y * y - y)
-    else:
-        own = (k + 1.0) * (y * y - y)
-        if theta <= decay * turn:
-            b, x = 1.0 / decay, p / theta
-            own += y / (1.0 - b * b) * (y * (b * b - x * x) - b - b * b + x + x * b)
-    return own + (1 - theta) / (theta * theta)
+        return n * (1.0 - p) / p**2 + rest
+    before = (k + 1.0) * (1.0 - p) / p**2
+    if theta > d * turn:
+        return before + rest
+    series = lambda power: (theta**-power - (p * d) ** -power) / (d**-power - 1.0)  # noqa: E731  sum of t ** -power over the rates
+    return before + series(2) - series(1) + rest

@@ -5,8 +5,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from estima.functions import theta as ft
+from estima.functions.bounds import TAILS, bound, equivalent_deviations
 from estima.functions.headers import EMPTY_THETA, MAX_THETA, check_seed, theta_header
 from estima.operators import theta
+from estima.operators import theta as theta_operators
+
 
 def sk():
     return F.col("s")
@@ -162,3 +165,56 @@ def test_two_sigma_intervals_cover(spark):
     hit = made.select(((ft.lower_bound(sk(), 2) <= 20000) & (ft.upper_bound(sk(), 2) >= 20000)).cast("int").alias("hit"))
     r = hit.agg(F.sum("hit").alias("n")).first()
     assert r["n"] >= 51
+
+
+@pytest.mark.parametrize("deviations", [1, 2, 3])
+def test_bounds_are_the_tails_of_the_binomial(deviations):
+    """Brute force: the counts n at which as many kept, or as few, have the tail's probability."""
+    tail = TAILS[deviations]
+    for kept in (2, 5, 17, 60, 119):
+        for theta in (kept / 300, 0.5, 0.9):
+            n = np.arange(kept, 4000)
+            logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 4100)))])
+            i = np.arange(kept + 1)[:, None]
+            of = np.exp(logs[n] - logs[i] - logs[n - i] + i * np.log(theta) + (n - i) * np.log1p(-theta))
+            fewer, at_most = of[:-1].sum(0), of.sum(0)
+            low = n[np.flatnonzero(1 - fewer <= tail)].max(initial=kept - 1)
+            high = n[np.flatnonzero(at_most <= tail)].min()
+            # the bounds are the first whole number on or next to the exact ones, within the estimate and what was kept
+            assert abs(bound([kept], [theta], deviations, False)[0] - max(low, kept)) <= 1.5
+            assert abs(bound([kept], [theta], deviations, True)[0] - high) <= 1.5
+
+
+def test_bounds_known_values():
+    """Effective deviations of a few counts, tabulated to 15 digits; the tails at one and no value kept."""
+    assert equivalent_deviations(1, -1)[1] == pytest.approx(0.78733703534118149, rel=1e-6)
+    assert equivalent_deviations(3, -1)[2] == pytest.approx(6.29302733018320737, rel=1e-6)
+    assert equivalent_deviations(2, 1)[3] == pytest.approx(1.81047286499563143, rel=1e-6)
+    assert bound([0, 0, 7], [1e-3, 1.0, 1.0], 2, True).tolist() == [np.ceil(np.log(TAILS[2]) / np.log1p(-1e-3)), 0, 7]
+    assert bound([0, 1, 7], [1e-3, 0.5, 1.0], 2, False).tolist() == [0, 1, 7]
+
+
+def test_bounds_grow_with_deviations_and_hold_the_estimate():
+    rng = np.random.default_rng(1)
+    kept, theta = rng.integers(0, 3000, 4000), np.exp(rng.uniform(-12, 0, 4000))
+    estimate = kept / theta
+    lows, highs = ([bound(kept, theta, d, up) for d in (1, 2, 3)] for up in (False, True))
+    assert (lows[2] <= lows[1]).all() and (lows[1] <= lows[0]).all() and (lows[0] <= estimate).all()
+    assert (estimate <= highs[0]).all() and (highs[0] <= highs[1]).all() and (highs[1] <= highs[2]).all()
+
+
+@pytest.mark.parametrize("p", [1.0, 0.3])
+def test_alpha_variance_against_simulated_runs(p):
+    """Runs of Alpha over uniform hashes: its estimates spread as the variance says."""
+    rng, k, n, found = np.random.default_rng(4), 512, 20_000, []
+    said = []
+    for _ in range(150):
+        theta, kept = p, 0
+        for h in rng.random(n):
+            if h < theta:
+                kept += 1
+                if theta <= p * (1 + k / (k + 1)) / 2 or kept > k:
+                    theta *= k / (k + 1)
+        found.append(k / theta)
+        said.append(theta_operators.alpha_variance(0, theta, k, p))
+    assert np.std(found) == pytest.approx(np.sqrt(np.mean(said)), rel=0.25) and np.mean(found) == pytest.approx(n, rel=0.02)
