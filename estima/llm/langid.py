@@ -20,7 +20,7 @@ from estima.llm.toxicity import code_points, gram_hashes
 BITS = 16
 SIZES = (1, 2, 3, 4)
 PER_LANGUAGE = 3000  # bound of the documents of a language that its n-grams are counted over
-PIECE = 1 << 18
+PIECE = 1 << 18  # n-grams of a long text that are hashed at a time
 UNKNOWN = "und"
 
 
@@ -30,10 +30,11 @@ def has_letter(text: str | None) -> bool:
 
 def buckets(text: str) -> Iterator[np.ndarray]:
     """Hash buckets of the text's n-grams, lower-cased, runs of other characters than letters taken as one space."""
-    for at in range(0, len(text), PIECE):
-        cp = code_points(text[max(0, at - max(SIZES) + 1) : at + PIECE])
-        cp = cp[np.concatenate([[True], (cp[1:] != 32) | (cp[:-1] != 32)])]
-        for n in SIZES:
+    whole = code_points(text)
+    whole = whole[np.concatenate([[True], (whole[1:] != 32) | (whole[:-1] != 32)])]
+    for n in SIZES:
+        for at in range(0, len(whole) - n + 1, PIECE):
+            cp = whole[at : at + PIECE + n - 1]  # the grams that begin in this piece
             h = gram_hashes(cp, n, BITS)
             yield h[cp != 32] if n == 1 else h
 
@@ -74,7 +75,7 @@ def fit(docs: DataFrame, most: int = PER_LANGUAGE) -> LanguageModel:
     # languages are a short list; their counts are what the driver needs to set each one's share
     counts = stored(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     part = rows.select("doc_id", "text", "lang").join(counts, "lang")  # a row a language: Spark sees its size and broadcasts it
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.col("n") <= F.lit(most << 30)
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.col("n").cast("double") <= F.lit(float(most << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}

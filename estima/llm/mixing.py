@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Every document gets a 60-bit hash of its id. A source takes the documents whose hash lies below a threshold,
+Every document gets a 60-bit hash of its id, or of its text if it has no id. A source takes the documents whose hash lies below a threshold,
 so a larger budget takes a superset (nested thresholds) and no sort is needed: sizes are summed by source
 and by the hash's leading digit, the digit where the sum crosses the budget is found, and only
 that boundary bucket is summed again by the next digit, until the digit is the whole hash.
@@ -18,8 +18,9 @@ from estima.llm.common import WORD, stored
 DIGIT_BITS, DIGITS = 12, 5  # 5 digits of 12 bits: 15 hexadecimal characters of md5
 
 
-def hash60(id_column: str) -> Column:
-    digest = F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("")))
+def hash60() -> Column:
+    """Of a row's id; rows without one are told apart by their texts."""
+    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.col("text")), F.lit("")))
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
@@ -86,7 +87,7 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
 
 def plan_mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """docs (doc_id, text, source) -> the mix's row for each source: mix_source, source_size, target, mix_copies, mix_threshold."""
-    sized = stored(with_size(docs).select("doc_id", "source", F.col("mix_size").alias("size"), hash60("doc_id").alias("h")), "sized")
+    sized = stored(with_size(docs).select("doc_id", "source", F.col("mix_size").alias("size"), F.col("mix_hash").alias("h")), "sized")
     # texts are read once; the rest reads some 30 bytes a document
     targets = stored(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     cut = targets.join(thresholds(sized, targets).withColumnRenamed("source", "cut_source"), F.col("source").eqNullSafe(F.col("cut_source")), "left")
@@ -94,15 +95,16 @@ def plan_mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
 
 
 def with_size(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("mix_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    """docs with mix_size, the number of words, and mix_hash."""
+    return docs.withColumn("mix_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn("mix_hash", hash60())
 
 
 def with_copies(sized: DataFrame, plan: DataFrame) -> DataFrame:
-    """sized (doc_id, source, mix_size) with the plan's columns and copies: how often the mix takes the document."""
-    more = (hash60("doc_id") < F.col("mix_threshold")).cast("long")
+    """sized (source, mix_size, mix_hash) with the plan's columns and copies: how often the mix takes the document."""
+    more = (F.col("mix_hash") < F.col("mix_threshold")).cast("long")
     copies = F.when(F.col("mix_size") == 0, 0).otherwise(F.col("mix_copies") + more)
     out = sized.join(plan, F.col("source").eqNullSafe(F.col("mix_source")), "left").drop("mix_source")
-    return out.withColumn("copies", F.coalesce(copies, F.lit(0)).cast("long")).drop("mix_copies", "mix_threshold")
+    return out.withColumn("copies", F.coalesce(copies, F.lit(0)).cast("long")).drop("mix_copies", "mix_threshold", "mix_hash")
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -110,10 +112,10 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
 
     size is the number of words. copies says how often the mix repeats the document, taken = copies * size.
     Null or empty texts have size 0 and are never taken; a null source is a source of its own; repeated rows
-    share their id's hash and so their fate, as do rows without an id; other columns are ignored. An empty table
-    gives an empty result.
+    share their id's hash and so their fate, as do rows without an id that have one text; other columns are ignored. Texts of any
+    length are counted whole. An empty table gives an empty result.
     """
-    sized = with_size(docs).select("doc_id", "source", "mix_size")
+    sized = with_size(docs).select("doc_id", "source", "mix_size", "mix_hash")
     out = with_copies(sized, plan_mix(docs, weights, share, most)).withColumnRenamed("mix_size", "size")
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 

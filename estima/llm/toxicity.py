@@ -25,7 +25,7 @@ BITS = 20  # of a feature's hash
 SIZES = (4, 5)
 LABELLED = 6000  # bound of the labelled sample that the model is fitted on, half of it toxic where there are as many
 FEATURES = 2048  # most features with a weight
-PIECE = 1 << 18  # characters of a long text that are turned into features at a time
+PIECE = 1 << 18  # n-grams of a long text that are hashed at a time; features don't depend on it
 GRADES = 4
 
 
@@ -58,10 +58,13 @@ def gram_hashes(cp: np.ndarray, n: int, bits: int) -> np.ndarray:
 
 def features_of(text: str | None, keep: np.ndarray | None = None) -> np.ndarray:
     """Distinct hashed features; of those that keep (a table from hash to number, -1 for none) holds, the numbers."""
+    if not text:
+        return np.empty(0, np.int64)
     found: list[np.ndarray] = []
-    for at in range(0, len(text or ""), PIECE):
-        cp = code_points(text[max(0, at - max(SIZES) + 1) : at + PIECE])
-        for n in SIZES:
+    whole = code_points(text)
+    for n in SIZES:
+        for at in range(0, len(whole) - n + 1, PIECE):
+            cp = whole[at : at + PIECE + n - 1]  # the grams that begin in this piece
             h = gram_hashes(cp, n, BITS)
             blanks = np.concatenate([[0], np.cumsum(cp[1:-1] == 32)])  # no space but at an end: grams stay within a word
             inner = blanks[np.arange(len(h)) + n - 2] - blanks[np.arange(len(h))] if len(h) else h
