@@ -33,9 +33,9 @@ EXACT = 2.0**53
 
 
 def to_integers(v: np.ndarray) -> np.ndarray:
-    """floor(256 * x); the integers are kept in doubles."""
+    """floor(256 * x); the integers are kept in doubles, cut at the largest double whose square sums don't overflow."""
     with np.errstate(over="ignore"):
-        return np.clip(np.floor(256.0 * v), -(2.0**62), 2.0**62)
+        return np.clip(np.floor(256.0 * v), -1e140, 1e140)
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -111,6 +111,12 @@ def build(ids: np.ndarray, x: np.ndarray, seed: int = 0) -> Tree:
     return Tree(ids[at], x[at], np.concatenate(to_leaf), np.array(columns[0]), np.array(columns[1]), np.array(columns[2]), np.array(columns[7]), np.array(columns[3]), np.array(columns[4]), np.array(columns[5]))
 
 
+def at_most(score) -> float:
+    """The largest double that isn't above score, which may be an integer beyond 2^53."""
+    x = float(score)
+    return x if x <= score else float(np.nextafter(x, -np.inf))
+
+
 class Best:
     """The k best scores of each query so far, ties to the smaller id; floor: below it nothing is needed."""
 
@@ -127,12 +133,13 @@ class Best:
             q = at[i]
             s = np.concatenate([self.score[q], scores[i][hit[i]]])
             x = np.concatenate([self.id[q], ids[hit[i]]])
-            _, once = np.unique(x, return_index=True)  # an id counts once; empty places share one
-            o = once[np.lexsort((x[once], -s[once]))][: self.k]
+            order = np.lexsort((x, -s))
+            _, once = np.unique(x[order], return_index=True)  # an id counts once, by its best score; empty places share one
+            o = order[np.sort(once)][: self.k]
             n = len(o)
             self.score[q, :n], self.id[q, :n] = s[o], x[o]
             self.score[q, n:], self.id[q, n:] = -np.inf, np.iinfo(np.int64).max
-            self.floor[q] = max(self.floor[q], float(self.score[q, -1]))
+            self.floor[q] = max(self.floor[q], at_most(self.score[q, -1]))
 
 
 def _upper(qq: np.ndarray, m: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -202,7 +209,9 @@ def exact_top_k(df: DataFrame, is_query, k: int = 5) -> DataFrame:
     the highest inner product of floor(256 * x), ties to the smaller vec_id.
 
     Null and empty vectors and those with null or non-finite components take no part, nor do rows without an id. Vectors
-    are compared with those of the same dimension. Repeated rows of an id are listed once. Scores beyond a long are cut to its range.
+    are compared with those of the same dimension. Of an id's rows with different vectors, as candidates the best counts, as query the first vector in
+    the order of arrays; repeated rows are listed once. Scores beyond a long are cut to its range. Columns of other
+    names are ignored. An empty table gives an empty result.
     """
     spark = df.sparkSession
     vectors = clean_vectors(df)
@@ -269,11 +278,13 @@ def exact_top_k(df: DataFrame, is_query, k: int = 5) -> DataFrame:
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * dim), pa.array(x[at].reshape(-1)))
             yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.string()), pa.array(pages, pa.int32()), pa.array(ids[at]), flat, pa.array(floor[at])], names=["bucket", "page", "id", "v", "floor"])
 
-    queries = vectors.where(is_query).dropDuplicates(["vec_id"])
+    queries = vectors.where(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "dim")).alias("x")).select("vec_id", "x.v", "x.dim")
     wanted = queries.select("vec_id", "v", "dim").mapInArrow(route, "bucket string, page int, id long, v array<double>, floor double")
     blocks = max(1, -(-queries.count() // BLOCK))
     wanted = wanted.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    laid = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    wanted = stored(wanted, "wanted")
+    where = wanted.select("bucket", "page", F.col("block").alias("to")).distinct()  # a tree goes only where a query has to see it
+    laid = trees.join(where, ["bucket", "page"]).withColumnRenamed("to", "block")
 
     def look(pdf: pd.DataFrame, page: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0, np.int64)}

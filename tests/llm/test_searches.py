@@ -104,11 +104,10 @@ def plain_neighbours(rows, every, k):
     return out
 
 
-@pytest.mark.parametrize("hashes", [1, 2])
-def test_neighbours(spark, monkeypatch, hashes):
+def test_neighbours(spark, monkeypatch):
     monkeypatch.setattr(vectors, "PAGE", 50)
     rows = rows_of(seed=4)
-    got = cp.approximate_neighbours(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0, 10, hashes=hashes).collect()
+    got = cp.approximate_neighbours(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0, 10, probes=3).collect()
     want, v = plain_neighbours(rows, 20, 10), clean(rows, False)
     by = {}
     for r in got:
@@ -120,17 +119,46 @@ def test_neighbours(spark, monkeypatch, hashes):
         assert all(r["score"] == pytest.approx(np.linalg.norm(v[r["vec_id"]] - v[q]), rel=1e-12) and r["vec_id"] != q for r in mine)
         assert [(r["score"], r["vec_id"]) for r in mine] == sorted((r["score"], r["vec_id"]) for r in mine)
         hits += len({r["vec_id"] for r in mine} & {i for _, i in best})
-    assert set(by) <= set(want) and hits >= 0.9 * sum(map(len, want.values()))
+    assert set(by) <= set(want) and hits >= 0.8 * sum(map(len, want.values()))  # of so few probes
     # among equal vectors the smallest ids come first
     assert [r["vec_id"] for r in sorted(by[0], key=lambda r: r["rank"])][:5] == [1, 2, 3, 4, 5]
 
 
-def test_one_setting_at_every_size(spark, monkeypatch):
-    monkeypatch.setattr(cp, "ONE_HASH_UP_TO", 10, raising=False)  # where the number of hashes once changed
-    asked, real = [], cp.in_buckets
-    monkeypatch.setattr(cp, "in_buckets", lambda v, tables, hashes, probes: asked.append((hashes, probes)) or real(v, tables, hashes, probes))
-    cp.approximate_neighbours(spark.createDataFrame(rows_of(60, 8, hot=5), SCHEMA), F.col("vec_id") % 20 == 0)
-    assert asked == [(1, 8), (1, 1)]
+@pytest.mark.parametrize("n, d, centers", [(3000, 8, 0), (3000, 64, 0), (3000, 64, 60), (1500, 256, 0), (6000, 100, 200)])
+def test_recall_by_measured_probes(spark, n, d, centers):
+    """Whatever the size, dimension and spread, 0.9 of the nearest are found; where vectors cluster, few others are looked at."""
+    rng = np.random.default_rng(n + d)
+    x = rng.normal(size=(n, d)) * (0.3 if centers else 1) + (rng.normal(size=(centers, d))[rng.integers(0, centers, n)] if centers else 0)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)
+    got = cp.approximate_neighbours(df, F.col("vec_id") % 100 == 0, 10).collect()
+    hits, asked = 0, range(0, n, 100)
+    for q in asked:
+        dist = ((x - x[q]) ** 2).sum(1)
+        dist[q] = np.inf
+        hits += len(set(np.argsort(dist, kind="stable")[:10].tolist()) & {r["vec_id"] for r in got if r["query_id"] == q})
+    assert hits >= 0.9 * 10 * len(asked)
+    if centers:
+        assert cp.probes_needed(x[:2048], 10, cp.TABLES) < d / 2
+
+
+def test_ids_with_different_vectors(spark):
+    """As candidate the best of an id's vectors counts, as query its first; however rows are dealt."""
+    rows = [(0, [1.0, 0.0], 0), (0, [0.5, 0.0], 0), (7, [1.0, 1.0], 0), (7, [9.0, 9.0], 0), (3, [1.0, 2.0], 0), (50, [0.5, 0.1], 0)]
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows, SCHEMA).repartition(parts)
+        near = {(r["query_id"], r["rank"], r["vec_id"]): r["score"] for r in cp.approximate_neighbours(df, F.col("vec_id") == 0, 10).collect()}
+        assert near == {(0, 1, 50): pytest.approx(0.1), (0, 2, 7): pytest.approx(math.hypot(0.5, 1)), (0, 3, 3): pytest.approx(math.hypot(0.5, 2))}
+        top = sorted(map(tuple, mtree.exact_top_k(df, F.col("vec_id") == 0, 5).collect()))
+        assert top == [(0, 1, 7, 128 * 2304), (0, 2, 3, 128 * 256), (0, 3, 50, 128 * 128)]
+
+
+def test_ties_beyond_the_range_of_doubles():
+    ids, x = np.array([7, 3, 5]), np.array([[2.0**54 + 4, 0], [2.0**54 + 4, 0], [2.0**54, 0]])
+    for order in ([0, 1, 2], [1, 0, 2], [2, 0, 1]):
+        found = mtree.Best(np.array([-1]), 1, np.array([-np.inf]))
+        for i in order:
+            found.offer(np.array([0]), mtree.products(np.array([[2.0**54 + 4, 0]]), x[[i]]), ids[[i]])
+        assert found.id[0, 0] == 3
 
 
 @pytest.mark.parametrize("n, d", [(6, 64), (20, 64), (40, 64)])
@@ -157,7 +185,7 @@ def test_pseudo_rotations_keep_lengths_and_angles():
 def test_own_bucket_is_the_nearest_signed_axis():
     v = np.random.default_rng(2).normal(size=(40, 16))
     y = cp.rotated(cp.unit_rows(v), 0, 0)
-    codes = cp.bucket_codes(v, 0, 1, 5)
+    codes = cp.axes(v, 0, 5)
     for r, c in zip(y, codes[:, 0], strict=True):
         assert np.argmax(np.abs(r)) == c % 16 and (r[c % 16] < 0) == (c >= 16)
     assert all(len(set(c)) == 5 for c in codes)
