@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import re
 import tempfile
@@ -57,12 +59,25 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_LEAN: list[bool] = []
+
+
+def lean_worker() -> None:
+    """Let this Python worker give memory back when an array of some MB is freed, rather than keep it for its life: the worker outlives its tasks."""
+    if not _LEAN:
+        _LEAN.append(True)
+        pa.set_memory_pool(pa.system_memory_pool())
+        with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+            ctypes.CDLL(None).mallopt(-3, 2 << 20)  # M_MMAP_THRESHOLD
+
+
 def text_or_empty(df: DataFrame, column: str = "text") -> DataFrame:
     return df.withColumn(column, F.coalesce(F.col(column), F.lit("")))
 
 
 def row_chunks(batches, rows: int = 256, text: str = "text", most_bytes: int = 8 << 20):
     """Arrow batches cut into pieces of few rows and, but for single long texts, few bytes of text."""
+    lean_worker()
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()

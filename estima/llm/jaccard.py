@@ -37,17 +37,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from estima.llm.common import drop_stored, release, row_chunks, stored
+from estima.llm.common import drop_stored, lean_worker, release, row_chunks, stored
 
 BAND = 1.3  # ratio of a band's sizes
-ROUNDS = 2  # of leaving out buckets of one component and nodes that share too little with others; more would leave out a little more
+ROUNDS = 1  # of leaving out buckets of one component and nodes that share too little with others; more would leave out very little more
 SMALL = 6  # most nodes of a bucket that are compared pair by pair at once
 MEDIUM = 64  # most nodes of a bucket of which pairs of different components are compared by sketches; pairs in larger ones by differences to the pivot
 MOST_BITS = 26  # of the bitmap that spares most sets that nothing asks for a shuffle: 2^26 bits, 8 MB as it is sent
-PART = 1 << 19  # signatures, about, that are brought together at a time
+PART = 1 << 15  # signatures, about, that are brought together at a time; so few that what a signature costs is the same at every size
 TASK = 1 << 22  # signatures, about, of a task
 HELD = 1 << 23  # most signatures that are held at a time, but for a part's that are in small buckets
-BLOB = 512  # signatures of a blob
+BLOB = 128  # signatures of a blob: Spark sends 10,000 blobs at a time to Python
 BROADCAST_ROWS = 100_000  # a table of two longs a row with at most so many rows is broadcast
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -288,8 +288,8 @@ def _distinct_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[di
             yield once
 
 
-def _sets(docs: DataFrame, width: int, bitmap) -> DataFrame:
-    """node, items of the sets whose nodes the broadcast bitmap doesn't rule out."""
+def _sets(docs: DataFrame, width: int, percent: int, bitmap) -> DataFrame:
+    """node, items, size and sketch of the sets whose nodes the broadcast bitmap doesn't rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for once in _distinct_sets(batches, width):
@@ -298,9 +298,11 @@ def _sets(docs: DataFrame, width: int, bitmap) -> DataFrame:
             if len(keys):
                 sets = [once[n] for n in keys.tolist()]
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], names=["node", "items"])
+                items = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
+                sketches = pa.array([sketch_of(s, percent) for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(keys), items, pa.array(np.diff(offsets)), sketches], names=["node", "items", "size", "sketch"])
 
-    return docs.select("text").mapInArrow(run, "node long, items array<long>")
+    return docs.select("text").mapInArrow(run, "node long, items array<long>, size int, sketch binary")
 
 
 _ENTRY = np.dtype([("key", "<u4"), ("need", "u1"), ("node", "<i8")])  # 13 bytes
@@ -339,7 +341,7 @@ def _blobs(docs: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
                 needs.append(need)
                 nodes.append(n)
                 held += len(signs[-1])
-            if held > max(1 << 20, min(HELD, 64 * parts)):
+            if held > max(1 << 19, min(HELD, 16 * parts)):
                 yield from packed(signs, needs, nodes)
                 signs, needs, nodes, held = [], [], [], 0
         if held:
@@ -399,7 +401,7 @@ def _met(docs: DataFrame, width: int, percent: int, total: int) -> DataFrame:
     """Who shares signatures: pair true: nodes a < b that share n signatures in small buckets of one part, while a link
     shares at least need; false: node b in the large bucket a, with about n fellows. total: the number of signatures."""
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK))
-    parts = max(4 * tasks, -(-total // PART))
+    parts = max(8 * tasks, -(-total // PART))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(found) -> Iterator[pa.RecordBatch]:
@@ -408,6 +410,7 @@ def _met(docs: DataFrame, width: int, percent: int, total: int) -> DataFrame:
                     some = [c[k : k + (1 << 16)].astype(np.int64) for c in columns]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some[0]), pair)), *map(pa.array, some)], names=["pair", "a", "b", "n", "need"])
 
+        lean_worker()
         now = None
         for batch in batches:
             for part, entries in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -561,34 +564,38 @@ def _still_open(large: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _by_sketches(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in buckets of few nodes, without those whose sketches tell that they differ too much.
-
-    A sketch cuts a set's domain into cells and has a byte for each, of all the shingles in it; sets that differ in d shingles differ in d cells at most.
-    Bytes of neighbouring cells fold into one by exclusive or, so sketches of different lengths can be compared.
-    """
+    """Pairs (a, b) of different components in buckets of few nodes, without those whose sketches tell that they differ too much."""
     x, y = rows.select("bucket", "node", "label").alias("x"), rows.select("bucket", "node", "label").alias("y")
     met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")))
     met = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.asarray(x).view(np.uint64) for x in batch.column(1).to_numpy(zero_copy_only=False)]
-            out = pa.array([sketch_of(s, percent) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), out], names=["node", "size", "sketch"])
+    return _near(met, sets, percent)
+
+
+def _sets_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets that stored pairs (a, b) ask for."""
+    asked = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "asked")
+    return sets.join(_checked(asked), "node", "left_semi")
 
-    wanted = rows.select("node").distinct()
-    sketches = stored(sets.join(wanted, "node", "left_semi").select("node", "items").mapInArrow(sketch, "node long, size long, sketch binary"), "sketches")
+
+def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that sizes and sketches don't rule out.
+
+    A sketch cuts a set's domain into cells and has a byte for each, of all the shingles in it; sets that differ in d shingles differ in d cells at most.
+    Bytes of neighbouring cells fold into one by exclusive or, so sketches of different lengths can be compared.
+    """
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         for batch in batches:
-            sizes = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+            sizes = batch.column(2).to_numpy().astype(np.int64) + batch.column(4).to_numpy()
             differ = np.array([cells_apart(x, y) for x, y in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array((100 + percent) * differ <= (100 - percent) * sizes))
 
     for k in ("a", "b"):
-        met = met.join(sketches.select(F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}")), k)
+        pairs = pairs.join(sets.select(F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}")), k)
     fits = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
-    return met.where(fits).select("a", "b", "size_a", "sketch_a", "size_b", "sketch_b").mapInArrow(near, "a long, b long")
+    return pairs.where(fits).select("a", "b", "size_a", "sketch_a", "size_b", "sketch_b").mapInArrow(near, "a long, b long")
 
 
 def sketch_of(s: np.ndarray, percent: int) -> bytes:
@@ -616,7 +623,8 @@ def _by_differences(rows: DataFrame, pivots: DataFrame, labels: DataFrame, sets:
     for x in ("a", "b"):  # the pivot may have been left out of rows
         told = told.join(_checked(labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))), x, "left").withColumn(f"label_{x}", F.coalesce(f"label_{x}", x))
     told = told.select("a", "b", F.col("label_b").alias("label"), (F.col("label_a") == F.col("label_b")).alias("inside"))
-    return _others(stored(compared(told, sets, percent, differences=True), "differing"), percent)
+    told = stored(told, "told")
+    return _others(stored(compared(told, _sets_of(told, sets), percent, differences=True), "differing"), percent)
 
 
 def node_components(docs: DataFrame, own: DataFrame, width: int, percent: int) -> DataFrame:
@@ -626,23 +634,21 @@ def node_components(docs: DataFrame, own: DataFrame, width: int, percent: int) -
     large, pivots = _large(met)
     stars = stored(_star_rows(large, pivots), "stars")
     # linked nodes that meet in a large bucket are found by way of its pivot; others have all that they share in small ones, where it must be enough
-    sizes = own.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("size"))
-    pairs = met.where("pair").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b")
-    for x in ("a", "b"):
-        pairs = pairs.join(sizes.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}")), x)
-    pairs = pairs.where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
+    pairs = met.where("pair").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need")
     pairs = stored(pairs.select("a", "b"), "pairs")
     drop_stored(met)
     both = stars.union(pairs)
     wanted = stored(both.select(F.col("a").alias("node")).union(both.select("b")).distinct(), "wanted")
-    sets = stored(_sets(docs, width, _bitmap(wanted)).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = stored(_sets(docs, width, percent, _bitmap(wanted)).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
     drop_stored(wanted)
     release(docs.sparkSession)
 
-    first = stored(compared(both, sets, percent).where("linked"), "first")
+    near = stored(_near(both, sets, percent), "near")
     drop_stored(stars, pairs)
+    first = stored(compared(near, _sets_of(near, sets), percent).where("linked"), "first")
     labels = components(first.select("a", "b"))
-    drop_stored(first)
+    drop_stored(near, first)
+    release(docs.sparkSession)
     # large buckets that hold more than one component still
     rows = _still_open(large, labels)
     drop_stored(large)
@@ -654,15 +660,14 @@ def node_components(docs: DataFrame, own: DataFrame, width: int, percent: int) -
     drop_stored(rows, pivots)
     release(docs.sparkSession)
     label = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
-    few = stored(rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct(), "few")
-    tested = compared(rest, sets.join(_checked(few), "node", "left_semi"), percent).where("linked").join(_checked(label("a")), "a", "left").join(_checked(label("b")), "b", "left")
+    tested = compared(rest, _sets_of(rest, sets), percent).where("linked").join(_checked(label("a")), "a", "left").join(_checked(label("b")), "b", "left")
     tested = stored(tested.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")), "tested")
     drop_stored(rest, sets)
     over = components(tested, "over")
     every = labels.union(over.select("node", F.col("node").alias("label"))).distinct()
     found = every.join(_checked(over.select(F.col("node").alias("label"), F.col("label").alias("further"))), "label", "left")
     found = stored(found.select("node", F.coalesce("further", "label").alias("label")), "labels")
-    drop_stored(tested, few, over, labels)
+    drop_stored(tested, over, labels)
     return found
 
 
