@@ -17,8 +17,8 @@ A set meets larger ones of the next band under that band's K, if its size allows
 Equal sets are one node. Signatures travel once, 13 bytes each (half of the signature's hash, the other half tells where it goes, the
 node, and how many signatures a link of it shares at least), in blobs. Nodes with a signature in common are compared exactly: in a small bucket all pairs that share enough signatures; in a larger
 one each member with the bucket's pivot, the member that shares most. Then, in those large buckets that still hold members of different
-components, the pairs of different components: in buckets of some dozens those that sketches don't rule out; in larger ones those whose differences to the
-pivot have enough in common for a link. So no link is lost between
+components, the pairs of different components: in buckets of some thousands those that sketches don't rule out; in larger ones those whose differences to
+the pivot have enough in common for a link. So no link is lost between
 components, and no bucket is turned into all its pairs.
 """
 
@@ -31,6 +31,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -42,7 +43,10 @@ from estima.llm.common import drop_stored, lean_worker, release, row_chunks, sto
 BAND = 1.3  # ratio of a band's sizes
 ROUNDS = 1  # of leaving out buckets of one component and nodes that share too little with others; more would leave out very little more
 SMALL = 6  # most nodes of a bucket that are compared pair by pair at once
+SPARE = 5  # quarters: partitions of the first level for each four that are needed
 MEDIUM = 64  # most nodes of a bucket of which pairs of different components are compared by sketches; pairs in larger ones by differences to the pivot
+MANY = 8192  # most members of a pivot that are compared by sketches, block by block, so that a member goes to 16 blocks at most
+PAGE = 512  # members of half a block, about
 MOST_BITS = 26  # of the bitmap that spares most sets that nothing asks for a shuffle: 2^26 bits, 8 MB as it is sent
 PART = 1 << 15  # signatures, about, that are brought together at a time; so few that what a signature costs is the same at every size
 TASK = 1 << 22  # signatures, about, of a task
@@ -178,7 +182,8 @@ def band_of(size: int, percent: int) -> int:
 
 @functools.cache
 def scheme(band: int, percent: int) -> tuple[int, int, int]:
-    """K, number of partitions (of the first level, if K is 4 or more) and least shingles of a signature."""
+    """K, number of partitions (of the first level, if K is 4 or more) and least shingles of a signature. Partitions beyond those that are needed
+    raise the number of signatures that a link shares at least, which rules out more."""
     edges = band_edges(percent)
     top = edges[band + 1] - 1
     k = (100 - percent) * 2 * top // (100 + percent)
@@ -192,8 +197,8 @@ def scheme(band: int, percent: int) -> tuple[int, int, int]:
             mean = 2 * low / (3 * n)
             few = min(1.0, 3 * sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(least)))
             if 2 * (n * (1 - few) - 3 * math.sqrt(n * few * (1 - few))) > k:  # as good as all sets have more than K / 2 telling partitions
-                return k, n, least
-    return k, k // 2 + 2 + k // 10, 1
+                return k, n * SPARE // 4, least
+    return k, (k // 2 + 2 + k // 10) * SPARE // 4, 1
 
 
 @functools.cache
@@ -456,27 +461,26 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool
 
 
 def _others(stars: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of a pivot, of different components, that can be linked. stars: compared() with differences, and label (b's component)
-    and inside (it is the pivot's).
+    """Pairs of members of a pivot, of different components, at least one not linked with it, that can be linked. stars: compared() with
+    differences, and label (b's component).
 
     Let D(x) be the difference of x to the pivot p and c = (1 - g) / (1 + g); two sets are linked if they differ in at most c times the
-    sum of their sizes. x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)|. One of the two, x, isn't in p's component, so it isn't linked with p and
-    |D(x)| > c (|x| + |p|); then a link of x and y needs |D(x) & D(y)| > (|D(y)| + c (|p| - |y|)) / 2; by the triangle inequality it also needs
+    sum of their sizes. x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)|. One of the two, x, isn't linked with p, so |D(x)| > c (|x| + |p|); then a link of x and y needs |D(x) & D(y)| > (|D(y)| + c (|p| - |y|)) / 2; by the triangle inequality it also needs
     |D(x) & D(y)| >= |D(x)| - c |x| (1 + 1 / g). In any common order of shingles, sets with so much in common have one in common among the first
     |D| - overlap + 1 of each (prefix filter), and at their first common place enough is left of both (positional filter).
     Shingles come in the order of how many of the pivot's members have them in their difference, the rarest first, so unrelated edits
     don't meet in what many members have lost or gained alike.
     """
-    items = stars.select("a", "b", "linked", "label", "inside", "size", "differ", "half", "long", F.explode("difference").alias("item"))
+    items = stars.select("a", "b", "linked", "label", "size", "differ", "half", "long", F.explode("difference").alias("item"))
     often = items.groupBy("a", "item").agg(F.count("*").alias("often"))
     placed = items.join(often, ["a", "item"]).withColumn("at", F.row_number().over(Window.partitionBy("a", "b").orderBy("often", "item")) - 1)
     placed = stored(placed.where((F.col("at") < F.col("long")) & (F.col("often") > 1)).drop("often"), "placed")  # what one member has alone meets nothing
-    one = placed.where(~F.col("inside")).alias("x")
+    one = placed.where(~F.col("linked")).alias("x")
     two = placed.where(F.col("at") < F.col("half")).alias("y")
     left = F.least(F.col("x.differ") - F.col("x.at"), F.col("y.differ") - F.col("y.at"))
     enough = (100 + percent) * (F.col("x.differ") + F.col("y.differ") - 2 * left) <= (100 - percent) * (F.col("x.size") + F.col("y.size"))
     fits = 100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size")
-    once = (F.col("x.label") != F.col("y.label")) & (F.col("y.inside") | (F.col("x.b") < F.col("y.b"))) & (F.col("y.linked") | (F.col("x.at") < F.col("x.half")))
+    once = (F.col("x.label") != F.col("y.label")) & (F.col("y.linked") | ((F.col("x.b") < F.col("y.b")) & (F.col("x.at") < F.col("x.half"))))
     met = one.join(two, (F.col("x.a") == F.col("y.a")) & (F.col("x.item") == F.col("y.item")) & once & enough & fits)
     return met.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
 
@@ -546,8 +550,9 @@ def _large(met: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _star_rows(large: DataFrame, pivots: DataFrame) -> DataFrame:
+    """a, b, n: each member b of large buckets with the pivot a, and how many buckets they have in common."""
     rows = large.select("bucket", "node").join(_checked(pivots), "bucket").where("node <> pivot")
-    return rows.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    return rows.groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n"))
 
 
 def _still_open(large: DataFrame, labels: DataFrame) -> DataFrame:
@@ -563,13 +568,17 @@ def _still_open(large: DataFrame, labels: DataFrame) -> DataFrame:
     return rows
 
 
-def _by_sketches(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in buckets of few nodes, without those whose sketches tell that they differ too much."""
-    x, y = rows.select("bucket", "node", "label").alias("x"), rows.select("bucket", "node", "label").alias("y")
+def _by_sketches(counted: DataFrame, small: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in buckets of few nodes, without those that share fewer signatures than a link needs or whose sketches
+    tell that they differ too much. counted: rows with k, the nodes of the bucket; small: a, b, n, the signatures that pairs share in small buckets."""
+    own = counted.withColumn("wide", F.sum((F.col("k") > MEDIUM).cast("int")).over(Window.partitionBy("node"))).where(F.col("k") <= MEDIUM)
+    own = own.select("bucket", "node", "label", "need", "wide")
+    x, y = own.alias("x"), own.alias("y")
     met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")))
-    met = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-
-    return _near(met, sets, percent)
+    # in buckets of many nodes they share as many as either has at most
+    met = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("n"), F.max(F.greatest("x.need", "y.need")).alias("need"), F.max(F.least("x.wide", "y.wide")).alias("wide"))
+    met = met.join(small.withColumnRenamed("n", "more"), ["a", "b"], "left").where(F.col("n") + F.coalesce("more", F.lit(0)) + F.col("wide") >= F.col("need"))
+    return _near(met.select("a", "b"), sets, percent)
 
 
 def _sets_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -615,16 +624,50 @@ def cells_apart(x: bytes, y: bytes) -> int:
     return int(np.count_nonzero(a != b))
 
 
-def _by_differences(rows: DataFrame, pivots: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in buckets of many nodes, by their differences to the bucket's pivot."""
+def _by_differences(rows: DataFrame, nearest: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs (a, b) of different components in buckets of many nodes, and the links of the buckets' pivots. nearest:
+    a, b: the pivot that b was compared with first. A bucket's pivot is here the one that most of its members were, so a node has few. Members of
+    a pivot of some thousands are compared by sketches, block by block; those of a larger one by their differences to it."""
     if not rows.limit(1).count():
-        return rows.select(F.col("node").alias("a"), F.col("node").alias("b"))
-    told = _star_rows(rows, pivots)
-    for x in ("a", "b"):  # the pivot may have been left out of rows
-        told = told.join(_checked(labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))), x, "left").withColumn(f"label_{x}", F.coalesce(f"label_{x}", x))
-    told = told.select("a", "b", F.col("label_b").alias("label"), (F.col("label_a") == F.col("label_b")).alias("inside"))
-    told = stored(told, "told")
-    return _others(stored(compared(told, _sets_of(told, sets), percent, differences=True), "differing"), percent)
+        return rows.select(F.col("node").alias("a"), F.col("node").alias("b")), None
+    votes = rows.join(nearest.select(F.col("b").alias("node"), "a"), "node", "left").groupBy("bucket", F.coalesce("a", "node").alias("a")).agg(F.count("*").alias("n"))
+    pivots = stored(votes.groupBy("bucket").agg(F.max(F.struct("n", "a")).alias("top")).select("bucket", F.col("top.a").alias("a")), "pivots")
+    told = stored(rows.select("bucket", F.col("node").alias("b"), "label").join(_checked(pivots), "bucket").where("a <> b").select("a", "b", "label").distinct(), "told")
+    drop_stored(pivots)
+    sized = told.join(told.groupBy("a").agg(F.count("*").alias("m")), "a")
+    blocks = _in_blocks(sized.where(F.col("m") <= MANY), sets, percent)
+    # a pivot itself is one of the nodes that are to be compared with its members
+    own_links = stored(compared(near_pivots := stored(_near(told.select("a", "b"), sets, percent), "near"), _sets_of(near_pivots, sets), percent).where("linked").select("a", "b"), "own")
+    drop_stored(near_pivots)
+    wide = stored(sized.where(F.col("m") > MANY).select("a", "b", "label"), "wide")
+    if not wide.limit(1).count():
+        return blocks, own_links
+    differing = stored(compared(wide, _sets_of(wide, sets), percent, differences=True), "differing")
+    return blocks.union(_others(differing, percent)), own_links
+
+
+def _in_blocks(told: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one pivot, of different components, that sizes and sketches don't rule out. told: a (the pivot), b, label, m (its
+    members). Members are dealt to pages of about PAGE, and each two pages of a pivot meet in a group of their own."""
+    own = told.join(sets.select(F.col("node").alias("b"), "size", "sketch"), "b").withColumn("pages", F.ceil(F.col("m") / PAGE).cast("int"))
+    own = own.withColumn("page", F.pmod(F.xxhash64("b"), F.col("pages")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)))
+    own = own.select("a", F.least("page", "other").alias("i"), F.greatest("page", "other").alias("j"), "page", "b", "label", "size", "sketch")
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        lean_worker()
+        i, j, page = (pdf[x].to_numpy() for x in ("i", "j", "page"))
+        node, label, size = (pdf[x].to_numpy(np.int64) for x in ("b", "label", "size"))
+        sketches, a, b = pdf["sketch"].tolist(), [], []
+        for at in np.flatnonzero(page == i):
+            fits = (label != label[at]) & (100 * np.minimum(size, size[at]) >= percent * np.maximum(size, size[at]))
+            fits &= (page == j) if i[0] != j[0] else node > node[at]
+            for k in np.flatnonzero(fits).tolist():
+                if (100 + percent) * cells_apart(sketches[at], sketches[k]) <= (100 - percent) * (size[at] + size[k]):
+                    a.append(min(node[at], node[k]))
+                    b.append(max(node[at], node[k]))
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return own.groupBy("a", "i", "j").applyInPandas(near, "a long, b long")
 
 
 def node_components(docs: DataFrame, own: DataFrame, width: int, percent: int) -> DataFrame:
@@ -632,10 +675,13 @@ def node_components(docs: DataFrame, own: DataFrame, width: int, percent: int) -
     met = stored(_met(docs, width, percent, own.agg(F.sum("signs")).first()[0] or 0), "met")
     release(docs.sparkSession)
     large, pivots = _large(met)
-    stars = stored(_star_rows(large, pivots), "stars")
-    # linked nodes that meet in a large bucket are found by way of its pivot; others have all that they share in small ones, where it must be enough
-    pairs = met.where("pair").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need")
-    pairs = stored(pairs.select("a", "b"), "pairs")
+    # a node is first compared with the pivot that it shares most with; links that this leaves are between different components and found below
+    most = F.row_number().over(Window.partitionBy("b").orderBy(F.col("n").desc(), "a"))
+    stars = stored(_star_rows(large, pivots).withColumn("at", most).where("at = 1").select("a", "b"), "stars")
+    # linked nodes that meet in no large bucket have all that they share in small ones, where it must be enough
+    small = stored(met.where("pair").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")), "small")
+    pairs = small.where("n >= need").select("a", "b")
+    small = small.select("a", "b", "n")
     drop_stored(met)
     both = stars.union(pairs)
     wanted = stored(both.select(F.col("a").alias("node")).union(both.select("b")).distinct(), "wanted")
@@ -644,7 +690,6 @@ def node_components(docs: DataFrame, own: DataFrame, width: int, percent: int) -
     release(docs.sparkSession)
 
     near = stored(_near(both, sets, percent), "near")
-    drop_stored(stars, pairs)
     first = stored(compared(near, _sets_of(near, sets), percent).where("linked"), "first")
     labels = components(first.select("a", "b"))
     drop_stored(near, first)
@@ -653,14 +698,16 @@ def node_components(docs: DataFrame, own: DataFrame, width: int, percent: int) -
     rows = _still_open(large, labels)
     drop_stored(large)
     if not rows.limit(1).count():
-        drop_stored(rows, pivots, sets)
+        drop_stored(rows, pivots, small, stars, sets)
         return labels
     counted = rows.join(rows.groupBy("bucket").agg(F.count("*").alias("k")), "bucket")
-    rest = stored(_by_sketches(counted.where(F.col("k") <= MEDIUM), sets, percent).union(_by_differences(counted.where(F.col("k") > MEDIUM), pivots, labels, sets, percent)).distinct(), "rest")
-    drop_stored(rows, pivots)
+    others, own_links = _by_differences(counted.where(F.col("k") > MEDIUM), stars, labels, sets, percent)
+    rest = stored(_by_sketches(counted, small, sets, percent).union(others).distinct(), "rest")
+    drop_stored(rows, pivots, small, stars)
     release(docs.sparkSession)
     label = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
-    tested = compared(rest, _sets_of(rest, sets), percent).where("linked").join(_checked(label("a")), "a", "left").join(_checked(label("b")), "b", "left")
+    tested = compared(rest, _sets_of(rest, sets), percent).where("linked").select("a", "b")
+    tested = (tested if own_links is None else tested.union(own_links)).join(_checked(label("a")), "a", "left").join(_checked(label("b")), "b", "left")
     tested = stored(tested.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")), "tested")
     drop_stored(rest, sets)
     over = components(tested, "over")

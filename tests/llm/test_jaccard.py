@@ -137,8 +137,8 @@ def test_components_of_a_path(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
-@pytest.mark.parametrize("medium", [0, 8, 10**6])
-def test_small_caps_on_broadcast_and_bitmap_change_nothing(spark, monkeypatch, medium):
+@pytest.mark.parametrize("medium, many", [(0, 0), (0, 10**6), (8, 30), (10**6, 0)])
+def test_small_caps_on_broadcast_and_bitmap_change_nothing(spark, monkeypatch, medium, many):
     rows = corpus(7)
     monkeypatch.setattr(jc, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(jc, "MOST_BITS", 16)
@@ -147,5 +147,7 @@ def test_small_caps_on_broadcast_and_bitmap_change_nothing(spark, monkeypatch, m
     monkeypatch.setattr(jc, "BLOB", 3)
     monkeypatch.setattr(jc, "PART", 50)
     monkeypatch.setattr(jc, "MEDIUM", medium)
+    monkeypatch.setattr(jc, "MANY", many)
+    monkeypatch.setattr(jc, "PAGE", 7)
     got = jc.join_components(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, got.collect())) == plain_components(rows, 3, 90)
