@@ -44,7 +44,7 @@ BAND = 1.3  # ratio of a band's sizes
 ROUNDS = 1  # of leaving out buckets of one component and nodes that share too little with others; more would leave out very little more
 SMALL = 6  # most nodes of a bucket that are compared pair by pair at once
 SPARE = 5  # quarters: partitions of the first level for each four that are needed
-MEDIUM = 64  # most nodes of a bucket of which pairs of different components are compared by sketches; pairs in larger ones by differences to the pivot
+MEDIUM = 24  # most nodes of a bucket of which pairs of different components are compared by sketches; pairs in larger ones by differences to the pivot
 MANY = 8192  # most members of a pivot that are compared by sketches, block by block, so that a member goes to 16 blocks at most
 PAGE = 512  # members of half a block, about
 MOST_BITS = 26  # of the bitmap that spares most sets that nothing asks for a shuffle: 2^26 bits, 8 MB as it is sent
