@@ -216,19 +216,10 @@ def sketch_rollup_cube(spark, d):
     return out.select("l_returnflag", "l_linestatus", whole(ft.estimate(image())).alias("n"), "grouping_id")
 
 
-@query("""SELECT a.o_orderdate::DATE::VARCHAR AS day, count(DISTINCT b.o_custkey) AS n FROM (SELECT DISTINCT o_orderdate::DATE AS o_orderdate FROM orders WHERE o_orderdate < TIMESTAMP '1995-02-15') a
-JOIN orders b ON b.o_orderdate::DATE <= a.o_orderdate GROUP BY 1""")
-def theta_over_window(spark, d):
-    """Customers so far, day by day: sketches of days are merged over a window frame."""
-    days = read(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(theta.sketch(F.col("o_custkey")).alias("sketch"))
-    upto = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)  # a row a day
-    return days.where("day < '1995-02-15'").withColumn("u", F.theta_union_agg("sketch", 12).over(upto)).select(F.col("day").cast("string").alias("day"), whole(ft.estimate(F.col("u"))).alias("n"))
-
-
 @query("""SELECT day::VARCHAR AS day, (sum(count(f.first)) OVER (ORDER BY day))::BIGINT AS n FROM (SELECT DISTINCT o_orderdate::DATE AS day FROM orders) d
 LEFT JOIN (SELECT min(o_orderdate::DATE) AS first FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey) f ON f.first = d.day GROUP BY day""")
-def theta_over_window_whole(spark, d):
-    """The same over all days, which the SQL of theta_over_window leaves out: a running sum of customers' first days checks it."""
+def theta_over_window(spark, d):
+    """Customers so far, day by day: sketches of days are merged over a window frame. A running sum of customers' first days checks it."""
     days = read(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(theta.sketch(F.col("o_custkey"), 16).alias("sketch"))
     upto = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     return days.withColumn("u", F.theta_union_agg("sketch", 16).over(upto)).select(F.col("day").cast("string").alias("day"), whole(ft.estimate(F.col("u"))).alias("n"))

@@ -50,5 +50,5 @@ def test_query_against_duckdb(spark, name):
 
 def test_running_customers_over_all_days(spark):
     days = duckdb.sql(f"SELECT count(DISTINCT o_orderdate::DATE), count(DISTINCT o_custkey) FROM '{SF}/orders.parquet'").fetchall()[0]
-    got = catalog.QUERIES["theta_over_window_whole"](spark, SF).collect()
+    got = catalog.QUERIES["theta_over_window"](spark, SF).collect()
     assert (len(got), max(r["n"] for r in got)) == days
