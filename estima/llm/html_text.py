@@ -2,7 +2,7 @@
 
 A tokenizer and a tree builder (void elements, raw text, implied end tags and table parts, stray end tags) make a tree.
 Visibility rules leave out what a browser doesn't show: head, scripts, templates, hidden elements, closed details, and
-what inline styles or simple rules of <style> hide. The rest is laid out: a line for each block, a blank line around paragraphs,
+what inline styles or the rules of <style> hide (css.py). The rest is laid out: a line for each block, a blank line around paragraphs,
 headings, lists and tables, list markers with indents, preformatted text as it is, table cells in aligned columns.
 No step recurses, so the depth of a page doesn't matter.
 """
@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from estima.llm import css
 from estima.llm.common import row_chunks
 
 # HTML's element categories.
@@ -63,16 +64,13 @@ SCOPE = frozenset("table td th caption html template".split())
 
 WIDEST = 80  # of a column that is padded; a wider cell stands as it is
 DEEPEST = 24  # levels that are indented
-MOST_SPAN = 1000
+# The most columns and rows that a cell may cover.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
 _TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|(!--)|([!?/]))")
 _ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _COMMENT_END = re.compile(r"--!?>")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_RULE = re.compile(r"(?<![^{}])([^{}]++)\{([^{}]*+)\}")
-_SELECTOR = re.compile(r"([a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)\Z")
-_DISPLAY = re.compile(r"display\s*:\s*([\w-]+)", re.I)
-_VISIBILITY = re.compile(r"visibility\s*:\s*([\w-]+)", re.I)
 
 
 class Node:
@@ -141,7 +139,7 @@ def _tokens(source: str) -> Iterator[tuple[str, str, dict[str, str]]]:
                 stop = None if name == "plaintext" else re.compile(rf"</{name}(?=[\s/>])", re.I).search(source, at)
                 raw = source[at : stop.start() if stop else n]
                 if name == "style":
-                    yield "style", raw, {}
+                    yield "style", raw, attributes
                 elif name in ESCAPABLE_RAW:
                     yield "text", raw, {}
                 elif name in ("xmp", "plaintext"):
@@ -151,12 +149,12 @@ def _tokens(source: str) -> Iterator[tuple[str, str, dict[str, str]]]:
                 yield "end", name, {}
 
 
-def build_tree(source: str) -> tuple[Node, list[tuple[str, str]]]:
-    """The tree, and (selector, declarations) of its style elements."""
+def build_tree(source: str) -> tuple[Node, list[str]]:
+    """The tree, and the style sheets in it that are for a screen."""
     root = Node("html")
     open_ = [root]
     counts: dict[str, int] = {}  # of open elements by tag, so that most searches of the stack are spared
-    styles: list[tuple[str, str]] = []
+    styles: list[str] = []
 
     def push(tag: str, attributes: dict[str, str] | None = None) -> None:
         node = Node(tag, attributes, open_[-1].language_inside())
@@ -183,9 +181,11 @@ def build_tree(source: str) -> tuple[Node, list[tuple[str, str]]]:
                 pop_to(len(open_) - 1)
             open_[-1].children.append(text)
         elif kind == "style":
-            styles += _RULE.findall(value)
+            if attributes.get("type", "text/css").strip().lower() in ("", "text/css") and css.holds_on_screen(attributes.get("media", "")):
+                styles.append(value)
         elif kind == "start":
             if value == "html":
+                root.attributes = attributes | root.attributes
                 continue
             if value in BREAKS_OUT and open_[-1].language_inside():
                 while open_[-1].language_inside():
@@ -237,37 +237,25 @@ def build_tree(source: str) -> tuple[Node, list[tuple[str, str]]]:
 
 
 class Styles:
-    """Display and visibility from hidden attributes, inline styles and rules with one simple selector."""
-
-    def __init__(self, rules: list[tuple[str, str]]):
-        self.rules: dict[str, list[tuple[str, frozenset[str], str]]] = {}
-        for selectors, body in rules:
-            if _DISPLAY.search(body) or _VISIBILITY.search(body):
-                for s in selectors.split(","):
-                    m = _SELECTOR.match(s.strip())
-                    if m and m[0]:
-                        marks = frozenset(re.findall(r"[.#][\w-]+", m[2]))
-                        key = min(marks) if marks else (m[1] or "").lower()
-                        self.rules.setdefault(key, []).append(((m[1] or "").lower(), marks, body))
+    """Display and visibility from hidden attributes, inline styles and the page's rules, as the cascade has them."""
+
+    def __init__(self, root: Node, sheets: list[str]):
+        rules = css.Rules(sheets)
+        self.said = rules.of_tree(root) if rules.said else {}
 
     def of(self, node: Node) -> tuple[bool, bool | None]:
         """Whether the element is displayed; whether its own text is visible, None if inherited."""
         a = node.attributes
-        shown = not (node.never_shown() or "hidden" in a or node.tag == "dialog" and "open" not in a or node.tag == "input" and a.get("type", "").lower() == "hidden")
-        visible: bool | None = None
-        bodies = []
-        if self.rules:
-            marks = {f".{c}" for c in a.get("class", "").split()} | ({f"#{a['id']}"} if "id" in a else set())
-            for key in (node.tag, *sorted(marks)):
-                bodies += [b for tag, want, b in self.rules.get(key, ()) if (not tag or tag == node.tag) and want <= marks]
-        if "style" in a:
-            bodies.append(a["style"])
-        for body in bodies:
-            if m := _DISPLAY.search(body):
-                shown = m[1].lower() != "none" and not node.never_shown()
-            if m := _VISIBILITY.search(body):
-                visible = m[1].lower() not in ("hidden", "collapse")
-        return shown, visible
+        if node.never_shown() or node.tag == "input" and a.get("type", "").lower() == "hidden":
+            return False, None
+        shown = not ("hidden" in a or node.tag == "dialog" and "open" not in a)
+        said = self.said.get(id(node), [])
+        if not said and "style" not in a:
+            return shown, None
+        won = css.decided(said, html.unescape(a.get("style", "")))
+        if won.get("display", "revert") not in ("revert", "revert-layer"):
+            shown = won["display"] != "none"
+        return shown, css.VISIBILITIES[won["visibility"]] if "visibility" in won else None
 
 
 def width_of(text: str) -> int:
@@ -355,11 +343,15 @@ def _number(text: str | None, otherwise: int) -> int:
     return int(m[1]) if m else otherwise
 
 
-def lay_out_table(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
-    """Rows of cells (lines, colspan, rowspan) as lines with aligned columns, two spaces apart."""
+def lay_out_table(rows: list[list[tuple[list[str], int, int]] | None]) -> list[str]:
+    """Rows of cells (lines, colspan, rowspan) as lines with aligned columns, two spaces apart. None: a group of rows begins, where no cell
+    reaches into from above."""
     placed: list[list[tuple[int, int, list[str]]]] = []  # (column, span, lines)
     taken: dict[int, int] = {}  # column -> rows below that a cell above still covers
     for row in rows:
+        if row is None:
+            taken = {}
+            continue
         out, column, below = [], 0, {}
         for lines, span, down in row:
             while taken.get(column, 0) > 0:
@@ -398,8 +390,8 @@ def render(source: str | None) -> str:
     """The page's visible text, laid out; null and empty pages give an empty text."""
     if not source:
         return ""
-    root, rules = build_tree(source.replace("\0", ""))
-    styles = Styles(rules)
+    root, sheets = build_tree(source.replace("\0", ""))
+    styles = Styles(root, sheets)
     flows = [Flow()]
     lists: list[list] = []  # [ordered, next number]
     tables: list[list] = []  # rows of the tables that are open
@@ -459,10 +451,12 @@ def render(source: str | None) -> str:
             elif tag == "table":
                 tables.append([])
                 flows.append(Flow())  # text between the cells
+            elif tag in ("tbody", "thead", "tfoot") and tables:
+                tables[-1].append(None)
             elif tag == "tr" and tables:
                 tables[-1].append([])
             elif tag in ("td", "th") and tables:
-                if not tables[-1]:
+                if not tables[-1] or tables[-1][-1] is None:
                     tables[-1].append([])
                 flows.append(Flow())
                 state = lists
@@ -485,7 +479,8 @@ def render(source: str | None) -> str:
                 flows[-1].add([(mark if i == 0 else rest if x else "") + x for i, x in enumerate(lines)])
         elif tag in ("td", "th") and tables:
             lists = kept
-            tables[-1][-1].append((flows.pop().done(), min(max(1, _number(a.get("colspan"), 1)), MOST_SPAN), min(max(1, _number(a.get("rowspan"), 1)), MOST_SPAN)))
+            down = _number(a.get("rowspan"), 1)  # 0: to the end of its group
+            tables[-1][-1].append((flows.pop().done(), min(max(1, _number(a.get("colspan"), 1)), MOST_COLUMNS), MOST_ROWS if down == 0 else min(max(1, down), MOST_ROWS)))
         elif tag == "table":
             between = flows.pop().done()
             flows[-1].add(between)

@@ -57,6 +57,84 @@ def test_long_selector_lists():
     assert render("<style>" + "x" * 400_000 + "</style><style>@media all{.a{display:none}} .b{display:none}</style><p class=a>no</p><p class=b>no</p>yes") == "yes"
 
 
+@pytest.mark.parametrize("rules, body, want", [
+    ("@media print{.x{display:none}}", "<p class=x>on screen", "on screen"),
+    ("@media screen and (min-width: 40em){.x{display:none}} @media (max-width:600px){.y{display:none}}", "<p class=x>no<p class=y>wide", "wide"),
+    ("@media print, screen{.x{display:none}} @media not print{.y{display:none}}", "<p class=x>no<p class=y>no<p>yes", "yes"),
+    ("@import 'a.css'; @font-face{src:url(x)} @keyframes k{from{display:none}} @supports (display:grid){.x{display:none}} from{display:none}", "<p class=x>no<p>yes", "yes"),
+    (".zh{display:none} .as{display:block}", "<p class='zh as'>later rule", "later rule"),
+    (".as{display:block} .zh{display:none}", "<p class='zh as'>no<p>yes", "yes"),
+    ("#i{display:block} .x.y{display:none}", "<p id=i class='x y'>stronger", "stronger"),
+    (".x{display:none!important} #i{display:block}", "<p id=i class=x style='display:block'>no<p>yes", "yes"),
+    (".x{display:none!important}", "<p class=x style='display:block !important'>yes", "yes"),
+    ("/* c */.x{display:none} /* .y{} */ .y /* d */ {display:/**/none}", "<p class=x>no<p class=y>no<p>yes", "yes"),
+    (".a .b{display:none} .a > .c{display:none} .d + p{display:none} .d ~ i{display:none}", "<div class=a><div><b class=b>no</b><b class=c>one</b></div><b class=c>no</b></div><div class=d>two</div><p>no</p><p>three</p><i>no</i>", "one\ntwo\n\nthree"),
+    (".a > .b .c{display:none}", "<div class=a><div class=b><div class=b><i class=c>no</i></div></div></div><div class=b><i class=c>yes</i></div>", "yes"),
+    ("[hidden-x], a[href^='x']{display:none} p:not(.k){display:none} li:nth-child(2n+1){display:none}", "<p hidden-x class=k>no<p>no<p class=k>yes <a href=xy>no</a><a href=yx>link</a><ul><li>no<li>two<li>no</ul>", "yes link\n\n- two"),
+    (".md\\:gone{display:none} .x:hover{display:none} .x::before{display:none} .x{display:nonsense}", "<p class='md:gone'>no<p class=x>yes", "yes"),
+    ("<!-- .x{display:none} --> .y{content:'}.z{display:none}'; display:none", "<p class=x>no<p class=y>no<p class=z>yes", "yes"),
+    ("x,,y{display:none} {display:none} }.q{display:none}", "<p>yes<p class=q>no", "yes"),
+    ("body.dark p{display:none}", "<body class=dark><p>no</p>yes", "yes"),
+])
+def test_cascade(rules, body, want):
+    assert render(f"<style>{rules}</style>{body}") == want
+
+
+def test_sheets_for_other_media_and_of_other_types():
+    assert render("<style media=print>.x{display:none}</style><style type='text/less'>.x{display:none}</style><p class=x>yes") == "yes"
+
+
+def test_spans_end_with_their_group():
+    assert render("<table><tbody><tr><td rowspan=0>r<td>1<tr><td>2<tr><td>3<tbody><tr><td>a<td>b</table>") == "r  1\n   2\n   3\na  b"
+    assert render("<table><tr><td rowspan=2000>r<td>0" + "".join(f"<tr><td>{i}" for i in range(1, 1999)) + "</table>").split("\n")[1500] == "   1500"
+
+
+def test_rules_over_deep_and_wide_pages():
+    rules = "<style>" + "".join(f".a .b{i} > .c{{display:none}}" for i in range(300)) + ".a i{display:none}</style>"
+    assert render(rules + "<div class=a>" * 20_000 + "<i>no</i>deep") == "deep"
+    assert render(rules + "<p class=b1>x</p>" * 20_000).count("x") == 20_000
+
+
+PAGE = """<!DOCTYPE html><html lang=en class=js><head><title>Fig prices</title><style>
+/* theme */ .nav li.sub, .sr-only {display: none} @media print {.story {display: none}}
+.promo {display: none} .story .promo {display: block}
+</style><script>var a = "<p>no</p>";</script></head><body>
+<div class=nav><ul><li>Home<li class=sub>Hidden<li>News</ul></div>
+<div class=story><h1>Fig  prices &amp; more</h1><p>Figs cost <b>3&nbsp;euro</b> a kilo.<br>Pears don't.
+<div class=promo>Buy two.</div>
+<ol start=2><li>Wash<li>Peel<ul><li>thinly</ul></ol>
+<table><thead><tr><th>Fruit<th>Price<th>Stock</thead><tbody><tr><td rowspan=2>Fig<td>3<td>yes<tr><td>4<td>no</tbody></table>
+<pre>
+  a = 1
+    b</pre></div><div class=sr-only>Skip</div><div class=promo>No</div><footer>End</footer></body></html>"""
+LAID_OUT = """- Home
+- News
+
+Fig prices & more
+
+Figs cost 3\xa0euro a kilo.
+Pears don't.
+
+Buy two.
+
+2. Wash
+3. Peel
+   - thinly
+
+Fruit  Price  Stock
+Fig    3      yes
+       4      no
+
+  a = 1
+    b
+
+End"""
+
+
+def test_a_whole_page():
+    assert render(PAGE) == LAID_OUT
+
+
 def test_implied_parts_of_tables():
     root, _ = build_tree("<table><td>a")
     table = root.children[0]
