@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -155,28 +158,55 @@ def from_hashes(values: Column, limit: Column, is_empty: Column, seed: int = SEE
     return of(values, limit, is_empty)
 
 
-def union(*images: Column, lg_k: int = 12) -> Column:
+def with_seed(seed: int, operation: Callable[..., Column], *images: Column) -> Column:
+    """operation over images of another seed than the builtins': each is checked, marked as theirs, and the result is marked as the seed's. A set
+    operation looks at hashes only, whatever seed they come from."""
+    if seed == SEED:
+        return operation(*images)
+    return _marked(operation(*[_marked(x, seed, SEED) for x in images]), SEED, seed)
+
+
+def _marked(image: Column, seed: int, other: int) -> Column:
+    """An image of a seed with the other one's hash in its place; an empty one carries none. A UDF, since it names its input once: native checks
+    would copy the whole expression of a nested operation for each byte that they read."""
+    want, put = (seed_hash(x).to_bytes(2, "little") for x in (seed, other))
+
+    def one(x: bytes | None) -> bytes | None:
+        if x is None or len(x) >= 8 and x[5] & 4:
+            return x
+        if len(x) < 8 or x[2] != 3:
+            raise ValueError("not a theta image")
+        if x[6:8] != want:
+            raise ValueError("theta image: seed hash mismatch")
+        return x[:6] + put + x[8:]
+
+    @F.pandas_udf("binary")
+    def of(images: pd.Series) -> pd.Series:
+        return images.map(lambda x: one(None if x is None else bytes(x)))
+
+    return of(image)
+
+
+def union(*images: Column, lg_k: int = 12, seed: int = SEED) -> Column:
     """Null inputs count as empty."""
-    out = or_empty(images[0])
-    for x in images[1:]:
-        out = F.theta_union(out, or_empty(x), lg_k)
-    return out if len(images) > 1 else F.theta_union(out, empty_image(), lg_k)
+
+    def of(*some: Column) -> Column:
+        out = some[0]
+        for x in some[1:] or (empty_image(),):
+            out = F.theta_union(out, x, lg_k)
+        return out
+
+    return with_seed(seed, of, *map(or_empty, images))
 
 
-def intersection(*images: Column) -> Column:
+def intersection(*images: Column, seed: int = SEED) -> Column:
     """Null inputs are refused, as an intersection with nothing is undefined."""
     if not images:
         raise ValueError("an intersection needs at least one sketch")
     sure = [F.when(x.isNull(), F.raise_error(F.lit("theta intersection of a null sketch"))).otherwise(x) for x in images]
-    out = sure[0]
-    for x in sure[1:]:
-        out = F.theta_intersection(out, x)
-    return out
+    return with_seed(seed, lambda *some: functools.reduce(F.theta_intersection, some), *sure)
 
 
-def a_not_b(image: Column, *others: Column) -> Column:
+def a_not_b(image: Column, *others: Column, seed: int = SEED) -> Column:
     """Null counts as empty: without A the result is empty, without B it is A."""
-    out = or_empty(image)
-    for x in others or (empty_image(),):
-        out = F.theta_difference(out, or_empty(x))
-    return out
+    return with_seed(seed, lambda *some: functools.reduce(F.theta_difference, some), or_empty(image), *map(or_empty, others or (empty_image(),)))

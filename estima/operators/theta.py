@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,28 +52,28 @@ def sketch(column: Column, lg_k: int = DEFAULT_LG) -> Column:
     return F.theta_sketch_agg(column, check_lg(lg_k))
 
 
-def union(image: Column, lg_k: int = DEFAULT_LG) -> Column:
-    """Aggregate: the union of images; null images are skipped."""
-    return F.theta_union_agg(image, check_lg(lg_k))
+def union(image: Column, lg_k: int = DEFAULT_LG, seed: int = SEED) -> Column:
+    """Aggregate: the union of images made with one seed; null images are skipped."""
+    return ft.with_seed(seed, lambda x: F.theta_union_agg(x, check_lg(lg_k)), image)
 
 
-def intersect(image: Column) -> Column:
-    """Aggregate: the intersection of images; null images are skipped. A group without any image has no intersection and fails; see
-    intersect_all()."""
-    return F.theta_intersection_agg(image)
+def intersect(image: Column, seed: int = SEED) -> Column:
+    """Aggregate: the intersection of images made with one seed; null images are skipped. A group without any image has no intersection and
+    fails; see intersect_all()."""
+    return ft.with_seed(seed, F.theta_intersection_agg, image)
 
 
-def intersect_all(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+def intersect_all(df: DataFrame, keys: Sequence[str], column: str, seed: int = SEED) -> DataFrame:
     """keys, sketch: the intersection of each group's images. Groups without an image, or no rows at all, give no row."""
     own = df.where(F.col(column).isNotNull()).withColumn("whole", F.lit(0))
-    return own.groupBy(*keys or ["whole"]).agg(intersect(F.col(column)).alias("sketch")).select(*keys, "sketch")
+    return own.groupBy(*keys or ["whole"]).agg(intersect(F.col(column), seed).alias("sketch")).select(*keys, "sketch")
 
 
 def kmv_sketch(df: DataFrame, keys: Sequence[str], column: str, lg_k: int = DEFAULT_LG, seed: int = SEED, p: float = 1.0) -> DataFrame:
     """keys, sketch: a theta sketch in relational form, for what the builtin lacks, other seeds and sampling probabilities.
 
-    Distinct values are hashed; of those below p * 2^63 the k + 1 smallest of each group are kept, theta is the last of them. The
-    limit is applied within tasks before rows are shuffled, so a hot group sends k + 1 rows a task.
+    Each task hashes its rows once and keeps the k + 1 smallest hashes of a group, in bounded memory; only these are shuffled, once, by the keys. Of the k + 1
+    smallest below p * 2^63 of all tasks the first k are kept, theta is the last. Groups without a value give empty sketches.
     """
     check_lg(lg_k)
     if not 0 < p <= 1:
@@ -83,64 +85,91 @@ def kmv_sketch(df: DataFrame, keys: Sequence[str], column: str, lg_k: int = DEFA
         raise TypeError(f"values of type {kind} can't be hashed")
     start = min(MAX_THETA, int(p * 2.0**63))
     k = 1 << lg_k
-    h = own.distinct().withColumn("h", theta_hash(F.col("v"), kind, seed)).where("h is not null").select(*keys, "h").distinct()
-    below = h.where(F.col("h") < start).withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).where(F.col("place") <= k + 1)
-    packed = below.groupBy(*keys).agg(F.collect_list(F.when(F.col("place") <= k, F.col("h"))).alias("hashes"), F.max(F.when(F.col("place") == k + 1, F.col("h"))).alias("next"))
-    if not keys:  # each side is one row
-        joined = h.agg((F.count("*") > 0).alias("some")).crossJoin(packed)
-    else:
-        groups = df.select(*keys).distinct()
-        # a group all of whose values were sampled away isn't empty
-        some = h.groupBy(*keys).agg(F.lit(True).alias("some"))
-        joined = _with(_with(groups, some, keys), packed, keys)
-    limit = F.coalesce("next", F.lit(start))
-    return joined.select(*keys, ft.from_hashes(F.col("hashes"), limit, ~F.coalesce("some", F.lit(False)), seed).alias("sketch"))
-
-
-def _with(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """left with right's further columns where all keys agree, nulls too."""
-    a, b = left.alias("a"), right.alias("b")
-    same = [F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`")) for k in keys]
-    return a.join(b, same, "left").select("a.*", *[F.col(f"b.`{c}`") for c in right.columns if c not in keys])
+    hashed = own.select(*keys, theta_hash(F.col("v"), kind, seed).alias("h"))
+    few = hashed.mapInArrow(lambda batches: _smallest(batches, len(keys), k + 1), hashed.schema)
+    placed = few.withColumn("place", F.dense_rank().over(Window.partitionBy(*keys).orderBy(F.col("h").asc_nulls_last()))).where(F.col("place") <= k + 1)
+    below = F.when(F.col("h") < start, F.col("h"))
+    packed = placed.groupBy(*keys).agg(
+        F.collect_set(F.when(F.col("place") <= k, below)).alias("hashes"),
+        F.max(F.when(F.col("place") == k + 1, below)).alias("next"),
+        (F.count("h") == 0).alias("none"),  # a group all of whose values were sampled away isn't empty
+    )
+    return packed.select(*keys, ft.from_hashes(F.col("hashes"), F.coalesce("next", F.lit(start)), F.col("none"), seed).alias("sketch"))
+
+
+def _smallest(batches: Iterator[pa.RecordBatch], n_keys: int, most: int, held: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The `most` smallest distinct hashes of each group, and a null if there is one; of at most about `held` rows at a time, so that with many
+    groups one may come in parts."""
+
+    def reduced(table: pa.Table) -> pa.Table:
+        group = np.zeros(table.num_rows, np.int64)
+        for i in range(n_keys):
+            codes = table.column(i).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            group = np.unique(np.stack([group, codes]), axis=1, return_inverse=True)[1].reshape(-1)
+        h = pc.fill_null(table.column(n_keys), MAX_THETA).to_numpy()  # no hash is that large
+        order = np.lexsort((h, group))
+        group, h = group[order], h[order]
+        new_group = np.r_[True, group[1:] != group[:-1]]
+        new = new_group | np.r_[True, h[1:] != h[:-1]]
+        order, new_group, h = order[new], new_group[new], h[new]
+        starts = np.flatnonzero(new_group)
+        place = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+        return table.take(pa.array(order[(place < most) | (h == MAX_THETA)]))
+
+    kept: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        kept.append(batch)
+        rows += batch.num_rows
+        if rows > held:
+            table = reduced(pa.Table.from_batches(kept))
+            kept = table.to_batches()
+            if table.num_rows > held // 2:
+                yield from kept
+                kept = []
+            rows = sum(b.num_rows for b in kept)
+    if rows:
+        yield from reduced(pa.Table.from_batches(kept)).to_batches()
 
 
 def update_results(df: DataFrame, column: str, order: str, kind: str, lg_k: int = DEFAULT_LG, seed: int = SEED) -> DataFrame:
     """What each update, in the order given, does to one sketch: Inserted, RejectedDuplicate, RejectedOverTheta or RejectedNullOrEmpty.
 
     A row-level report over one sketch's stream, in the trimmed form: theta before a row is the (k + 1)-th smallest distinct hash so
-    far. It needs the stream in order, so it runs in one task; it is for looking into single streams.
+    far. It needs the stream in order, so it runs in one task, which reads sorted rows batch by batch and holds k + 1 hashes.
     """
     hashed = df.select(order, theta_hash(F.col(column), kind, seed).alias("h"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import bisect
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[int] = []
-        limit, out = MAX_THETA, []
-        for h in pdf.sort_values(order)["h"]:
-            if pd.isna(h):
-                out.append("RejectedNullOrEmpty")
-            elif h >= limit:
-                out.append("RejectedOverTheta")
-            else:
-                i = bisect.bisect_left(kept, h)
-                if i < len(kept) and kept[i] == h:
-                    out.append("RejectedDuplicate")
+        limit = MAX_THETA
+        for batch in batches:
+            out = []
+            for h in batch.column(1).to_pylist():
+                if h is None:
+                    out.append("RejectedNullOrEmpty")
+                elif h >= limit:
+                    out.append("RejectedOverTheta")
                 else:
-                    kept.insert(i, int(h))
-                    if len(kept) > 1 << lg_k:
-                        limit = kept.pop()
-                    out.append("Inserted")
-        return pd.DataFrame({order: pdf.sort_values(order)[order], "result": out})
+                    i = bisect.bisect_left(kept, h)
+                    if i < len(kept) and kept[i] == h:
+                        out.append("RejectedDuplicate")
+                    else:
+                        kept.insert(i, h)
+                        if len(kept) > 1 << lg_k:
+                            limit = kept.pop()
+                        out.append("Inserted")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=[order, "result"])
 
-    return hashed.withColumn("whole", F.lit(0)).groupBy("whole").applyInPandas(run, T.StructType([hashed.schema[order], T.StructField("result", T.StringType())]))
+    return hashed.repartition(1).sortWithinPartitions(order).mapInArrow(run, T.StructType([hashed.schema[order], T.StructField("result", T.StringType())]))
 
 
 def alpha_sketch(df: DataFrame, keys: Sequence[str], column: str, order: str, kind: str, lg_k: int = DEFAULT_LG, seed: int = SEED, p: float = 1.0, deviations: int = 2) -> DataFrame:
     """keys, sketch (an image that set operations take), estimate, lower and upper bound at 1, 2 or 3 deviations, of the Alpha algorithm.
 
     It depends on the order of updates, which is that of the column `order`. A value counts where it comes first: theta only falls,
-    so a repeat is either known or over theta. So each group is reduced to its distinct hashes before it goes, as it must, to one task.
+    so a repeat is either known or over theta. So each group is reduced to its distinct hashes before it goes, as it must, to one task, which
+    reads them in order, batch by batch, and holds at most 2 k of one group. Without rows there is no group and no sketch.
     """
     if lg_k < LEAST_ALPHA_LG:
         raise ValueError("Alpha needs at least 512 nominal entries")
@@ -148,26 +177,47 @@ def alpha_sketch(df: DataFrame, keys: Sequence[str], column: str, order: str, ki
         raise ValueError("bounds are for 1, 2 or 3 standard deviations")
     own = df.select(*keys, F.col(order).alias("at"), theta_hash(F.col(column), kind, seed).alias("h")).where("h is not null")
     firsts = own.groupBy(*keys, "h").agg(F.min("at").alias("at"))
-    k, decay = 1 << lg_k, (1 << lg_k) / ((1 << lg_k) + 1.0)
+    n, k, decay = len(keys), 1 << lg_k, (1 << lg_k) / ((1 << lg_k) + 1.0)
     start = min(MAX_THETA, int(p * 2.0**63))
     turn = int(p * (decay + 1.0) / 2.0 * 2.0**63)  # above it, fewer than k + 1 values have come in
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "h"])
-        limit, kept = start, []
-        for h in pdf["h"].to_numpy(np.int64).tolist():
-            if h < limit:
-                kept.append(h)
-                if limit <= turn or len(kept) > k:
-                    limit = int(limit * decay)
+    def row(key: list, limit: int, kept: list[int]) -> list:
         own = [h for h in kept if h < limit]
         estimate = (len(own) if limit > turn else k) * (2.0**63 / limit)
-        deviation = math.sqrt(alpha_variance(len(own), limit / 2.0**63, k, p))
-        sampled = limit < MAX_THETA
-        return pd.DataFrame({**{x: pdf[x].iloc[:1].to_numpy() for x in keys}, "sketch": [ft.encode(np.array(own, np.int64), limit, False, seed)], "estimate": [estimate], "lower": [max(0.0, estimate - deviations * deviation) if sampled and own else 0.0 if sampled else float(len(own))], "upper": [estimate + deviations * deviation if sampled else float(len(own))]})
+        spread = deviations * math.sqrt(alpha_variance(len(own), limit / 2.0**63, k, p))
+        image = ft.encode(np.array(own, np.int64), limit, False, seed)
+        if limit == MAX_THETA:
+            return [*key, image, estimate, float(len(own)), float(len(own))]
+        return [*key, image, estimate, max(0.0, estimate - spread) if own else 0.0, estimate + spread]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, key, limit, kept = None, None, start, []
+        for batch in batches:
+            schema = schema or pa.schema([*(batch.schema.field(i) for i in range(n)), ("sketch", pa.binary()), ("estimate", pa.float64()), ("lower", pa.float64()), ("upper", pa.float64())])
+            columns = [batch.column(i).to_pylist() for i in range(n)]
+            hashes = batch.column(n).to_pylist()
+            same = zip(*columns, strict=True) if n else ((),) * len(hashes)
+            done = []
+            for found, h in zip(same, hashes, strict=True):
+                if found != key and repr(found) != repr(key):  # by text too: a NaN is no other key than a NaN
+                    if key is not None:
+                        done.append(row(list(key), limit, kept))
+                    key, limit, kept = found, start, []
+                if h < limit:
+                    kept.append(h)
+                    if limit <= turn or len(kept) > k:
+                        limit = int(limit * decay)
+                        if len(kept) > 2 * k:
+                            kept = [x for x in kept if x < limit]
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), schema, strict=True)], schema=schema)
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row(list(key), limit, kept), schema, strict=True)], schema=schema)
 
     fields = [df.schema[x] for x in keys] + [T.StructField("sketch", T.BinaryType())] + [T.StructField(x, T.DoubleType()) for x in ("estimate", "lower", "upper")]
-    return firsts.groupBy(*keys).applyInPandas(run, T.StructType(fields))
+    dealt = firsts.select(*keys, "h", "at")
+    dealt = dealt.repartition(*keys) if keys else dealt.repartition(1)
+    return dealt.sortWithinPartitions(*keys, "at", "h").mapInArrow(run, T.StructType(fields))
 
 
 def alpha_variance(n: int, theta: float, k: int, p: float = 1.0) -> float:

@@ -218,3 +218,44 @@ def test_alpha_variance_against_simulated_runs(p):
         found.append(k / theta)
         said.append(theta_operators.alpha_variance(0, theta, k, p))
     assert np.std(found) == pytest.approx(np.sqrt(np.mean(said)), rel=0.25) and np.mean(found) == pytest.approx(n, rel=0.02)
+
+
+def test_set_operations_of_other_seeds(spark):
+    """In estimation mode, against the definitions on hashes; as aggregates and as scalar functions."""
+    rows = spark.range(20_000).select(F.explode(F.array(F.struct(F.lit("a").alias("g"), F.col("id").alias("v")), F.struct(F.lit("b").alias("g"), (F.col("id") + 8_000).alias("v")))).alias("r")).select("r.*")
+    made = theta.kmv_sketch(rows, ["g"], "v", lg_k=9, seed=77).cache()
+    images = {r["g"]: bytes(r["sketch"]) for r in made.collect()}
+    (ha, ta, _), (hb, tb, _) = ft.decode(images["a"]), ft.decode(images["b"])
+    limit = min(ta, tb)
+    x, y = {h for h in ha.tolist() if h < limit}, {h for h in hb.tolist() if h < limit}
+    union = sorted(x | y)
+    cut = union[512] if len(union) > 512 else limit
+    pair = made.where("g = 'a'").select(F.col("sketch").alias("s")).crossJoin(made.where("g = 'b'").select(F.col("sketch").alias("t")))
+    got = pair.select(ft.union(F.col("s"), F.col("t"), lg_k=9, seed=77).alias("u"), ft.intersection(F.col("s"), F.col("t"), seed=77).alias("i"), ft.a_not_b(F.col("s"), F.col("t"), seed=77).alias("d")).first()
+    mark = ft.seed_hash(77).to_bytes(2, "little")
+    for name, want, theta_ in (("u", set(union[:512]), cut), ("i", x & y, limit), ("d", x - y, limit)):
+        assert bytes(got[name])[6:8] == mark
+        hashes, t, _ = ft.decode(bytes(got[name]))
+        assert (set(hashes.tolist()), t) == (want, theta_)
+    whole = made.agg(theta.union(F.col("sketch"), 9, seed=77).alias("u")).first()
+    assert ft.decode(bytes(whole["u"]))[0].tolist() == union[:512]
+    assert set(ft.decode(bytes(theta.intersect_all(made, [], "sketch", seed=77).first()["sketch"]))[0].tolist()) == x & y
+    with pytest.raises(Exception, match="seed hash"):
+        pair.select(ft.union(F.col("s"), F.col("t"), seed=78)).collect()
+    made.unpersist()
+
+
+def test_smallest_hashes_of_tasks_in_parts():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    keys, hashes = rng.integers(0, 7, 20_000), rng.integers(1, 3000, 20_000)
+    table = pa.table({"g": pa.array([None if k == 6 else float("nan") if k == 5 else float(k) for k in keys]), "h": pa.array([None if h % 50 == 0 else int(h) for h in hashes], pa.int64())})
+    for held in (100, 5000, 1 << 20):
+        out = pa.Table.from_batches(list(theta._smallest(iter(table.to_batches(max_chunksize=700)), 1, 40, held))).to_pylist()
+        for k in range(7):
+            name = repr(None if k == 6 else float("nan") if k == 5 else float(k))
+            got = {r["h"] for r in out if repr(r["g"]) == name}
+            want = sorted({int(h) for kk, h in zip(keys, hashes) if kk == k and h % 50})[:40]
+            assert None in got and sorted(got - {None})[:40] == want
+            assert held < 1 << 20 or len([r for r in out if repr(r["g"]) == name]) == 41
