@@ -18,6 +18,7 @@ from estima.functions import theta as ft
 from estima.operators import hll, kll, theta
 from estima.plans import rollup
 from estima.plans.murmur_sql import hashed
+from estima.sources.images import read_sketches, tagged, write_sketches
 from estima.sources.scratch import scratch, stream_of
 from estima.streaming import windows
 
@@ -125,11 +126,48 @@ def theta_union_mixed_k(spark, d):
     return u.select(ft.theta_long(image()).alias("theta_long"), ft.retained(image()).alias("retained"))
 
 
-@query("SELECT l_returnflag, true AS covered, true AS close FROM lineitem GROUP BY 1")
+_NORMAL = "round(coalesce((kept {s} 0.5) / t + 4.5 * (1 - t) / t {s} 0.5 * sqrt(9 * (1 - t) / t) * sqrt(9 * (1 - t) / t + 4 * (kept {s} 0.5) / t) {s} 0.5, kept))::BIGINT"
+
+
+@query(f"""{_LIMITED}, cut AS (SELECT l_returnflag, max(CASE WHEN place = 2049 THEN h END)::DOUBLE / 9223372036854775808.0::DOUBLE AS t,
+  count(*) FILTER (place <= 2048)::DOUBLE AS kept, count(*) AS n FROM kept GROUP BY 1),
+bounds AS (SELECT l_returnflag, {_NORMAL.format(s="-")} AS lower, {_NORMAL.format(s="+")} AS upper, n FROM cut)
+SELECT l_returnflag, lower, upper, lower <= n AND n <= upper AS covered FROM bounds""")
 def theta_bounds_cover(spark, d):
+    """Bounds at three deviations of sketches that estimate, by number: with more than 120 hashes kept they are a normal quantile."""
     made = read(spark, d, "lineitem").groupBy("l_returnflag").agg(theta.sketch(F.col("l_orderkey"), 11).alias("sketch"), F.countDistinct("l_orderkey").alias("n"))
-    covered = (ft.lower_bound(image(), 3) <= F.col("n")) & (F.col("n") <= ft.upper_bound(image(), 3))
-    return made.select("l_returnflag", covered.alias("covered"), (F.abs(ft.estimate(image()) / F.col("n") - 1) < 0.1).alias("close"))
+    own = made.select("l_returnflag", "n", whole(ft.lower_bound(image(), 3)).alias("lower"), whole(ft.upper_bound(image(), 3)).alias("upper"))
+    return own.select("l_returnflag", "lower", "upper", F.col("n").between(F.col("lower"), F.col("upper")).alias("covered"))
+
+
+_STATUS_KEPT = hashed("SELECT DISTINCT o_orderstatus AS g, o_custkey AS v FROM orders") + """,
+placed AS (SELECT g, h1 >> 1 AS h, row_number() OVER (PARTITION BY g ORDER BY h1 >> 1) AS place FROM hashed),
+own AS (SELECT g, h FROM placed WHERE place <= 256),
+cut AS (SELECT least(max(h) FILTER (g = '{a}' AND place = 257), max(h) FILTER (g = '{b}' AND place = 257), 9223372036854775807::UBIGINT) AS t FROM placed)"""
+
+
+@query(f"""SELECT 'both' AS operation, * FROM ({_STATUS_KEPT.format(a="F", b="O")}
+  SELECT any_value(t)::BIGINT AS theta_long, count(h) AS retained FROM cut LEFT JOIN (SELECT h FROM own WHERE g = 'F' INTERSECT SELECT h FROM own WHERE g = 'O') ON h < t)
+UNION ALL SELECT 'without', * FROM ({_STATUS_KEPT.format(a="O", b="P")}
+  SELECT any_value(t)::BIGINT, count(h) FROM cut LEFT JOIN (SELECT h FROM own WHERE g = 'O' EXCEPT SELECT h FROM own WHERE g = 'P') ON h < t)""")
+def theta_set_estimation(spark, d):
+    """Set operations of sketches that have more than k values: what they keep lies below the smaller theta."""
+    by = _by_status(spark, d, 8)
+    made = F.array(F.struct(F.lit("both").alias("operation"), ft.intersection(F.col("F"), F.col("O")).alias("sketch")), F.struct(F.lit("without").alias("operation"), ft.a_not_b(F.col("O"), F.col("P")).alias("sketch")))
+    each = by.select(F.inline(made))
+    return each.select("operation", ft.theta_long(image()).alias("theta_long"), ft.retained(image()).alias("retained"))
+
+
+@query(f"""{_LIMITED}, gaps AS (SELECT l_returnflag, h - lag(h, 1, 0::UBIGINT) OVER (PARTITION BY l_returnflag ORDER BY h) AS gap FROM kept WHERE place <= 1024),
+widths AS (SELECT l_returnflag, length(bin(max(gap))) AS bits FROM gaps GROUP BY 1)
+SELECT l_returnflag, 24 + 8 * 1024::BIGINT AS v3_size, 16 + 2 + bits * 1024 // 8 AS v4_size, theta_long, true AS same
+FROM widths JOIN (SELECT l_returnflag, max(CASE WHEN place = 1025 THEN h END)::BIGINT AS theta_long FROM kept GROUP BY 1) USING (l_returnflag)""")
+def theta_compressed_size(spark, d):
+    """Images of sketches that estimate: gaps of hashes, packed to the width of the widest, and read back the same."""
+    made = read(spark, d, "lineitem").groupBy("l_returnflag").agg(theta.sketch(F.col("l_orderkey"), 10).alias("sketch"))
+    made = made.select("l_returnflag", ft.reencode(image()).alias("v3"), ft.reencode(image(), compressed=True).alias("v4"))
+    same = (ft.hashes(F.col("v3")) == ft.hashes(F.col("v4"))) & (ft.reencode(F.col("v4")) == F.col("v3"))
+    return made.select("l_returnflag", F.length("v3").cast("long").alias("v3_size"), F.length("v4").cast("long").alias("v4_size"), ft.theta_long(F.col("v4")).alias("theta_long"), same.alias("same"))
 
 
 @query("SELECT c_nationkey, count(DISTINCT c_custkey)::DOUBLE AS lower, count(DISTINCT c_custkey)::DOUBLE AS upper FROM customer GROUP BY 1")
@@ -181,10 +219,25 @@ def theta_serialize(spark, d):
     return made.select("o_orderstatus", F.length("v3").cast("long").alias("v3_size"), (F.length("v4") < F.length("v3")).alias("smaller"), whole(ft.estimate(F.col("v4"))).alias("n"))
 
 
-@query("SELECT l_linestatus, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1")
+@query(hashed("SELECT l_linestatus, l_partkey AS v FROM lineitem", seed=77) + ", kept AS (" + _KEPT.format(g="l_linestatus") + """)
+SELECT l_linestatus, max(CASE WHEN place = 513 THEN h END)::BIGINT AS theta_long, count(*) FILTER (place <= 512) AS retained FROM kept GROUP BY 1""")
 def theta_other_seed(spark, d):
-    made = theta.kmv_sketch(read(spark, d, "lineitem"), ["l_linestatus"], "l_partkey", 14, seed=77)
-    return made.select("l_linestatus", whole(ft.estimate(image())).alias("n"))
+    """Which hashes are kept, and so theta, depends on the seed."""
+    made = theta.kmv_sketch(read(spark, d, "lineitem"), ["l_linestatus"], "l_partkey", 9, seed=77)
+    return made.select("l_linestatus", ft.theta_long(image()).alias("theta_long"), ft.retained(image()).alias("retained"))
+
+
+@query(hashed("SELECT l_linestatus, l_partkey AS v FROM lineitem", seed=77) + """, kept AS (SELECT l_linestatus, h, row_number() OVER (PARTITION BY l_linestatus ORDER BY h) AS place
+  FROM (SELECT DISTINCT l_linestatus, h1 >> 1 AS h FROM hashed)),
+cut AS (SELECT min(h) AS t FROM kept WHERE place = 513),
+firsts AS (SELECT DISTINCT h FROM kept, cut WHERE place <= 512 AND h < t),
+ranked AS (SELECT h, row_number() OVER (ORDER BY h) AS place FROM firsts)
+SELECT coalesce(max(CASE WHEN place = 513 THEN h END), any_value(t))::BIGINT AS theta_long, count(*) FILTER (place <= 512) AS retained FROM ranked, cut""")
+def theta_other_seed_union(spark, d):
+    """Images of another seed are united under that seed."""
+    made = theta.kmv_sketch(read(spark, d, "lineitem"), ["l_linestatus"], "l_partkey", 9, seed=77)
+    u = made.agg(theta.union(image(), 9, seed=77).alias("sketch"))
+    return u.select(ft.theta_long(image()).alias("theta_long"), ft.retained(image()).alias("retained"))
 
 
 @query(hashed("SELECT l_linestatus, l_partkey AS v FROM lineitem") + """
@@ -194,10 +247,16 @@ def theta_sampled(spark, d):
     return made.select("l_linestatus", ft.retained(image()).alias("retained"), ft.theta_long(image()).alias("theta_long"))
 
 
-@query("SELECT result, n FROM (SELECT 'Inserted' AS result, count(DISTINCT c_nationkey) AS n FROM customer UNION ALL SELECT 'RejectedDuplicate', count(*) - count(DISTINCT c_nationkey) FROM customer)")
+@query(hashed("SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS v FROM orders") + """,
+updates AS (SELECT o_orderkey AS pos, CASE WHEN v IS NOT NULL THEN h1 >> 1 END AS h FROM hashed),
+firsts AS (SELECT h, min(pos) AS pos FROM updates WHERE h IS NOT NULL GROUP BY h),
+below AS (SELECT u.pos, u.h, f.pos < u.pos AS again, count(x.h) AS n FROM updates u JOIN firsts f ON f.h = u.h LEFT JOIN firsts x ON x.pos < u.pos AND x.h <= u.h GROUP BY ALL)
+SELECT CASE WHEN n > 256 THEN 'RejectedOverTheta' WHEN again THEN 'RejectedDuplicate' ELSE 'Inserted' END AS result, count(*) AS n FROM below GROUP BY 1
+UNION ALL SELECT 'RejectedNullOrEmpty', count(*) FROM updates WHERE h IS NULL""")
 def theta_update_results(spark, d):
-    own = read(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("v"))
-    return theta.update_results(own, "v", "c_custkey", "bigint").groupBy("result").agg(F.count("*").alias("n"))
+    """All four outcomes: a value counts as over theta once 257 smaller or equal ones have come in. Pending orders have no value."""
+    own = read(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_custkey").cast("long")).alias("v"))
+    return theta.update_results(own, "v", "o_orderkey", "bigint", 8).groupBy("result").agg(F.count("*").alias("n"))
 
 
 @query("SELECT l_returnflag, true AS close, true AS covered FROM lineitem GROUP BY 1")
@@ -234,7 +293,7 @@ def murmur3_hash(spark, d):
     return own.withColumn("h", hashing.murmur3_128(F.col("p_partkey"), "bigint")).select("p_partkey", F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"))
 
 
-@query("SELECT r_regionkey, 37836 AS seed_hash FROM region")
+@query(hashed("SELECT r_regionkey, 9001::BIGINT AS v FROM region", seed=0) + " SELECT r_regionkey, (h1 & 65535::UBIGINT)::INTEGER AS seed_hash FROM hashed")
 def seed_hash(spark, d):
     return read(spark, d, "region").select("r_regionkey", F.lit(hashing.seed_hash(9001)).alias("seed_hash"))
 
@@ -440,7 +499,51 @@ def kll_header_fields(spark, d):
     return made.select("o_orderstatus", *[h[x].alias(x) for x in ("k", "n", "min_k", "levels", "is_estimating")])
 
 
-# ---------------------------------------------------------------- windows and streams
+_BELOW = _CDF.replace("v <=", "v <")
+
+
+@query(f"SELECT l_returnflag, i, c, c - coalesce(lag(c) OVER (PARTITION BY l_returnflag ORDER BY i), 0) AS m FROM ({_BELOW})")
+def kll_exclusive_distribution(spark, d):
+    """CDF and mass of what lies below each split, the split itself left out."""
+    both = F.arrays_zip(fk.cdf(image(), _SPLITS, inclusive=False).alias("c"), fk.pmf(image(), _SPLITS, inclusive=False).alias("m"))
+    return _spread(_prices(spark, d), "l_returnflag", both, "x").select("l_returnflag", "i", "x.c", "x.m")
+
+
+_TYPED = """SELECT o_orderstatus, count(*) AS n, min({v}) AS least, max({v}) AS most, quantile_disc({v}, 0.25) AS q, count(*) FILTER ({v} <= {x})::DOUBLE / count(*) AS r,
+count(*) FILTER ({v} < {x})::DOUBLE / count(*) AS below FROM orders GROUP BY 1"""
+
+
+def _typed(spark, d, column: Column, kind: str, item: float) -> DataFrame:
+    made = read(spark, d, "orders").groupBy("o_orderstatus").agg(kll.sketch(column, 65535, kind).alias("sketch"))
+    made = made.withColumn("e", fk.extremes(image(), kind))
+    return made.select(
+        "o_orderstatus", fk.n(image(), kind).alias("n"), F.col("e.least").alias("least"), F.col("e.most").alias("most"), fk.quantiles(image(), [0.25], kind)[0].alias("q"),
+        fk.cdf(image(), [item], kind)[0].alias("r"), fk.ranks(image(), [item], kind, inclusive=False)[0].alias("below"),
+    )
+
+
+@query(_TYPED.format(v="o_totalprice::FLOAT", x="100000::FLOAT"))
+def kll_float(spark, d):
+    return _typed(spark, d, F.col("o_totalprice"), "float", 100000.0)
+
+
+@query(_TYPED.format(v="o_custkey", x="700"))
+def kll_bigint(spark, d):
+    return _typed(spark, d, F.col("o_custkey"), "bigint", 700)
+
+
+# ---------------------------------------------------------------- stored tables, windows and streams
+
+
+@query("SELECT o_orderstatus, count(DISTINCT o_custkey) AS customers, quantile_disc(o_totalprice, 0.5) AS median FROM orders GROUP BY 1")
+def sketch_stored_table(spark, d):
+    """Fine sketches written to a partitioned table, read back with every image checked, and rolled up from there."""
+    fine = read(spark, d, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(theta.sketch(F.col("o_custkey"), 16).alias("users"), kll.sketch(F.col("o_totalprice"), 65535).alias("prices"))
+    path = scratch(spark, "stored")
+    write_sketches(tagged(tagged(fine, "users", "theta", lg_k=16, seed_hash=hashing.seed_hash(headers.SEED)), "prices", "kll", kind="double"), path, ["o_orderpriority"])
+    out = rollup.roll_up(read_sketches(spark, path), ["o_orderstatus"], {"users": {"family": "theta", "lg_k": 16}, "prices": {"family": "kll"}})
+    return out.select("o_orderstatus", whole(ft.estimate(F.col("users"))).alias("customers"), fk.quantiles(F.col("prices"), [0.5])[0].alias("median"))
+
 
 
 def _aggregates() -> dict[str, Column]:

@@ -28,6 +28,21 @@ def test_the_library_stands_alone(monkeypatch):
         importlib.reload(entry)
 
 
+def test_a_missing_package_is_an_error(monkeypatch):
+    """Only the subpackage itself may be missing, not what it imports."""
+    for name in [m for m in sys.modules if m.startswith("estima.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "tokenizers", None)
+    monkeypatch.setitem(sys.modules, "xxhash", None)
+    monkeypatch.setitem(sys.modules, "pyarrow.compute", None)
+    try:
+        with pytest.raises(ModuleNotFoundError):
+            importlib.reload(entry)
+    finally:
+        monkeypatch.undo()
+        importlib.reload(entry)
+
+
 def test_every_oracle_has_a_query():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
 
