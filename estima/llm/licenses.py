@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from estima.llm.common import WORD, stored
+from estima.llm.common import WORD, drop_stored, stored
 
 #: Licences and the notices that stand for them.
 TEMPLATES = (
@@ -107,10 +107,9 @@ def template_vectors(spark: SparkSession, templates: Sequence[tuple[str, str]] =
     return weighted.select("license", "template", "term", "idf", (F.col("w") / length).alias("weight"))
 
 
-def best_license(units: DataFrame, templates: Sequence[tuple[str, str]], least: float) -> DataFrame:
-    """units (file, unit, text) -> file, license, score: each file's best template by cosine, ties to the first name."""
-    vectors = stored(template_vectors(units.sparkSession, templates), "templates")  # as many rows as the templates have words
-    unseen = math.log(1.0 + len(templates)) + 1
+def best_license(units: DataFrame, vectors: DataFrame, n: int, least: float) -> DataFrame:
+    """units (file, unit, text) -> file, license, score: each file's best of the n templates by cosine, ties to the first name."""
+    unseen = math.log(1.0 + n) + 1
     tf = units.select("file", "unit", F.explode(terms(F.col("text"))).alias("term")).groupBy("file", "unit", "term").agg(F.count("*").alias("tf"))
     idf = F.broadcast(vectors.select("term", "idf").distinct())
     w = tf.join(idf, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen))).drop("idf")
@@ -139,7 +138,8 @@ def scan_licenses(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPL
     notices and of the forms of its joined ones, null below `least`, a bare reservation of rights only where there is nothing else; license is that or the one inherited
     from the directory inherited_from. Of several licence files in a directory the one with the highest score counts, ties to the
     smaller license. Null and empty texts have no notice; a null path has no directory and inherits nothing; `file` is an
-    id, and rows that repeat it share their best notice. Whole texts are read.
+    id, and rows that repeat it share their best notice. Whole texts are read, however long. Other columns are ignored, whatever their names; an empty
+    table gives an empty result.
     """
     text = F.coalesce("text", F.lit(""))
     slim = files.select("file", "path", F.regexp_extract(F.coalesce("path", F.lit("")), r"([^/]*)$", 1).rlike(LICENCE_FILE).alias("named"), text.alias("text"))
@@ -155,13 +155,15 @@ def scan_licenses(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPL
     whole = found.where("whole is not null").select("file", F.col("whole").alias("text"))
     units = lines.unionByName(whole).withColumn("unit", F.xxhash64("text"))
     ids = found.select("file", F.explode("spdx").alias("id")).select("file", F.lit(0).alias("way"), F.regexp_replace("id", r"(?:-only|-or-later|\+)(?=$|[ \t)])", "").alias("license"), F.lit(1.0).alias("score"))
-    by_notice = best_license(units.distinct(), templates, least).withColumn("way", F.lit(1))
+    used = [stored(template_vectors(files.sparkSession, x), "templates") for x in (templates, (*templates, *forms))]  # as many rows as the templates have words
+    by_notice = best_license(units.distinct(), used[0], len(templates), least).withColumn("way", F.lit(1))
     of_forms = found.select("file", F.explode("forms").alias("text")).withColumn("unit", F.xxhash64("text"))
-    by_form = best_license(of_forms.distinct(), (*templates, *forms), least).withColumn("way", F.lit(2))
+    by_form = best_license(of_forms.distinct(), used[1], len(templates) + len(forms), least).withColumn("way", F.lit(2))
     rank = F.struct((F.col("way") != 0).alias("guessed"), (F.col("license") == "Proprietary").alias("last"), (-F.col("score")).alias("minus"), "way", "license")
     own = by_notice.unionByName(by_form).unionByName(ids).groupBy("file").agg(F.min(rank).alias("best"))
     own = stored(own.select("file", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score")), "own")
     rows = found.select("file", "path", "named", "words", "notice_words").join(own, "file", "left")
+    drop_stored(*used)
     is_file = F.coalesce(F.col("license").isNotNull() & (F.col("named") | (F.col("notice_words") >= share * F.col("words"))), F.lit(False))
     rows = rows.withColumn("is_licence_file", is_file).withColumn("directory", parent(F.col("path")))
 
@@ -171,6 +173,7 @@ def scan_licenses(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPL
     above = wanted.select("directory", F.posexplode(ancestors(F.col("directory"))).alias("up", "ancestor"))
     near = above.join(by_directory.withColumnRenamed("directory", "ancestor"), "ancestor").groupBy("directory").agg(F.min(F.struct("up", "ancestor", "of_directory")).alias("near"))
     near = stored(near.select("directory", F.col("near.ancestor").alias("inherited_from"), F.col("near.of_directory").alias("inherited")), "nearest")
+    drop_stored(by_directory)
     out = rows.join(near, "directory", "left")
     inherits = F.col("license").isNull()
     return out.select(

@@ -129,8 +129,8 @@ weights AS (
   FROM template_terms JOIN idfs USING (term)
 ),
 files AS (
-  SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', source, lang, doc_id // 100) AS directory,
-    concat_ws('/', source, lang, doc_id // 100, doc_id || '.txt') AS path
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(doc_id % 100 = 0, false) AS named, concat_ws('/', source, lang, doc_id // 100) AS directory,
+    concat_ws('/', source, lang, doc_id // 100, CASE WHEN doc_id % 100 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END) AS path
   FROM documents
 ),
 notices AS (
@@ -145,7 +145,7 @@ shares AS (
 ]+')))), 0) AS notice_words
   FROM notices
 ),
-units AS (SELECT DISTINCT doc_id, unnest(lines) AS line FROM notices),
+units AS (SELECT doc_id, unnest(lines) AS line FROM notices UNION SELECT doc_id, text FROM files WHERE named),
 unit_terms AS (
   SELECT doc_id, line, term, count(*) AS tf
   FROM (SELECT doc_id, line, unnest(list_filter(string_split_regex(lower(line), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM units) GROUP BY ALL
@@ -158,7 +158,7 @@ scored AS (
 ),
 own AS (SELECT doc_id, license, score FROM scored WHERE score >= 0.75 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1),
 all_files AS (
-  SELECT f.doc_id, f.path, f.directory, o.license, o.score, coalesce(o.license IS NOT NULL AND notice_words >= 0.2 * words, false) AS is_licence_file
+  SELECT f.doc_id, f.path, f.directory, o.license, o.score, coalesce(o.license IS NOT NULL AND (named OR notice_words >= 0.2 * words), false) AS is_licence_file
   FROM files f LEFT JOIN own o USING (doc_id) LEFT JOIN shares USING (doc_id)
 ),
 directories AS (

@@ -109,3 +109,22 @@ def test_empty_table(spark):
 def test_no_python_on_the_executors(spark, sf):
     plan = op1_license_scan(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_licence_files_of_the_query(spark):
+    """Each hundred's first document is a licence file by name, though its notice is a small part of it."""
+    got = op1_license_scan(spark, "/root/testdata/sf0.01").where("path like '%/LICENSE'")
+    rows = got.collect()
+    assert rows and all(r["is_licence_file"] == (r["own_license"] is not None) for r in rows)
+
+
+def test_files_that_are_done_with_are_deleted(spark, tmp_path):
+    before = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        df = spark.createDataFrame([(i, p, t) for i, p, t in FILES], "file long, path string, text string")
+        assert len(lc.scan_licenses(df).collect()) == len(FILES)
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before)
+    left = {p.name.split("-")[1] for p in tmp_path.iterdir()}
+    assert left == {"notices", "own", "nearest"}  # what the result itself is read from
