@@ -22,14 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LOCAL: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset and all run in one process, a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='estima-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not _LOCAL:  # the setting itself can't be changed in a running session
+            _LOCAL.append(f"file://{tempfile.mkdtemp(prefix='estima-')}")
+        return _LOCAL[0]
     return found
 
 
