@@ -18,11 +18,11 @@ def tokenizer_path() -> str:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files of source/language/hundred/: the table has no paths, so these stand for a tree of directories, where each hundred's
-    first document is named like a licence file."""
+    """Documents as files of source/language/hundred/: the table has no paths, so these stand for a tree of directories, where each tenth
+    document is named like a licence file."""
     from estima.llm.licenses import scan_licenses
 
-    name = F.when(F.col("doc_id") % 100 == 0, F.lit("LICENSE")).otherwise(F.concat("doc_id", F.lit(".txt")))
+    name = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("LICENSE."), "doc_id")).otherwise(F.concat("doc_id", F.lit(".txt")))
     path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 100), name)
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), path.alias("path"), "text")
     return scan_licenses(files).withColumnRenamed("file", "doc_id")

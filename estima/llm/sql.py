@@ -129,8 +129,8 @@ weights AS (
   FROM template_terms JOIN idfs USING (term)
 ),
 files AS (
-  SELECT doc_id, coalesce(text, '') AS text, coalesce(doc_id % 100 = 0, false) AS named, concat_ws('/', source, lang, doc_id // 100) AS directory,
-    concat_ws('/', source, lang, doc_id // 100, CASE WHEN doc_id % 100 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END) AS path
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(doc_id % 10 = 0, false) AS named, concat_ws('/', source, lang, doc_id // 100) AS directory,
+    concat_ws('/', source, lang, doc_id // 100, CASE WHEN doc_id % 10 = 0 THEN 'LICENSE.' || doc_id ELSE doc_id || '.txt' END) AS path
   FROM documents
 ),
 notices AS (

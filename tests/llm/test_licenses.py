@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+from estima.llm import common
 from estima.llm import licenses as lc
 from estima.llm.queries import op1_license_scan
 
@@ -112,19 +113,27 @@ def test_no_python_on_the_executors(spark, sf):
 
 
 def test_licence_files_of_the_query(spark):
-    """Each hundred's first document is a licence file by name, though its notice is a small part of it."""
-    got = op1_license_scan(spark, "/root/testdata/sf0.01").where("path like '%/LICENSE'")
-    rows = got.collect()
-    assert rows and all(r["is_licence_file"] == (r["own_license"] is not None) for r in rows)
-
-
-def test_files_that_are_done_with_are_deleted(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        df = spark.createDataFrame([(i, p, t) for i, p, t in FILES], "file long, path string, text string")
-        assert len(lc.scan_licenses(df).collect()) == len(FILES)
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
-    left = {p.name.split("-")[1] for p in tmp_path.iterdir()}
-    assert left == {"notices", "own", "nearest"}  # what the result itself is read from
+    """Each tenth document is a licence file by name, though its notice is a small part of it."""
+    rows = op1_license_scan(spark, "/root/testdata/sf0.01").where("path like '%/LICENSE.%'").collect()
+    assert len(rows) == 100 and any(r["own_license"] for r in rows)
+    assert all(r["is_licence_file"] == (r["own_license"] is not None) for r in rows)
+
+
+def test_files_that_are_done_with_are_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    df = spark.createDataFrame(FILES, "file long, path string, text string")
+    assert len(lc.scan_licenses(df).collect()) == len(FILES)
+    assert {p.name.split("-")[1] for p in tmp_path.iterdir()} == {"notices", "own", "nearest"}  # what the result itself is read from
+
+
+def test_the_shared_folder_without_a_setting(spark, monkeypatch):
+    monkeypatch.setattr(common, "_LOCAL", [])
+
+    class Unset:
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default=None: default)})
+        sparkContext = type("Context", (), {"master": "local[2]"})  # noqa: N815
+
+    assert common.shared_dir(Unset) == common.shared_dir(Unset)
+    Unset.sparkContext.master = "spark://host:7077"
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_dir(Unset)
