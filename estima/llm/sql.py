@@ -4,13 +4,13 @@ _RULES = {
     "assign": r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
     "access": r"AKIA[A-Z0-9]+",
     "hex": r"[0-9a-f]{32,}",
-    "jwt": r"eyJ[A-Za-z0-9_-]{8,1000}\.eyJ[A-Za-z0-9_-]{8,1000}\.[A-Za-z0-9_-]{8,1000}",
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]|-{1,4}[^-])*-----END [A-Z ]*PRIVATE KEY-----)?",  # without END: the header only
     "github": r"gh[pousr]_[A-Za-z0-9]{36}",
     "slack": r"xox[abprs]-[A-Za-z0-9-]{10,}",
     "google": r"AIza[A-Za-z0-9_-]{35}",
     "stripe": r"[sr]k_live_[A-Za-z0-9]{16,}",
-    "url_login": r"[a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D/:@]{1,200}:[^\x20\x09-\x0D/:@]{1,200}@",
+    "url_login": r"[a-z][a-z0-9+.-]{0,15}://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]+@",
 }
 
 
