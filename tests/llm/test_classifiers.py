@@ -1,5 +1,7 @@
+import functools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -160,3 +162,84 @@ def test_languages_of_the_documents(spark):
     d = "/root/testdata/sf0.01"
     got = op10_language_id(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id")
     assert got.where("held_out").selectExpr("avg(double(lang = lang_pred))").first()[0] > 0.97
+
+
+@functools.cache
+def plain_hash(gram, bits):
+    h = len(gram) * 0x9E3779B1 & 0xFFFFFFFF
+    for c in gram:
+        h = (h ^ ord(c)) * 0x01000193 & 0xFFFFFFFF
+        h ^= h >> 15
+    return (h * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - bits)
+
+
+def plain_letters(text):
+    return " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+
+
+def plain_features(text):
+    """Grams of four and five characters with a space at an end at most."""
+    t = plain_letters(text or "")
+    return {plain_hash(t[i : i + n], toxicity.BITS) for n in (4, 5) for i in range(len(t) - n + 1) if " " not in t[i + 1 : i + n - 1]} if text else set()
+
+
+def test_toxicity_against_a_plain_version(spark, sf):
+    """The query again, from its texts and labels: features, which of them tell, and what they say; the fit's weights are taken over."""
+    docs, labels = ([r.asDict() for r in spark.read.parquet(f"{sf}/{t}.parquet").collect()] for t in ("documents", "labels"))
+    own = {r["doc_id"]: plain_features(r["text"]) for r in docs}
+    toxic = {}
+    for r in labels:
+        if r["doc_id"] in own and r["toxic"] is not None:
+            toxic[r["doc_id"]] = max(toxic.get(r["doc_id"], 0), r["toxic"])
+    model = toxicity.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    n = Counter(toxic.values())
+    assert len(toxic) <= toxicity.LABELLED and n[0] and n[1]
+    count = [Counter(f for i, k in toxic.items() if k == kind for f in own[i]) for kind in (0, 1)]
+    telling = {}
+    for f in set(count[0]) | set(count[1]):
+        a, b, both = (count[0][f] + 0.5) / (n[0] + 1), (count[1][f] + 0.5) / (n[1] + 1), count[0][f] + count[1][f]
+        pooled = (both + 1) / (len(toxic) + 2)
+        z = (b - a) / (pooled * (1 - pooled) * (1 / n[0] + 1 / n[1])) ** 0.5
+        if both >= 4 and b >= 4 * a and z > 2:
+            telling[f] = z
+    chosen = {int(f) for f in np.flatnonzero(model.keep >= 0)}
+    assert len(chosen) == min(len(telling), toxicity.FEATURES) and chosen <= set(telling)
+    assert min(telling[f] for f in chosen) >= max([z for f, z in telling.items() if f not in chosen], default=0) - 1e-9
+    got = {r["doc_id"]: r for r in op3_toxicity(spark, sf).collect()}
+    assert set(got) == set(own)
+    for i, found in own.items():
+        score = sum(model.weights[model.keep[f]] for f in found if model.keep[f] >= 0)
+        above = [1 / (1 + np.exp(t - score)) if found else 0.0 for t in model.thresholds]
+        assert got[i]["toxicity"] == pytest.approx(above[0], abs=1e-6) and got[i]["severity"] == pytest.approx(sum(above), abs=1e-6)
+        assert got[i]["rejected"] == (got[i]["toxicity"] >= 0.5)
+
+
+def test_language_id_against_a_plain_version(spark, sf):
+    """The query again: counts of all grams of the rows that aren't held out, smoothed, summed gram by gram."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+
+    def grams(text):
+        t = " " + " ".join(plain_letters(text).split()) + " "
+        return Counter(plain_hash(t[i : i + n], langid.BITS) for n in (1, 2, 3, 4) for i in range(len(t) - n + 1) if t[i : i + n] != " ")
+
+    own = {r["doc_id"]: grams(r["text"] or "") for r in rows}
+    learned = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["lang"] is not None and r["text"] is not None]
+    languages = sorted({r["lang"] for r in learned})
+    n_docs = Counter(r["lang"] for r in learned)
+    assert max(n_docs.values()) <= langid.PER_LANGUAGE  # so every one is counted
+    counts = np.full((1 << langid.BITS, len(languages)), 0.5)
+    for r in learned:
+        for h, n in own[r["doc_id"]].items():
+            counts[h, languages.index(r["lang"])] += n
+    logs, prior = np.log(counts / counts.sum(0)), np.log(np.array([n_docs[x] for x in languages]) / len(learned))
+    got = {r["doc_id"]: r for r in op10_language_id(spark, sf).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        g = got[r["doc_id"]]
+        assert g["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert (g["lang_pred"], g["score"]) == ("und", 0)
+            continue
+        total = prior + sum(n * logs[h] for h, n in own[r["doc_id"]].items())
+        assert g["lang_pred"] == languages[int(total.argmax())]
+        assert g["score"] == pytest.approx(1 / np.exp(total - total.max()).sum(), rel=1e-2)

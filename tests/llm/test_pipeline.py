@@ -67,3 +67,47 @@ def test_queries_against_duckdb(spark, name):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.sql(f"SELECT {', '.join(columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
     assert sorted(repr(tuple(r)) for r in got.select(*columns).collect()) == sorted(repr(r) for r in want)
+
+
+LONG = "plain words of a very long text that goes on " * 20_000
+ODD = [
+    (1, "one text of some seven words here", "s"), (1, "one text of some seven words here", "s"), (2, "One text of some seven words here", "s"),
+    (3, None, "s"), (4, "", "s"), (None, "a row without an id, kept as it is", None), (5, LONG, "s"), (6, LONG, "t"), (7, "tie tie tie tie tie tie", "t"),
+    (8, "here is password=hunter2hunter2 in the text", None), (9, " \t\n ", "t"), (10, "two", "t"), (11, "é中文🙂 <|endoftext|> " * 3, "t"),
+]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, copies int, ids string, toxicity double, mix_row string, node long, tags map<string,int>"
+
+
+def odd_tables(spark, path, rows):
+    docs = [(i, t, None, s, len(t or ""), 7, "x", 0.5, None, 3, {"a": 1}) for i, t, s in rows]
+    spark.createDataFrame(docs, SCHEMA).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_odd_rows_and_clashing_columns(spark, tmp_path):
+    """Nulls, empty and long texts, copies, repeated rows and columns named like those that the stages make."""
+    d = odd_tables(spark, tmp_path, ODD)
+    docs = table(spark, d, "documents")
+    seen = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        docs = stage(spark, docs, d).cache()
+        assert docs.columns == columns
+        seen.append([(r["doc_id"], r["text"]) for r in docs.collect()])
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    assert sorted(seen[0], key=key) == sorted([x[:2] for x in ODD], key=key)  # without toxic labels nothing is rejected
+    # of the copies the smallest id stays, once; rows without words, and without an id, stay
+    assert [i for i, _ in sorted(seen[1], key=key)] == [1, 3, 4, 5, 7, 8, 9, 10, 11, None]
+    assert dict(seen[2])[8] == "here is [secret] in the text" and dict(seen[2])[3] is None
+    assert not {3, 4, 9} & {i for i, _ in seen[3]} and {i for i, _ in seen[3]} <= {i for i, _ in seen[2]}  # the mix takes no empty text
+    reference = Tokenizer.from_file(queries.tokenizer_path())
+    got = corpus_pipeline.run(spark, d).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in seen[3])
+    texts = dict(seen[2])
+    assert all(r["ids"] == reference.encode(texts[r["doc_id"]], add_special_tokens=False).ids for r in got)
+
+
+def test_an_empty_table(spark, tmp_path):
+    got = corpus_pipeline.run(spark, odd_tables(spark, tmp_path, []))
+    assert got.columns == ["doc_id", "lang", "source", "n_tokens", "ids"] and got.collect() == []

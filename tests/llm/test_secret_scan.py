@@ -143,3 +143,26 @@ def test_unended_keys_take_linear_time():
 
 def test_empty_table(spark):
     assert ss.find_secrets(spark.createDataFrame([], "doc_id int, text string")).count() == 0
+
+
+def test_the_sql_on_long_secrets(spark, tmp_path):
+    """The SQL of the query on secrets that the shipped tables don't hold: long tokens and logins, whole keys, several a text."""
+    import duckdb
+
+    from estima.llm.sql import ORACLES
+
+    part = "aB3_" * 500
+    key = "-----BEGIN RSA PRIVATE KEY-----\n" + "A1b2/+" * 20 + "\n--x--\n-----END RSA PRIVATE KEY-----"
+    texts = [
+        f"a eyJ{part}.eyJ{part}.{part} b eyJshort", f"go x://user:{part}@host and https://{part}:pw@h", f"{key} then {key}", f"token_eyJ{part}.eyJ{part}.{part}",
+        "é eyJeyJ12345678.eyJ12345678.12345678=", None, "", "http://a/b:c@d",
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op5_secret_scan(spark, str(tmp_path))
+    columns = sorted(got.columns)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(f"SELECT {', '.join(columns)} FROM ({ORACLES['op5_secret_scan']})").fetchall()
+    rows = got.select(*columns).collect()
+    assert sorted(tuple(r) for r in rows) == sorted(want)
+    assert [sum(k in r["spans"] for r in rows) for k in ("jwt", "url_login", "private_key")] == [3, 1, 1]
