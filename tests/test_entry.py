@@ -30,6 +30,8 @@ def test_the_library_stands_alone(monkeypatch):
 
 def test_a_missing_package_is_an_error(monkeypatch):
     """Only the subpackage itself may be missing, not what it imports."""
+    if entry.llm is None:
+        pytest.skip("the subpackage isn't there")
     for name in [m for m in sys.modules if m.startswith("estima.llm") or m == "corpus_pipeline"]:
         monkeypatch.delitem(sys.modules, name)
     monkeypatch.setitem(sys.modules, "tokenizers", None)
