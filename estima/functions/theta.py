@@ -80,6 +80,8 @@ def decode(image: bytes) -> tuple[np.ndarray, int, bool]:
         if not 1 <= width <= 63 or not 1 <= size <= 4:
             raise ValueError("theta image: width out of range")
         limit = at(8, 8) if longs > 1 else MAX_THETA
+        if not 0 < limit <= MAX_THETA:
+            raise ValueError("theta image: theta must be positive")
         start = 16 if longs > 1 else 8
         count = at(start, size)
         bits = np.unpackbits(raw[start + size :])[: count * width]
@@ -96,8 +98,8 @@ def decode(image: bytes) -> tuple[np.ndarray, int, bool]:
     else:
         count, start = at(8, 4), 8 * longs
         limit = at(16, 8) if longs > 2 else MAX_THETA
-    if limit <= 0 or count < 0:
-        raise ValueError("theta image: theta and count must be positive")
+    if not 0 < limit <= MAX_THETA:  # above it, a negative long
+        raise ValueError("theta image: theta must be positive")
     if len(raw) < start + 8 * count:
         raise ValueError("theta image is truncated")
     return np.frombuffer(image, "<i8", count, start), limit, False

@@ -541,7 +541,7 @@ def sketch_stored_table(spark, d):
     fine = read(spark, d, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(theta.sketch(F.col("o_custkey"), 16).alias("users"), kll.sketch(F.col("o_totalprice"), 65535).alias("prices"))
     path = scratch(spark, "stored")
     write_sketches(tagged(tagged(fine, "users", "theta", lg_k=16, seed_hash=hashing.seed_hash(headers.SEED)), "prices", "kll", kind="double"), path, ["o_orderpriority"])
-    out = rollup.roll_up(read_sketches(spark, path), ["o_orderstatus"], {"users": {"family": "theta", "lg_k": 16}, "prices": {"family": "kll"}})
+    out = rollup.roll_up(read_sketches(spark, path, whole=True), ["o_orderstatus"], {"users": {"family": "theta", "lg_k": 16}, "prices": {"family": "kll"}})
     return out.select("o_orderstatus", whole(ft.estimate(F.col("users"))).alias("customers"), fk.quantiles(F.col("prices"), [0.5])[0].alias("median"))
 
 

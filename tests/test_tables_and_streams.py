@@ -6,6 +6,7 @@ from estima.functions import theta as ft
 from estima.functions.register import register
 from estima.operators import hll, kll, theta
 from estima.plans import rollup
+from estima.sources import images as images_mod
 from estima.sources.images import read_sketches, tagged, write_sketches
 from estima.streaming import windows
 
@@ -29,6 +30,31 @@ def test_tables_of_sketches(spark, tmp_path):
         read_sketches(spark, f"{path}2").collect()
 
 
+def test_bodies_of_images_are_checked(spark):
+    big = spark.range(3000).agg(theta.sketch(F.col("id"), 10).alias("t"), hll.sketch(F.col("id"), 10).alias("h"), kll.sketch(F.col("id").cast("double"), 200).alias("k"))
+    big = big.withColumn("t", ft.reencode(F.col("t"))).withColumn("t4", ft.reencode(F.col("t"), compressed=True))  # versions 3 and 4
+    r = {n: bytes(x) for n, x in big.first().asDict().items()}
+    few = {n: bytes(x) for n, x in spark.range(3).agg(theta.sketch(F.col("id")).alias("t"), hll.sketch(F.col("id")).alias("h"), kll.sketch(F.col("id").cast("double")).alias("k")).first().asDict().items()}
+    none = {n: bytes(x) for n, x in spark.range(0).agg(theta.sketch(F.col("id")).alias("t"), hll.sketch(F.col("id")).alias("h"), kll.sketch(F.col("id").cast("double")).alias("k")).first().asDict().items()}
+    families = {"t": "theta", "t4": "theta", "h": "hll", "k": "kll"}
+    for images in (r, few, none):
+        for name, x in images.items():
+            images_mod._check_body(x, families[name], "double")
+    t = r["t"]
+    wrong = [
+        (t[:-8], "theta"), (r["t4"][:-40], "theta"), (t[:16] + bytes(8) + t[24:], "theta"), (t[:16] + b"\xff" * 8 + t[24:], "theta"), (t[:24] + t[32:40] + t[24:32] + t[40:], "theta"),
+        (t[:-8] + b"\xff" * 7 + b"\x7f", "theta"), (r["h"][:100], "hll"), (r["k"][:-8], "kll"), (r["k"][:8] + b"\1" + r["k"][9:], "kll"), (r["t4"][:8] + bytes(8) + r["t4"][16:], "theta"),
+    ]
+    for x, family in wrong:
+        with pytest.raises((ValueError, IndexError)):
+            images_mod._check_body(x, family, "double")
+    with pytest.raises(ValueError):
+        images_mod._check_body(r["k"], "kll", "float")
+    df = spark.createDataFrame([(t[:-8],)], "s binary")
+    with pytest.raises(Exception, match="truncated"):
+        df.select(images_mod.whole_checked(sk(), "theta")).collect()
+
+
 def test_roll_up_and_upsert(spark):
     fine = spark.range(300).groupBy((F.col("id") % 3).alias("a"), (F.col("id") % 2).alias("b")).agg(theta.sketch(F.col("id")).alias("s"))
     assert {r["a"]: r["n"] for r in rollup.roll_up(fine, ["a"], HOW).select("a", ft.retained(sk()).alias("n")).collect()} == {0: 100, 1: 100, 2: 100}
