@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -26,10 +27,15 @@ def roll_up(fine: DataFrame, keys: Sequence[str], sketches: dict[str, dict]) ->
     return (fine.groupBy(*keys) if keys else fine).agg(*merged)
 
 
-def grouping_sets(fine: DataFrame, keys: Sequence[str], sketches: dict[str, dict], how: str = "cube") -> DataFrame:
-    """All the sets of a cube or rollup over keys, from the finest sketches, with grouping_id."""
+def grouping_sets(fine: DataFrame, keys: Sequence[str], sketches: dict[str, dict], how: str = "cube", within: Sequence[str] = ()) -> DataFrame:
+    """All the sets of a cube or rollup over keys, from the finest sketches, with grouping_id; each within the columns `within`, which no set
+    leaves out."""
     merged = [merge_of(image=F.col(c), **p).alias(c) for c, p in sketches.items()]
-    return getattr(fine, how)(*keys).agg(F.grouping_id().alias("grouping_id"), *merged)
+    if not within:
+        return getattr(fine, how)(*keys).agg(F.grouping_id().alias("grouping_id"), *merged)
+    sets = [keys[:n] for n in range(len(keys) + 1)] if how == "rollup" else [s for n in range(len(keys) + 1) for s in itertools.combinations(keys, n)]
+    own = fine.groupingSets([[F.col(c) for c in (*within, *s)] for s in sets], *within, *keys)
+    return own.agg(F.grouping_id().alias("grouping_id"), *merged)
 
 
 def upsert(stored: DataFrame | None, new: DataFrame, keys: Sequence[str], sketches: dict[str, dict]) -> DataFrame:
